@@ -26,31 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkernel import ALNUM, U64, chunks, gram_starts, grams, mix, split
+from .textkernel import ALNUM, U64, chunks, gram_starts, grams, split
 
 #: Cells of the bitmaps that are broadcast: 2 MB whatever the size of the benchmark.
 BITMAP = 1 << 24
 
 
-def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) & U64(BITMAP - 1)).astype(np.int64)
-
-
-def _bitmap(tokens: DataFrame) -> np.ndarray:
-    """Bits of the cells of ``token``; what reaches the driver is bounded by the number of cells."""
-
-    def cells(batches):
-        seen = np.zeros(BITMAP, bool)
-        for batch in batches:
-            seen[_cell(batch.column(0).to_numpy().view(U64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["cell"])
-
-    bits = np.zeros(BITMAP, bool)
-    for row in tokens.mapInArrow(cells, "cell long").distinct().toLocalIterator():
-        bits[row.cell] = True
-    return np.packbits(bits, bitorder="little")
-
-
 def windows_of(items: DataFrame, size: int, shingle: int) -> DataFrame:
     """item_id, words, start-relative shingles of each distinct window of each item."""
 
@@ -89,7 +70,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
     windows = scratch.table(windows_of(scratch.columns(items, item_id=item_id, text=item_text), size, shingle))
     ks = sorted(r.k for r in windows.select("k").distinct().collect())  # at most ``shingle`` of them
     tokens = windows.select(F.explode("tokens").alias("token")).distinct()
-    wanted = spark.sparkContext.broadcast(_bitmap(tokens))
+    wanted = spark.sparkContext.broadcast(scratch.bitmap(tokens, BITMAP))
 
     def counted(batches):
         for batch in batches:
@@ -98,7 +79,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
                 words = split(data, offsets, ALNUM, lower=True)
                 for k in ks:
                     keys = grams(words.hashes[0], k)[gram_starts(words.first, k)]
-                    found.append(keys[scratch.bit(wanted.value, _cell(keys))])
+                    found.append(keys[scratch.bit(wanted.value, scratch.cell_of(keys, BITMAP))])
             keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
@@ -106,7 +87,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
     placed = windows.withColumn("window", F.monotonically_increasing_id()).select("window", "item_id", "words", "k", F.posexplode("tokens").alias("offset", "token"))
     ranked = placed.join(seen, "token").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("n", "token", "offset")))
     prefix = scratch.table(ranked.where("rank = 1").select("token", "item_id", "words", "k", "offset"))
-    chosen = spark.sparkContext.broadcast(_bitmap(prefix.select("token").distinct()))
+    chosen = spark.sparkContext.broadcast(scratch.bitmap(prefix.select("token").distinct(), BITMAP))
 
     def positions(batches):
         for batch in batches:
@@ -118,7 +99,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
                 for k in ks:
                     at = gram_starts(first, k)
                     keys = grams(words.hashes[0], k)[at]
-                    take = scratch.bit(chosen.value, _cell(keys))
+                    take = scratch.bit(chosen.value, scratch.cell_of(keys, BITMAP))
                     for p, key in zip(at[take].tolist(), keys[take].view(np.int64).tolist(), strict=True):
                         d = doc_of[p]
                         a, z = max(first[d], p - size + k), min(first[d + 1], p + size)

@@ -51,4 +51,31 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_h
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-SQL = {"op3_substring_dedup": OP3, "op10_benchmark_decontamination": OP10}
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT a AS node, a AS seen FROM both_ways
+  UNION
+  SELECT node, b FROM reach JOIN both_ways ON seen = a
+), least AS (
+  SELECT node, min(seen) AS c FROM reach GROUP BY node
+), deg AS (
+  SELECT a, count(*) AS n_links FROM both_ways GROUP BY a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.c, w.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.node = w.doc_id LEFT JOIN deg ON deg.a = w.doc_id
+"""
+
+SQL = {"op7_ngram_jaccard_join": OP7, "op3_substring_dedup": OP3, "op10_benchmark_decontamination": OP10}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.sources.tables import read
 
-from . import byte_bpe, decontaminate, oracle, substring_dedup
+from . import byte_bpe, decontaminate, jaccard_join, oracle, substring_dedup
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(read(spark, sf_dir, "documents"), size=3, threshold=(90, 100))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_substring_dedup, op4_byte_bpe, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_substring_dedup, op4_byte_bpe, op7_ngram_jaccard_join, op10_benchmark_decontamination)}
 
 SQL: dict[str, str] = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}

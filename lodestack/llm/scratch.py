@@ -10,13 +10,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import mix
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,10 +60,6 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[src].alias(dst) for dst, src in names.items()])
 
 
-def batch_of(schema: pa.Schema, *arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, t.type) for a, t in zip(arrays, schema, strict=True)], schema=schema)
-
-
 def packed(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
@@ -150,6 +148,23 @@ def counted_cells(partials: DataFrame, cells: int, partitions: int) -> np.ndarra
     return out
 
 
+def bitmap(values: DataFrame, cells: int) -> np.ndarray:
+    """A bit for each cell, set where ``cell_of`` a value of the only column (long) falls: a Bloom filter of one hash."""
+
+    def partial(batches):
+        for batch in batches:
+            cell = np.unique(cell_of(batch.column(0).to_numpy().view(np.uint64), cells))
+            edges = np.flatnonzero(np.diff(cell // SLICE)) + 1
+            parts = np.split(cell, edges) if len(cell) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0] // SLICE) for x in parts], pa.int32()), pa.array([0] * len(parts), pa.int32()), packed([(x % SLICE).astype(np.uint16).tobytes() for x in parts])], names=["slice", "n", "cells"])
+
+    return repeated_cells(values.mapInArrow(partial, SKETCH_ROW), cells, min(partitions_of(values.sparkSession), cells // SLICE))
+
+
+def cell_of(values: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(values) & np.uint64(cells - 1)).astype(np.int64)
+
+
 def bit(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
@@ -163,8 +178,5 @@ def width_for(expected: int, least_bits: int, most_bits: int) -> int:
     return 1 << min(most_bits, max(least_bits, (4 * max(1, expected) - 1).bit_length()))
 
 
-Emit = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
