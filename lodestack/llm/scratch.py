@@ -55,8 +55,19 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Rows of text in one Arrow batch. Spark's own 10,000 hold tens of MB of text on both sides of each worker.
+BATCH_ROWS = 1000
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
-    """Only the named columns, under fixed names: clashing extra columns cannot interfere."""
+    """Only the named columns, under fixed names: clashing extra columns cannot interfere.
+
+    Also lowers the session's Arrow batches to ``BATCH_ROWS`` rows, unless
+    they were set to something other than Spark's default.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df.select(*[df[src].alias(dst) for dst, src in names.items()])
 
 

@@ -19,7 +19,7 @@ U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MASK = (1 << 64) - 1
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _byte_class(ranges: list[tuple[int, int]]) -> np.ndarray:
