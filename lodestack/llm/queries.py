@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.sources.tables import read
 
-from . import byte_bpe, decontaminate, jaccard_join, oracle, substring_dedup
+from . import bm25, byte_bpe, decontaminate, html_extract, jaccard_join, licenses, oracle, quotes, substring_dedup, toxicity, warc
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +30,32 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.derive(warc.responses_of(read(spark, sf_dir, "pages"))))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(read(spark, sf_dir, "documents"), size=3, threshold=(90, 100))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select(licenses.example_path(F.col("doc_id"), F.col("source")).alias("path"), "text")
+    return licenses.scan(files).withColumn("own_score", F.round("own_score", 6))
+
+
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.digests(quotes.threads(read(spark, sf_dir, "conversations")))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_substring_dedup, op4_byte_bpe, op7_ngram_jaccard_join, op10_benchmark_decontamination)}
-
+_ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}

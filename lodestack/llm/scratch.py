@@ -128,7 +128,7 @@ def repeated_cells(partials: DataFrame, cells: int, partitions: int) -> np.ndarr
 
     merged = partials.repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
     bits = np.zeros(cells // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # bounded by the number of cells
         bits[row.slice * SLICE // 8 : (row.slice + 1) * SLICE // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 
@@ -154,7 +154,7 @@ def counted_cells(partials: DataFrame, cells: int, partitions: int) -> np.ndarra
 
     merged = partials.repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, counts binary")
     out = np.zeros(cells, np.uint32)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # bounded by the number of cells
         out[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.uint32)
     return out
 
