@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .textkernel import mix
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
+_scope: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,14 +38,26 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestack/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _scope))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete all tables written so far; call it only when no result built on them is still to be read."""
-    while _written:
-        spark, path = _written.pop()
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name`` and go with ``release(name)``."""
+    global _scope
+    before, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = before
+
+
+def release(name: str | None = None) -> None:
+    """Delete the tables of a scope, or all; call it only when no result built on them is still to be read."""
+    for entry in [w for w in _written if name is None or w[2] == name]:
+        spark, path, _ = entry
+        _written.remove(entry)
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -105,11 +105,12 @@ def sketch(docs: DataFrame, size: int, least_bits: int = 16, max_sketch_bits: in
     return width, [bits[: width // 8], bits[width // 8 :]]
 
 
-def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 50, max_sketch_bits: int = 29) -> DataFrame:
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 50, max_sketch_bits: int = 29, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """Every row of ``docs`` with the words of repeated passages taken out.
 
     Returns ``doc_id, n_words, n_removed, kept_text``: the words left, joined
-    by one space. A word goes if a window of ``size`` words over it also
+    by one space (with ``as_is`` a text that loses nothing stays unchanged),
+    and the columns named in ``carry``. A word goes if a window of ``size`` words over it also
     starts in a document with a smaller ``doc_id``; windows are judged on the
     input. A null text has no words; a document of fewer than ``size`` words
     has no window and stays whole. A null ``doc_id`` is later than all others.
@@ -118,6 +119,10 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     src = scratch.columns(docs, doc_id=doc_id, text=text)
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    kinds = [(f"carry_{i}", kind) for i, kind in enumerate(dict(docs.dtypes)[c] for c in carry)]
+    extra = "".join(f", {name} {kind}" for name, kind in kinds)
+    names = [name for name, _ in kinds]
     width, bits = sketch(src, size, max_sketch_bits=max_sketch_bits)
     shared = spark.sparkContext.broadcast(bits)
     last = np.iinfo(np.int64).max
@@ -157,15 +162,19 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 n_words.append(np.diff(words.first))
                 flagged.append(mark)
             if n_words:
-                mark = np.concatenate(flagged)
-                yield pa.RecordBatch.from_arrays([ids, ids.fill_null(last), pa.array(np.concatenate(n_words)), pa.array(mark), texts], names=["doc_id", "doc", "n_words", "flagged", "text"])
+                made = [ids, ids.fill_null(last), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(flagged)), texts]
+                yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], names=["doc_id", "doc", "n_words", "flagged", "text", *names])
 
-    kept_type = "doc_id long, n_words long, n_removed long, kept_text string"
+    def untouched(raw: bytes) -> str:
+        return raw.decode() if as_is else _joined(raw)
+
+    out_names = ["doc_id", "n_words", "n_removed", "kept_text", *names]
+    out_type = f"doc_id long, n_words long, n_removed long, kept_text string{extra}"
 
     def plain(batches):
         for batch in batches:
-            text = [_joined(t) for t in _raw(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            text = [untouched(t) for t in _raw(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(text, pa.string()), *batch.columns[3:]], names=out_names)
 
     def removed(batches):
         for batch in batches:
@@ -175,7 +184,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 hashes = gone[i].values
                 if hashes is None:
                     n_removed.append(0)
-                    texts.append(_joined(raw))
+                    texts.append(untouched(raw))
                     continue
                 words = split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), NON_SPACE)
                 prints = grams(words.hashes[0], size)
@@ -186,12 +195,13 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keep = np.cumsum(ends)[:-1] == 0
                 n_removed.append(int((~keep).sum()))
                 texts.append(b" ".join(compress(raw.split(), keep)).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), *batch.columns[4:]], names=out_names)
 
-    state = src.mapInArrow(finished, "doc_id long, doc long, n_words long, flagged boolean, text string")
-    clean = state.where("not flagged").select("doc_id", "n_words", "text").mapInArrow(plain, kept_type)
-    marked = state.where("flagged").join(gone.hint("merge"), "doc", "left").select("doc_id", "n_words", "text", "gone").mapInArrow(removed, kept_type)
-    return clean.unionByName(marked)
+    state = whole.mapInArrow(finished, f"doc_id long, doc long, n_words long, flagged boolean, text string{extra}")
+    clean = state.where("not flagged").select("doc_id", "n_words", "text", *names).mapInArrow(plain, out_type)
+    marked = state.where("flagged").join(gone.hint("merge"), "doc", "left").select("doc_id", "n_words", "text", "gone", *names).mapInArrow(removed, out_type)
+    out = clean.unionByName(marked)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(name).alias(c) for name, c in zip(names, carry, strict=True)])
 
 
 def _raw(texts: pa.Array) -> list[bytes]:
