@@ -33,7 +33,7 @@ SHORT = 64
 #: Characters of text whose matches are merged together.
 GROUP = 3_000_000
 #: Distinct matches whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBER = 300_000
+REMEMBER = 700_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -67,15 +67,15 @@ class Codec:
         self.pairs = dict(zip(keys, values, strict=True))
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, int, bytes, bytes]] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], np.int32(NONE))
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of short matches, all trees in step. Every piece is of 1 to ``SHORT`` bytes."""
+    def merge_many(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of short matches, end to end, and how many each has. Every piece is of 1 to ``SHORT`` bytes; all trees go in step."""
         n = len(pieces)
         lengths = np.array([len(p) for p in pieces])
         size = 1 << max(1, int(lengths.max() - 1).bit_length())
@@ -110,7 +110,7 @@ class Codec:
             right = after[rows, left].astype(np.int64)
             token[rows, left] = tree[rows, 1]
             token[rows, right] = -1
-            then = after[rows, right]
+            then = after[rows, right].astype(np.int64)
             after[rows, left] = then
             has = then >= 0
             before[rows[has], then[has]] = left[has]
@@ -121,7 +121,8 @@ class Codec:
             if has.any():
                 update(rows[has], prev[has], self._rank(token[rows[has], prev[has]], token[rows[has], left[has]]))
             rows = rows[tree[rows, 1] < NONE]
-        return [t[t >= 0].tolist() for t in token]
+        kept = token >= 0
+        return token[kept].tolist(), kept.sum(axis=1).tolist()
 
     def merge_one(self, piece: bytes) -> list[int]:
         """Ids of one match of any length."""
@@ -180,14 +181,18 @@ class Codec:
         for group in short.values():
             for lo in range(0, len(group), 4096):
                 part = group[lo : lo + 4096]
-                for (m, _), ids in zip(part, self.merge_many([raw for _, raw in part]), strict=True):
-                    self._keep(m, ids)
+                ids, counts = self.merge_many([raw for _, raw in part])
+                names, parts = list(map(self.names.__getitem__, ids)), list(map(self.bytes_of.__getitem__, ids))
+                raw_ids, at = np.array(ids, np.int32).tobytes(), 0
+                for (m, _), n in zip(part, counts, strict=True):
+                    self.known[m] = (",".join(names[at : at + n]), n, b"".join(parts[at : at + n]), raw_ids[4 * at : 4 * (at + n)])
+                    at += n
 
     def _keep(self, match: str, ids: list[int]) -> None:
-        self.known[match] = (",".join(map(self.names.__getitem__, ids)), len(ids), self.decode(ids))
+        self.known[match] = (",".join(map(self.names.__getitem__, ids)), len(ids), self.decode(ids), np.array(ids, np.int32).tobytes())
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """For each whole text: decimal ids joined by commas, their number, the bytes that the ids decode to.
+    def encode_texts(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes, bytes]]]:
+        """For each whole text its matches in order: decimal ids joined by commas, their number, the bytes that the ids decode to, the ids as int32.
 
         Texts are taken in groups of about ``GROUP`` characters, so that the
         distinct matches of a group are merged together.
@@ -202,13 +207,12 @@ class Codec:
             self.learn(set().union(*found))
             known = self.known
             for matches in found:
-                parts = [known[m] for m in matches]
-                yield ",".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts])
+                yield [known[m] for m in matches]
             lo = hi
 
     def encode(self, text: str) -> list[int]:
-        ((joined, n, _),) = self.encode_texts([text])
-        return list(map(int, joined.split(","))) if n else []
+        (parts,) = self.encode_texts([text])
+        return np.frombuffer(b"".join([x[3] for x in parts]), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -229,8 +233,23 @@ def _worker_codec(shared, key) -> Codec:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` of every row's whole text; null is the empty text and has no ids."""
-    return _run(docs, ranks_path, pattern, doc_id, text, "doc_id long, ids array<int>", lambda joined, n, _: (list(map(int, joined.split(","))) if n else [],), (pa.list_(pa.int32()),))
+    """``doc_id, n_tokens, ids array<int>, decoded_sha256`` of every row's whole text; null is the empty text and has no ids.
+
+    ``decoded_sha256`` is of the bytes that the ids decode to: it equals the
+    text's own digest where the round trip is exact.
+    """
+
+    def columns(found):
+        raw, counts, digests = [], [], []
+        for parts in found:
+            raw += [x[3] for x in parts]
+            counts.append(sum([x[1] for x in parts]))
+            digests.append(hashlib.sha256(b"".join([x[2] for x in parts])).hexdigest())
+        ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        return [pa.array(counts, pa.int64()), ids, pa.array(digests, pa.string())]
+
+    return _run(docs, ranks_path, pattern, doc_id, text, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", columns)
 
 
 def decode(encoded: DataFrame, ranks_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -253,13 +272,18 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     leaves the task, so the ids of a text are never shuffled.
     """
 
-    def both(joined: str, n: int, raw: bytes):
-        return n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+    def columns(found):
+        counts, ids, decoded = [], [], []
+        for parts in found:
+            counts.append(sum([x[1] for x in parts]))
+            ids.append(hashlib.sha256(",".join([x[0] for x in parts]).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join([x[2] for x in parts])).hexdigest())
+        return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
 
-    return _run(docs, ranks_path, pattern, doc_id, text, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", both, (pa.int64(), pa.string(), pa.string()))
+    return _run(docs, ranks_path, pattern, doc_id, text, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
-def _run(docs, ranks_path, pattern, doc_id, text, schema, each, types) -> DataFrame:
+def _run(docs, ranks_path, pattern, doc_id, text, schema, columns) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
     key = (ranks_path, pattern)
@@ -267,9 +291,8 @@ def _run(docs, ranks_path, pattern, doc_id, text, schema, each, types) -> DataFr
     def run(batches):
         codec = _worker_codec(shared, key)
         for batch in batches:
-            out = [each(*x) for x in codec.encode_texts([t or "" for t in batch.column(1).to_pylist()])]
-            cols = zip(*out, strict=True) if out else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", *[f"c{i}" for i in range(len(types))]])
+            made = columns(codec.encode_texts([t or "" for t in batch.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[f"c{i}" for i in range(len(made) + 1)])
 
     return scratch.columns(docs, doc_id=doc_id, text=text).mapInArrow(run, schema)
 
