@@ -22,14 +22,16 @@ from .textkernel import mix
 
 _written: list[tuple[SparkSession, str, str | None]] = []
 _scope: str | None = None
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestack-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lodestack-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
