@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VALUE = F.col("value")
-
 
 def parallelize(spark: SparkSession, items: Iterable[str]) -> DataFrame:
     """A bag of local items; an empty list is an empty bag."""
@@ -22,7 +20,7 @@ def parallelize(spark: SparkSession, items: Iterable[str]) -> DataFrame:
 
 def from_table(rows: DataFrame, value: Column) -> DataFrame:
     """One item for each row whose ``value`` is not null."""
-    return rows.select(value.alias("value")).where(VALUE.isNotNull())
+    return rows.select(value.alias("value")).where("value is not null")
 
 
 def flat_map(bag: DataFrame, items: Column) -> DataFrame:
@@ -99,7 +97,7 @@ def take(bag: DataFrame, n: int) -> DataFrame:
 
 def fold_sum(bag: DataFrame, zero: int = 0) -> DataFrame:
     """Integer fold with addition; partial sums are combined before the shuffle. The zero counts once."""
-    return bag.agg((F.coalesce(F.sum(VALUE.cast("long")), F.lit(0)) + F.lit(zero)).cast("long").alias("result"))
+    return bag.agg((F.coalesce(F.sum(F.col("value").cast("long")), F.lit(0)) + F.lit(zero)).cast("long").alias("result"))
 
 
 def fold_ordered(bag: DataFrame, zero: str, op: Callable[[Column, Column], Column]) -> DataFrame:

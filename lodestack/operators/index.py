@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as words
@@ -13,11 +13,15 @@ def inverted_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(words.tokens(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def _one_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+
+
 def doc_table(pages: DataFrame, doc_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``doc_id, acc, title, body``: address, title and visible text of stored pages."""
     page = F.col(html)
     body = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style|title)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")
-    return pages.select(F.col(doc_id).alias("doc_id"), F.col(url).alias("acc"), F.trim(F.regexp_extract(page, r"(?is)<title>(.*?)</title>", 1)).alias("title"), F.trim(F.regexp_replace(body, r"[ \t\n\x0B\f\r]+", " ")).alias("body"))
+    return pages.select(F.col(doc_id).alias("doc_id"), F.col(url).alias("acc"), _one_line(F.regexp_extract(page, r"(?is)<title>(.*?)</title>", 1)).alias("title"), _one_line(body).alias("body"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:

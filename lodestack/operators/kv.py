@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KEY = F.col("row_key")
-
 
 def rows_of(df: DataFrame, key: Column, *names: str) -> DataFrame:
     """A typed table as key-value rows; null cells are absent."""
@@ -22,13 +20,13 @@ def rows_of(df: DataFrame, key: Column, *names: str) -> DataFrame:
 def scan(table: DataFrame, start: str | None = None, stop: str | None = None) -> DataFrame:
     """Rows with ``start <= row_key < stop``; None is no bound. Both bounds reach the Parquet scan."""
     if start is not None:
-        table = table.where(KEY >= start)
-    return table if stop is None else table.where(KEY < stop)
+        table = table.where(F.col("row_key") >= start)
+    return table if stop is None else table.where(F.col("row_key") < stop)
 
 
 def get_row(table: DataFrame, key: str) -> DataFrame:
     """The row, or no row."""
-    return table.where(KEY == key)
+    return table.where(F.col("row_key") == key)
 
 
 def get_cell(table: DataFrame, key: str, column: str) -> DataFrame:

@@ -129,7 +129,10 @@ def bag_from_table(spark, d):
 
 
 _DOCS = r"SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents"
-_WORDS = F.filter(F.split(F.coalesce("value", F.lit("")), r"\s+"), lambda x: x != "")
+
+
+def _words():
+    return F.filter(F.split(F.coalesce("value", F.lit("")), r"\s+"), lambda x: x != "")
 
 
 def _texts(spark, d):
@@ -138,7 +141,7 @@ def _texts(spark, d):
 
 @query(f"SELECT w AS value, count(*) AS n FROM (SELECT unnest(ws) AS w FROM ({_DOCS})) GROUP BY ALL")
 def bag_flat_map(spark, d):
-    return bags.flat_map(_texts(spark, d), _WORDS).groupBy("value").agg(F.count("*").alias("n"))
+    return bags.flat_map(_texts(spark, d), _words()).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderstatus AS value FROM orders")
@@ -149,7 +152,7 @@ def bag_map_to_pair(spark, d):
 
 @query(f"SELECT w AS key, count(*) AS value FROM (SELECT unnest(ws) AS w FROM ({_DOCS})) GROUP BY ALL")
 def bag_flat_map_to_pair(spark, d):
-    made = bags.flat_map_to_pair(_texts(spark, d), F.transform(_WORDS, lambda w: F.struct(w.alias("key"), F.lit(1).alias("value"))))
+    made = bags.flat_map_to_pair(_texts(spark, d), F.transform(_words(), lambda w: F.struct(w.alias("key"), F.lit(1).alias("value"))))
     return pairs.fold_by_key(made).select("key", F.col("result").alias("value"))
 
 

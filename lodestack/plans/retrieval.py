@@ -59,7 +59,7 @@ def posting_lists(spark, d):
 
 
 @query(r"""
-SELECT page_id AS doc_id, url AS acc, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title,
+SELECT page_id AS doc_id, url AS acc, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS title,
   trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM pages
 """)
 def doc_table(spark, d):
@@ -104,7 +104,7 @@ def page_search(spark, d, words_of_query: str = PAGE_WORDS):
 
 
 @query(rf"""
-SELECT t.doc_id, url, round(s, 6) AS rank_score, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, {_BODY} AS body
+SELECT t.doc_id, url, round(s, 6) AS rank_score, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS title, {_BODY} AS body
 FROM ({_PAGE_TOP}) t JOIN pages ON page_id = t.doc_id
 """)
 def search_results(spark, d):
@@ -112,7 +112,7 @@ def search_results(spark, d):
 
 
 @query(rf"""
-SELECT t.doc_id, url, round(s, 6) AS rank_score, coalesce(nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), ''), url) AS title,
+SELECT t.doc_id, url, round(s, 6) AS rank_score, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[ \t\n\x0B\f\r]+', ' ', 'g')), ''), url) AS title,
   coalesce(nullif({_BODY}, ''), 'Not available for descriptions') AS body, CAST(floor((row_number() OVER (ORDER BY s DESC, t.doc_id) - 1) / 10) AS INTEGER) AS page
 FROM (SELECT * FROM ({_PAGE_TOP}) ORDER BY s DESC, doc_id LIMIT 100) t JOIN pages ON page_id = t.doc_id
 """)
