@@ -121,7 +121,7 @@ def search_ui_page(spark, d):
 
 
 @query(rf"""
-SELECT CAST(count(*) AS INTEGER) AS n, string_agg(url, ' ' ORDER BY round(s, 9) DESC, t.doc_id) AS urls FROM (SELECT * FROM ({_PAGE_TOP}) ORDER BY s DESC, doc_id LIMIT 301) t JOIN pages ON page_id = t.doc_id
+SELECT CAST(count(*) AS INTEGER) AS n, coalesce(string_agg(url, ' ' ORDER BY round(s, 9) DESC, t.doc_id), '') AS urls FROM (SELECT * FROM ({_PAGE_TOP}) ORDER BY s DESC, doc_id LIMIT 301) t JOIN pages ON page_id = t.doc_id
 """)
 def search_json(spark, d):
     ranked = page_search(spark, d).withColumn("rank_score", F.round("rank_score", 9))

@@ -42,11 +42,11 @@ def liveness(pings: DataFrame, now, key: str = "user_id", ts: str = "ts", alive:
     return last.withColumn("active", F.unix_millis(moment) - F.unix_millis(F.col("last_ping").cast("timestamp")) <= alive * 1000)
 
 
-def throttled(hits: DataFrame, key: str = "host", ts: str = "ts", pause_ms: int = 1000) -> DataFrame:
+def throttled(hits: DataFrame, key: str = "host", ts: str = "ts", pause_ms: int = 1000, forget_ms: int | None = 600_000) -> DataFrame:
     """A stream of fetch attempts with ``allowed``: false if the host was let through less than ``pause_ms`` before.
 
-    The state of a host is one time stamp; it expires after ten minutes
-    without attempts. Within a batch attempts are taken in the order of time.
+    The state of a host is one time stamp; it expires after ``forget_ms``
+    without attempts (None: never, for a stream that is to end). Within a batch attempts are taken in the order of time.
     """
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -62,8 +62,9 @@ def throttled(hits: DataFrame, key: str = "host", ts: str = "ts", pause_ms: int
             last = ms if ok else last
             out.append(ok)
         state.update((last,))
-        state.setTimeoutDuration(600_000)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({key: [k[0]] * len(rows), ts: rows[ts].to_numpy(), "allowed": out})
 
     schema = f"{key} string, {ts} timestamp, allowed boolean"
-    return hits.select(key, ts).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "ProcessingTimeTimeout")
+    return hits.select(key, ts).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")

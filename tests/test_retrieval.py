@@ -94,7 +94,7 @@ def test_throttle_stream(spark, tmp_path):
     rows = [("a", T0 + timedelta(milliseconds=m)) for m in (0, 400, 1000, 1999, 2000)] + [("b", T0)]
     spark.createDataFrame(rows, "host string, ts timestamp").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("host string, ts timestamp").parquet(source)
-    query = sessions.throttled(stream).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(availableNow=True).start()
+    query = sessions.throttled(stream, forget_ms=None).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     got = sorted((r.host, int((r.ts - T0).total_seconds() * 1000), r.allowed) for r in spark.table("throttled").collect())
     assert got == [("a", 0, True), ("a", 400, False), ("a", 1000, True), ("a", 1999, False), ("a", 2000, True), ("b", 0, True)]
