@@ -121,9 +121,9 @@ def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     """``key, own_license, own_score, in_line`` of every file.
 
     The best template over the lines and the whole text, null below the
-    threshold; ``own_score`` is that cosine (0 where no line was weighed),
-    ``in_line`` the first line that reaches it (null: the whole text). Ties go to the template
-    listed first. Null and empty texts have no licence.
+    threshold; ``own_score`` is that cosine (0 below the threshold),
+    ``in_line`` the first line that reaches it (null: the whole text). Ties go
+    to the template listed first. Null and empty texts have no licence.
     """
     spark = files.sparkSession
     src = scratch.columns(files, key=key, text=text)
@@ -161,6 +161,7 @@ def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                     first = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
                     best[owner[first]], name[owner[first]], place[owner[first]] = value[first], top[first], at[first]
                 ok = best >= m.threshold
+                best[~ok] = 0
                 names += [m.names[k] if good else None for k, good in zip(name.tolist(), ok.tolist(), strict=True)]
                 scores.append(best)
                 places += [int(p) if good and p >= 0 else None for p, good in zip(place.tolist(), ok.tolist(), strict=True)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.sources.tables import read
 
-from . import bm25, byte_bpe, decontaminate, html_extract, jaccard_join, licenses, oracle, quotes, substring_dedup, toxicity, warc
+from . import bm25, byte_bpe, decontaminate, html_extract, jaccard_join, licenses, oracle, oracle_more, quotes, substring_dedup, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return bm25.top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
+    return bm25.top_k(docs, docs.where("doc_id % 50 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 _ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
+SQL: dict[str, str] = {name: sql for name, sql in (oracle.SQL | oracle_more.SQL).items() if name in QUERIES}
