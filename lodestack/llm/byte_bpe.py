@@ -32,8 +32,8 @@ from . import scratch
 SHORT = 64
 #: Characters of text whose matches are merged together.
 GROUP = 3_000_000
-#: Distinct matches whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBER = 700_000
+#: Distinct matches whose ids a task remembers; beyond it the memory starts afresh.
+REMEMBER = 500_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -290,9 +290,11 @@ def _run(docs, ranks_path, pattern, doc_id, text, schema, columns) -> DataFrame:
 
     def run(batches):
         codec = _worker_codec(shared, key)
+        codec.known.clear()
         for batch in batches:
             made = columns(codec.encode_texts([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[f"c{i}" for i in range(len(made) + 1)])
+        codec.known.clear()  # the worker goes on to other work
 
     return scratch.columns(docs, doc_id=doc_id, text=text).mapInArrow(run, schema)
 
