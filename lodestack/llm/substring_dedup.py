@@ -173,8 +173,8 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def plain(batches):
         for batch in batches:
-            text = [untouched(t) for t in _raw(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(text, pa.string()), *batch.columns[3:]], names=out_names)
+            text = batch.column(2) if as_is else pa.array([_joined(t) for t in _raw(batch.column(2))], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int64)), text, *batch.columns[3:]], names=out_names)
 
     def removed(batches):
         for batch in batches:
