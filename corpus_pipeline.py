@@ -17,13 +17,10 @@ from pyspark.sql import functions as F
 from lodestack.llm import byte_bpe, decontaminate, jaccard_join, scratch, substring_dedup, toxicity
 from lodestack.sources.tables import read
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches 0.7 go. The model learns from the training fold of ``labels``."""
     model = toxicity.train_on_labels(docs, read(spark, sf_dir, "labels"))
-    return toxicity.keep_below(docs.select(*COLUMNS), model)
+    return toxicity.keep_below(docs, model)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +30,22 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """
     classes = jaccard_join.similarity_classes(docs, size=5, threshold=(80, 100))
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.select(*COLUMNS).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has are cut; every row stays, with what is left of its text."""
-    cut = substring_dedup.dedup_passages(docs, carry=("lang", "source"), as_is=True)
-    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = substring_dedup.dedup_passages(docs, carry=rest, as_is=True).withColumn("text", F.col("kept_text"))
+    if "n_chars" in rest:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return cut.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.select(*COLUMNS).join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
