@@ -55,7 +55,8 @@ def sample(bag: DataFrame, fraction: float, seed: int | None = None) -> DataFram
 
 def sample_hashed(rows: DataFrame, key: Column, fraction: float) -> DataFrame:
     """Like ``sample``, but a key always meets the same fate: runs and engines agree on it."""
-    return rows.where(F.crc32(key.cast("string")) < int(fraction * 2**32))
+    below = f"{int(fraction * 2**32):08x}" if fraction < 1 else "g"
+    return rows.where(F.substring(F.md5(key.cast("string")), 1, 8) < below)
 
 
 def sample_exact(bag: DataFrame, fraction: float, seed: int = 0, replace: bool = False) -> DataFrame:

@@ -16,11 +16,9 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
         return f
 
     return add
@@ -212,7 +210,7 @@ def bag_intersection(spark, d):
     return bags.intersection(left, bags.from_table(read(spark, d, "supplier"), F.col("s_nationkey").cast("string")))
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders WHERE md5(CAST(o_orderkey AS VARCHAR))[:8] < '{int(0.1 * 2**32):08x}'")
 def bag_sample(spark, d):
     return bags.sample_hashed(read(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey"), 0.1)
 

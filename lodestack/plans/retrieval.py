@@ -13,11 +13,9 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
         return f
 
     return add
