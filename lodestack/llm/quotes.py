@@ -48,7 +48,7 @@ def own_text(text: Column) -> Column:
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, h, passage (number), depth, lines (normalised, in order) of the messages that quote."""
-    quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
+    quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", "h", "text").dropDuplicates(["conv_id", "turn", "h"])
     lines = quoting.select("conv_id", "turn", "h", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     lines = lines.select("conv_id", "turn", "h", "at", _depth(F.col("line")).alias("depth"), normal(F.regexp_replace("line", _MARKS, "")).alias("said"))
     by_message = Window.partitionBy("conv_id", "turn", "h").orderBy("at")
@@ -121,8 +121,7 @@ def threads(conversations: DataFrame, **names: str) -> DataFrame:
     """
     messages = _messages(conversations, **names)
     placed = messages.where("conv_id is not null and turn is not null")
-    distinct = placed.dropDuplicates(["conv_id", "turn", "h"])
-    sources = scratch.table(_sources(distinct, quoted_passages(distinct)))
+    sources = scratch.table(_sources(placed, quoted_passages(placed)))
     firsts = F.max(F.when(F.col("depth") == 1, F.struct("votes", "source")))["source"]
     links = sources.groupBy("conv_id", "turn", "h").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), firsts.alias("answers"))
 
