@@ -41,4 +41,4 @@ def from_posting_lists(lists: DataFrame) -> DataFrame:
 
 def weights(index: DataFrame, n_docs: DataFrame) -> DataFrame:
     """``term, df, idf`` of every term; ``n_docs`` is one row with ``n``."""
-    return document_frequency(index).crossJoin(F.broadcast(n_docs.select("n"))).select("term", "df", words.idf(F.col("n"), F.col("df")).alias("idf"))
+    return document_frequency(index).select("term", "df", words.idf(n_docs.select("n").scalar(), F.col("df")).alias("idf"))

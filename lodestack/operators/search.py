@@ -23,13 +23,14 @@ def query_terms(spark: SparkSession, query: str) -> DataFrame:
 def scores(index: DataFrame, terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     """``doc_id, rank_score`` of the documents above the threshold.
 
-    ``terms`` are one query's words, a bounded table: broadcasting it prunes
-    the index where it is read. Unknown words add nothing. The frequency of a
-    term is counted from the matched postings, in partial aggregates.
+    ``terms`` are one query's words, a bounded table: broadcast as a semi-join,
+    it goes below the aggregation of an index that is built on the fly. Unknown
+    words add nothing. The frequency of a term is counted from the matched
+    postings, in partial aggregates.
     """
-    matched = index.join(F.broadcast(terms), "term")
+    matched = index.join(F.broadcast(terms), "term", "left_semi")
     df = matched.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n_docs.select("n"))).select("term", words.idf(F.col("n"), F.col("df")).alias("idf"))
+    idf = df.select("term", words.idf(n_docs.select("n").scalar(), F.col("df")).alias("idf"))
     weighted = matched.join(F.broadcast(idf), "term").select("doc_id", (F.col("idf") * words.tf_weight(F.col("tf"))).alias("w"))
     return weighted.groupBy("doc_id").agg(F.sum("w").alias("rank_score")).where(F.col("rank_score") > THRESHOLD)
 
