@@ -10,6 +10,7 @@ the article around it, with those siblings that hold running text themselves.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -41,10 +42,13 @@ DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset fo
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 #: Words of class and id that mark what stands around an article.
 AROUND = frozenset(
-    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
+    "ad adbox ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
 )
-#: Words that mark the article itself; they outweigh the words above.
-WITHIN = frozenset("article articlebody body content entry main page post story text".split())
+#: Of these, the ones that a word for the article outweighs.
+WEAK = frozenset("banner byline discussion form header notice social tags teaser".split())
+WITHIN = frozenset("article articlebody content entry main post story".split())
+#: A class name that starts so tells of the layout: ``with-sidebar`` is no sidebar.
+LAYOUT = frozenset("has have include is no not show with without".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -65,6 +69,7 @@ def parse(html: str) -> Node:
     """The element tree; never fails, whatever the markup."""
     root = Node("#root", "", None)
     at, here, stack = 0, root, [root]
+    open_now: Counter[str] = Counter()
     size = len(html)
     lower = None
     while at < size:
@@ -80,20 +85,20 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if found["end"] or found["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_now[name] else ():
                 if stack[k].name == name:
-                    del stack[k:]
-                    here = stack[-1]
+                    _pop(stack, k, open_now)
                     break
                 if stack[k].name in ("td", "th", "table") and name not in BLOCK:
                     break
+            here = stack[-1]
             continue
-        if name in ("html", "body", "head") and any(n.name == name for n in stack):
+        if name in ("html", "body", "head") and open_now[name]:
             continue
-        if name in CLOSES_P:
-            _close(stack, ("p",), ("td", "th", "table", "button", "caption"))
-        if name in ENDS:
-            _close(stack, ENDS[name], SCOPES.get(name, TABLE_SCOPE))
+        if name in CLOSES_P and open_now["p"]:
+            _close(stack, ("p",), ("td", "th", "table", "button", "caption"), open_now)
+        if name in ENDS and any(open_now[n] for n in ENDS[name]):
+            _close(stack, ENDS[name], SCOPES.get(name, TABLE_SCOPE), open_now)
         here = stack[-1]
         attrs = found["attrs"] if found["name"] else found["attrs2"]
         node = Node(name, attrs or "", here)
@@ -108,11 +113,18 @@ def parse(html: str) -> Node:
             at = size if end < 0 or close < 0 else close + 1
         elif name not in VOID and not (attrs or "").endswith("/") or name in BLOCK - VOID:
             stack.append(node)
+            open_now[name] += 1
             here = node
     return root
 
 
-def _close(stack: list[Node], names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+def _pop(stack: list[Node], k: int, open_now: Counter[str]) -> None:
+    for node in stack[k:]:
+        open_now[node.name] -= 1
+    del stack[k:]
+
+
+def _close(stack: list[Node], names: tuple[str, ...], scope: tuple[str, ...], open_now: Counter[str]) -> None:
     """Pop the outermost open element of ``names`` within the scope, and all above it."""
     last = 0
     for k in range(len(stack) - 1, 0, -1):
@@ -121,7 +133,7 @@ def _close(stack: list[Node], names: tuple[str, ...], scope: tuple[str, ...]) ->
         elif stack[k].name in scope:
             break
     if last:
-        del stack[last:]
+        _pop(stack, last, open_now)
 
 
 def _around(node: Node) -> bool:
@@ -135,12 +147,23 @@ def _around(node: Node) -> bool:
         return True
     if attrs.get("role", "").lower() in DROPPED_ROLES:
         return True
+    names = [[w.lower() for w in _WORDS.findall(c)] for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    hits = {w for ws in names if ws and ws[0] not in LAYOUT for w in (ws[0], ws[-1]) if w in AROUND}
     if node.name in ("article", "main"):
-        marks = {w.lower() for w in _WORDS.findall(attrs.get("class", ""))}
-        return bool(marks & {"comment", "related", "promo", "ad", "sponsored"})
-    marks = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    hit = marks & AROUND
-    return bool(hit) and (not marks & WITHIN or bool(hit & {"comment", "comments", "ad", "ads", "sidebar", "related", "nav", "footer", "header", "share"}) and not marks & {"main", "article"})
+        return bool(hits & {"ad", "advert", "comment", "promo", "promoted", "related", "sponsored", "teaser"})
+    if hits <= WEAK and any(w in WITHIN for ws in names for w in ws):
+        return False
+    return bool(hits)
+
+
+def _holds_article(form: Node) -> bool:
+    """Whether a form is wrapped around the page rather than a part of it."""
+    n = 0
+    for node in _elements(form):
+        if node.name in ("article", "main"):
+            return True
+        n += node.name == "p"
+    return n >= 5
 
 
 def _prune(root: Node) -> None:
@@ -151,7 +174,7 @@ def _prune(root: Node) -> None:
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                if _around(child):
+                if _around(child) and not (child.name == "form" and _holds_article(child)):
                     kept.append(" ")
                     continue
                 if child.name == "header":
@@ -252,16 +275,22 @@ def best_container(root: Node) -> list[Node]:
         up = up.parent
     if best.parent is None or best.name == "body":
         return [best]
-    least, kept = max(5.0, 0.2 * worth(best)), []
+    least, kept = max(1.0, 0.2 * worth(best)), []
     for c in best.parent.children:
         if isinstance(c, Node):
             total, links = sizes[id(c)]
             running = c.name in ("p", "pre", "blockquote", "ul", "ol", "table", *HEADINGS) and total and links / total < 0.25
-            if c is best or worth(c) >= least or running and (total > 80 or c.name in HEADINGS or best.parent.name != "body"):
+            if c is best or worth(c) >= least or _is_heading(c, sizes) or running and (total > 80 or c.name in HEADINGS or best.parent.name != "body"):
                 kept.append(c)
     return kept
 
 
+def _is_heading(node: Node, sizes: dict[int, tuple[int, int]]) -> bool:
+    """Whether all text of an element is a title."""
+    total = sizes[id(node)][0]
+    return total > 0 and total == sum(sizes[id(n)][0] for n in _elements(node) if n.name in ("h1", "h2"))
+
+
 def blocks(nodes: list[Node], menus: bool = False) -> list[str]:
     """Texts of the blocks below ``nodes`` in page order; white space becomes one space, empty blocks go."""
     sizes = {} if menus else _measure_all(nodes)

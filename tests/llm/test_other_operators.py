@@ -110,6 +110,8 @@ def test_search_of_nothing(spark):
 
 ARTICLE = "<p>One, two, three: a paragraph that is long enough to earn its points, and more.</p>"
 
+LINE = ARTICLE[3:-4]
+
 
 @pytest.mark.parametrize(
     ("html", "want"),
@@ -126,6 +128,9 @@ ARTICLE = "<p>One, two, three: a paragraph that is long enough to earn its point
         ("<article><header><h1>H</h1><p>by me</p></header><p>text</p></article>", "H\ntext"),
         ("<article><p class=notice hidden>n</p><p>kept 1 < 2</article>", "kept 1 < 2"),
         ("<article><p title='a > b'>q</p><p>un<i>bro</i>ken", "q\nunbroken"),
+        (f"<div class='main with-sidebar'><div class='main-menu'>m</div><div class='sponsored-content'>{ARTICLE}</div>{ARTICLE}<div id=articleComments>{ARTICLE}</div></div>", LINE),
+        (f"<form id=f><div class=wrap>{ARTICLE * 5}</div></form>", "\n".join([LINE] * 5)),
+        (f"<body><div id=page-header>x</div><div role=alert>{ARTICLE}</div><div class='post-header'><h2>Head</h2></div><section>{ARTICLE * 2}</section><section>{ARTICLE}</section></body>", f"Head\n{LINE}\n{LINE}\n{LINE}"),
     ],
 )
 def test_main_text(html, want):
