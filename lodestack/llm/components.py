@@ -63,14 +63,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round writes its edges to the shared folder, so the lineage stays
     one round long. A hub's neighbours are never gathered in one row: each
-    star is a minimum with partial aggregation and a join back, which
-    adaptive execution can split.
+    star is a minimum with partial aggregation and a join back. The minima are
+    staged, so both sides of that join are plain shuffles and adaptive
+    execution can split a hub's rows.
     """
     now = scratch.table(contract(edges))
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
