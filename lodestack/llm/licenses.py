@@ -204,3 +204,8 @@ def example_path(doc_id: Column, source: Column) -> Column:
     return F.concat_ws("/", F.coalesce(source, F.lit("unknown")), F.floor(doc_id / 1000).cast("string"), F.floor(doc_id / 100).cast("string"), name)
 
 
+
+
+def example_id(path: Column) -> Column:
+    """The document that ``example_path`` placed there."""
+    return F.coalesce(F.regexp_extract(path, r"/([0-9]+)\.txt$", 1).try_cast("long"), F.regexp_extract(path, r"/([0-9]+)/LICENSE$", 1).try_cast("long") * 100)

@@ -73,7 +73,7 @@ above AS (
   SELECT DISTINCT f.dir, h.dir AS up, h.name FROM (SELECT DISTINCT dir FROM files) f JOIN holders h ON f.dir = h.dir OR starts_with(f.dir, h.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY length(h.dir) DESC) = 1
 )
-SELECT f.dir || '/' || file AS path, f.name AS own_license, coalesce(round(c, 6), 0.0) AS own_score, CAST(line AS BIGINT) AS in_line,
+SELECT f.doc_id, f.dir || '/' || file AS path, f.name AS own_license, coalesce(round(c, 6), 0.0) AS own_score, CAST(line AS BIGINT) AS in_line,
        coalesce(f.name, a.name) AS license, CASE WHEN f.name IS NOT NULL THEN f.dir || '/' || file ELSE up END AS license_from
 FROM files f LEFT JOIN above a ON a.dir = f.dir
 """

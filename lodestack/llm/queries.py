@@ -45,7 +45,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     files = docs.select(licenses.example_path(F.col("doc_id"), F.col("source")).alias("path"), "text")
-    return licenses.scan(files).withColumn("own_score", F.round("own_score", 6))
+    return licenses.scan(files).select(licenses.example_id(F.col("path")).alias("doc_id"), "path", "own_license", F.round("own_score", 6).alias("own_score"), "in_line", "license", "license_from")
 
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
