@@ -29,7 +29,7 @@ def scores(index: DataFrame, terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     postings, in partial aggregates.
     """
     matched = index.join(F.broadcast(terms), "term", "left_semi")
-    df = matched.groupBy("term").agg(F.count("*").alias("df"))
+    df = matched.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that both uses of the matched postings share one shuffle
     idf = df.select("term", words.idf(n_docs.select("n").scalar(), F.col("df")).alias("idf"))
     weighted = matched.join(F.broadcast(idf), "term").select("doc_id", (F.col("idf") * words.tf_weight(F.col("tf"))).alias("w"))
     return weighted.groupBy("doc_id").agg(F.sum("w").alias("rank_score")).where(F.col("rank_score") > THRESHOLD)
