@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,4 +27,18 @@ def staged(df: DataFrame) -> DataFrame:
     """Write and re-read: the lineage ends here, and losing an executor costs a read."""
     path = f"{folder(df.sparkSession)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _clear() -> None:
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return
+
+
+atexit.register(_clear)
