@@ -1,7 +1,12 @@
-"""The session that tests, the bench and the command line share."""
+"""Sessions, and getting the package to their workers."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +23,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_shipped: list[int] = []
+
+
+def make_importable(spark: SparkSession) -> None:
+    """See that Python workers can import this package.
+
+    They can where its folder is the working directory or on PYTHONPATH, as on
+    a cluster set up for it; otherwise the package goes to them with Spark's
+    own file distribution, once for each context.
+    """
+    root = Path(__file__).resolve().parents[1]
+    known = [Path.cwd(), *(Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    context = spark.sparkContext
+    if root in known or id(context) in _shipped:
+        return
+    packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="lodestack-")) / "lodestack"), "zip", root, "lodestack")
+    context.addPyFile(packed)
+    _shipped.append(id(context))

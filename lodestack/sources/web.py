@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.session import make_importable
+
 SCHEMA = "url string, status int, content_type string, location string, page string"
 
 
@@ -44,4 +46,5 @@ def fetch(urls: DataFrame, agent: str, timeout: float = 10.0) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["url", "status", "content_type", "location", "page"])
 
+    make_importable(urls.sparkSession)
     return urls.select("url").mapInPandas(run, SCHEMA)
