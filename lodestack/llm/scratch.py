@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.session import make_importable
+
 from .textkernel import mix
 
 _written: list[tuple[SparkSession, str, str | None]] = []
@@ -78,9 +80,10 @@ BATCH_ROWS = 1000
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under fixed names: clashing extra columns cannot interfere.
 
-    Also lowers the session's Arrow batches to ``BATCH_ROWS`` rows, unless
+    Also sees that workers can import this package, and lowers the session's Arrow batches to ``BATCH_ROWS`` rows, unless
     they were set to something other than Spark's default.
     """
+    make_importable(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(key) == "10000":
         df.sparkSession.conf.set(key, str(BATCH_ROWS))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.session import make_importable
+
 from . import html_extract, scratch
 
 RECORD = "key long, headers array<struct<name:string,value:string>>, block binary"
@@ -161,6 +163,7 @@ def derive(records: DataFrame) -> DataFrame:
                 rows += _derive(key, [(h["name"], h["value"]) for h in headers or ()], block or b"")
             yield _batch(rows)
 
+    make_importable(records.sparkSession)
     return records.select("key", "headers", "block").mapInArrow(run, RECORD)
 
 
@@ -221,6 +224,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
+    make_importable(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where("length > 0").select("content").mapInArrow(run, RECORD)
 
