@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-_shipped: list[int] = []
+_shipped: set[str] = set()
 
 
 def make_importable(spark: SparkSession) -> None:
@@ -38,8 +38,8 @@ def make_importable(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     known = [Path.cwd(), *(Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
     context = spark.sparkContext
-    if root in known or id(context) in _shipped:
+    if root in known or context.applicationId in _shipped:
         return
     packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="lodestack-")) / "lodestack"), "zip", root, "lodestack")
     context.addPyFile(packed)
-    _shipped.append(id(context))
+    _shipped.add(context.applicationId)
