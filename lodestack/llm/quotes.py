@@ -66,17 +66,36 @@ def originals(messages: DataFrame) -> DataFrame:
 
 
 def _sources(messages: DataFrame, passages: DataFrame) -> DataFrame:
-    """conv_id, turn, h, passage, depth, n_lines, source: the turn that each passage comes from, or null."""
-    whole = F.array(F.struct(F.xxhash64(F.array_join("lines", " ")).alias("key"), (F.size("lines") + 1).alias("weight")))
-    probes = passages.select("conv_id", "turn", "h", "passage", F.explode(F.concat(whole, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("key"), F.lit(1).alias("weight"))))).alias("p")).select("conv_id", "turn", "h", "passage", "p.key", "p.weight")
+    """conv_id, turn, h, passage, depth, n_lines, votes, source: the turn that each passage comes from, or null.
+
+    The latest holders of the whole or of each line are counted first. A turn
+    that holds more lines than the best of them, or as many and is later, holds
+    one of the passage's rarer lines too, so only the holders of those are
+    counted besides: the result is that of counting every earlier turn.
+    """
+    ids = ["conv_id", "turn", "h", "passage"]
+    whole = F.array(F.struct(F.xxhash64(F.array_join("lines", " ")).alias("key"), (F.size("lines") + 1).alias("weight"), F.lit(True).alias("whole")))
+    probes = passages.select(*ids, F.explode(F.concat(whole, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("key"), F.lit(1).alias("weight"), F.lit(False).alias("whole"))))).alias("p"))
+    probes = scratch.table(probes.groupBy(*ids, "p.key", "p.whole").agg(F.sum("p.weight").alias("weight")))
     asked = probes.select("conv_id", "key").distinct()
-    held = originals(messages).join(asked, ["conv_id", "key"], "left_semi").select("conv_id", "key", "turn", F.col("turn").alias("source"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("weight"))
-    both = held.unionByName(probes.select("conv_id", "key", "turn", F.lit(None).cast("long").alias("source"), "h", F.col("passage").cast("long").alias("passage"), "weight"))
+    held = scratch.table(originals(messages).join(asked, ["conv_id", "key"], "left_semi").select("conv_id", "key", F.col("turn").alias("source")))
+    both = held.withColumn("turn", F.col("source")).unionByName(probes, allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("source", F.max("source").over(before)).where("passage is not null and source is not null")
-    votes = found.groupBy("conv_id", "turn", "h", "passage", "source").agg(F.sum("weight").alias("votes"))
-    best = votes.groupBy("conv_id", "turn", "h", "passage").agg(F.max(F.struct("votes", "source")).alias("best"))
-    return passages.join(best, ["conv_id", "turn", "h", "passage"], "left").select("conv_id", "turn", "h", "passage", "depth", F.size("lines").alias("n_lines"), F.col("best.votes").alias("votes"), F.col("best.source").alias("source"))
+    found = both.withColumn("holders", F.count("source").over(before)).withColumn("source", F.max("source").over(before)).where("passage is not null and source is not null")
+    found = scratch.table(found.select(*ids, "key", "whole", "weight", "holders", "source"))
+
+    def counted(turns: DataFrame) -> DataFrame:
+        votes = turns.join(found.select(*ids, "key", "weight"), ids).join(held, ["conv_id", "key", "source"])
+        return votes.groupBy(*ids, "source").agg(F.sum("weight").alias("votes"))
+
+    latest = found.groupBy(*ids).agg(F.max(F.when(F.col("whole"), F.col("source"))).alias("as_whole"), F.collect_set("source").alias("by_line"))
+    latest = latest.select(*ids, F.explode(F.when(F.col("as_whole").isNotNull(), F.array("as_whole")).otherwise(F.col("by_line"))).alias("source"))
+    best = scratch.table(counted(latest).groupBy(*ids).agg(F.max(F.struct("votes", "source")).alias("best")))
+    rarer = Window.partitionBy(*ids).orderBy("holders", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rare = found.where("not whole").withColumn("most", F.sum("weight").over(rarer)).drop("source").join(best, ids).where("most >= best.votes")
+    rivals = rare.join(held, ["conv_id", "key"]).where("source < turn and (most > best.votes or source > best.source)").select(*ids, "source").distinct()
+    best = best.unionByName(counted(rivals).select(*ids, F.struct("votes", "source").alias("best"))).groupBy(*ids).agg(F.max("best").alias("best"))
+    return passages.join(best, ids, "left").select(*ids, "depth", F.size("lines").alias("n_lines"), F.col("best.votes").alias("votes"), F.col("best.source").alias("source"))
 
 
 def linked_passages(conversations: DataFrame, **names: str) -> DataFrame:

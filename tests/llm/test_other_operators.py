@@ -279,6 +279,31 @@ def test_long_conversations_span_buckets(spark):
     assert quotes.threads(spark.createDataFrame([], CHAT)).collect() == []
 
 
+def test_recurring_lines_do_not_hide_the_source(spark):
+    rows = [(1, 1, "a", "Hi all,\n\nThe build is broken.\n\nRegards"), (1, 2, "b", "Hi all,\n\nLunch?"), (1, 3, "c", "> Hi all,\n>\n> The build is broken.\nFixed.")]
+    got = {r.turn: r for r in quotes.threads(spark.createDataFrame(rows, CHAT)).collect()}
+    assert got[3].n_linked == 1 and got[3].reply_to == 1
+
+
+def test_sources_equal_counting_every_earlier_turn(spark):
+    rng = random.Random(13)
+    words = [f"line {c}" for c in "abcdefgh"]
+    rows, want = [], {}
+    for conv in range(12):
+        for turn in range(30):
+            own = [rng.choice(words) for _ in range(rng.randrange(1, 6))]
+            asked = [rng.choice(words[: 8 if conv % 2 else 4]) for _ in range(rng.randrange(0, 6))]
+            rows.append((conv, turn, "u", "\n".join([*(f"> {x}" for x in asked), *own])))
+            if asked:
+                earlier = {r[1]: [x for x in r[3].split("\n") if not x.startswith(">")] for r in rows if r[0] == conv and r[1] < turn}
+                whole = [t for t, ls in earlier.items() if " ".join(asked) in {*ls, " ".join(ls)}]
+                counts = [(sum(x in ls for x in asked), t) for t, ls in earlier.items()]
+                most = max(counts, default=(0, None))
+                want[(conv, turn)] = max(whole) if whole else most[1] if most[0] else None
+    got = quotes.linked_passages(spark.createDataFrame(rows, CHAT).repartition(3)).collect()
+    assert {(r.conv_id, r.turn): r.source for r in got} == want
+
+
 def test_no_python_on_the_quotation_path(spark):
     plan = quotes.digests(quotes.threads(spark.createDataFrame([(1, 0, "a", "> x\ny")], CHAT)))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
