@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from lodestack.sources.staging import staged
 
 REDIRECTS = (301, 307, 308)
 STATE = "url string, round int"
+#: Rounds whose tables are read side by side before they become one.
+MERGED = 50
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "page") -> DataFrame:
@@ -56,40 +60,47 @@ def crawl_rows(answers: DataFrame) -> DataFrame:
     )
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: DataFrame | None = None, agent: str = "*", max_rounds: int = 100, per_host: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _kept(tables: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """``tables`` and ``new``, as one table when they are many: plans stay small however many rounds there are."""
+    tables = [*tables, new]
+    return tables if len(tables) < MERGED else [staged(reduce(DataFrame.unionByName, tables))]
+
+
+def crawl(spark: SparkSession, seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: DataFrame | None = None, agent: str = "*", max_rounds: int | None = None, per_host: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(crawl rows, banned rows) of everything reachable from ``seeds(url)``.
 
     ``fetch`` turns a frontier ``(url)`` into answers. Each round drops the
     URLs seen before, asks the robots rules, fetches, and resolves redirects and
-    links into the next frontier. With ``per_host``, URLs beyond it wait for
-    later rounds. All state is staged each round; the driver holds counts only.
+    links into the next frontier, until that is empty. With ``per_host``, URLs
+    beyond it wait for later rounds. All state is staged each round; the driver
+    holds counts only. A crawl that is not over after ``max_rounds`` raises
+    ``RuntimeError``.
     """
     frontier = staged(seeds.select(urls.seed(F.col("url")).alias("url")).distinct())
     seen = spark.createDataFrame([], STATE)
-    done, banned = None, None
-    for n in range(max_rounds):
+    done, banned = [], []
+    for n in count():
         if not frontier.limit(1).count():
             break
+        if max_rounds is not None and n >= max_rounds:
+            raise RuntimeError(f"{frontier.count()} URLs are left to crawl after {max_rounds} rounds")
         checked = robots.decide(frontier, rules, agent) if rules is not None else frontier.withColumn("allowed", F.lit(True))
-        refused = robots.banned(checked)
-        banned = refused if banned is None else banned.unionByName(refused)
+        banned = _kept(banned, robots.banned(checked))
         allowed = checked.where("allowed").select("url")
         now, later = allowed, None
         if per_host is not None:
             slots = staged(schedule(allowed, per_host).select("url", "slot"))
             now, later = slots.where("slot = 0").select("url"), slots.where("slot > 0").select("url")
         answers = staged(fetch(now).withColumn("round", F.lit(n)))
-        done = answers if done is None else done.unionByName(answers)
+        done = _kept(done, answers)
         gone = frontier if later is None else frontier.join(later, "url", "left_anti")
         seen = staged(seen.unionByName(gone.select("url", F.lit(n).alias("round"))))
         ok = answers.where("status = 200")
         found = links(ok).unionByName(redirects(answers)).select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
         frontier = staged(found if later is None else found.unionByName(later).distinct())
-    if done is None:
-        done = spark.createDataFrame([], "url string, status int, content_type string, location string, page string, round int")
-    if banned is None:
-        banned = spark.createDataFrame([], "row_key string, url string, banned string")
-    return crawl_rows(done), banned
+    answered = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "url string, status int, content_type string, location string, page string, round int")
+    refused = reduce(DataFrame.unionByName, banned) if banned else spark.createDataFrame([], "row_key string, url string, banned string")
+    return crawl_rows(answered), refused
 
 
 def stored(web: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -176,7 +176,7 @@ def crawl_banned(spark, d):
 
 @query(f"SELECT DISTINCT {_ported('s')} AS url, CAST(200 AS INTEGER) AS \"responseCode\" FROM ({_SEED}) JOIN (SELECT {_ported('url')} AS u FROM pages) ON {_ported('s')} = u")
 def crawl_pages(spark, d):
-    """One round over the stored pages, with every page as a seed that is written as a start address is."""
+    """The whole crawl of the stored pages, with every page as a seed that is written as a start address is."""
     pages = web.from_pages(_pages(spark, d))
-    rows, _ = crawl.crawl(spark, read(spark, d, "pages").select("url"), crawl.stored(pages), max_rounds=3)
+    rows, _ = crawl.crawl(spark, read(spark, d, "pages").select("url"), crawl.stored(pages))
     return rows.select("url", "responseCode").distinct()

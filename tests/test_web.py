@@ -1,10 +1,13 @@
 """URLs, links, robots rules and crawls."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls
 from lodestack.operators import crawl, robots
+from lodestack.plans import web as web_plans
 from lodestack.plans.web import mini_rules, mini_web
 from lodestack.sources import web
 
@@ -120,6 +123,22 @@ def test_crawl_with_politeness_visits_the_same(spark):
     assert none.collect() == []
 
 
+def test_crawl_ends_only_when_nothing_is_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(crawl, "MERGED", 3, raising=False)
+    site = "http://chain.example:80/"
+    pages = spark.createDataFrame([(k, f"{site}{k or ''}", f'<a href="/{k + 1}">x</a>') for k in range(5)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = web_plans.crawl_pages(spark, str(tmp_path)).collect()
+    assert {r.url.removeprefix(site) for r in got} == {"", "1", "2", "3", "4"}
+
+
+def test_crawl_tells_what_a_limit_leaves(spark):
+    start = spark.createDataFrame([("mini.example",)], "url string")
+    with pytest.raises(RuntimeError, match="2 URLs are left"):
+        crawl.crawl(spark, start, crawl.stored(mini_web(spark)), max_rounds=1)
+    assert inspect.signature(crawl.crawl).parameters["max_rounds"].default is None
+
+
 def test_schedule_and_redirects(spark):
     urls_ = spark.createDataFrame([("http://a:80/1",), ("http://a:80/2",), ("http://a:80/3",), ("http://b:80/1",)], "url string")
     assert sorted((r.url, r.slot) for r in crawl.schedule(urls_, 2).collect()) == [("http://a:80/1", 0), ("http://a:80/2", 0), ("http://a:80/3", 1), ("http://b:80/1", 0)]
