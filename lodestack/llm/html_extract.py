@@ -47,7 +47,9 @@ AROUND = frozenset(
 #: Of these, the ones that a word for the article outweighs.
 WEAK = frozenset("banner byline discussion form header notice social tags teaser".split())
 WITHIN = frozenset("article articlebody content entry main post story".split())
-#: A class name that starts so tells of the layout: ``with-sidebar`` is no sidebar.
+#: Of these, the ones whose elements may hold other articles than the page's own, and so are no wrappers for having one.
+OTHERS = frozenset("comment comments commentlist discussion disqus recommended related replies respond teaser".split())
+#: What follows such a word in a class name tells of the layout: ``layout-with-sidebar`` is no sidebar.
 LAYOUT = frozenset("has have include is no not show with without".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -136,8 +138,11 @@ def _close(stack: list[Node], names: tuple[str, ...], scope: tuple[str, ...], op
         _pop(stack, last, open_now)
 
 
-def _around(node: Node) -> bool:
-    """Whether an element stands around the article rather than in it."""
+def _around(node: Node, wraps: bool = False) -> bool:
+    """Whether an element stands around the article rather than in it.
+
+    One that ``wraps`` the page's article is not pruned for its class or id.
+    """
     if node.name in RAW or node.name in DROPPED or node.name == "head":
         return True
     if not node.attrs or node.name in ("html", "body"):
@@ -148,12 +153,32 @@ def _around(node: Node) -> bool:
     if attrs.get("role", "").lower() in DROPPED_ROLES:
         return True
     names = [[w.lower() for w in _WORDS.findall(c)] for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
-    hits = {w for ws in names if ws and ws[0] not in LAYOUT for w in (ws[0], ws[-1]) if w in AROUND}
+    hits = {w for ws in names if ws for w, before in ((ws[0], ()), (ws[-1], ws[:-1])) if w in AROUND and LAYOUT.isdisjoint(before)}
     if node.name in ("article", "main"):
         return bool(hits & {"ad", "advert", "comment", "promo", "promoted", "related", "sponsored", "teaser"})
     if hits <= WEAK and any(w in WITHIN for ws in names for w in ws):
         return False
-    return bool(hits)
+    return bool(hits) and not (wraps and hits.isdisjoint(OTHERS))
+
+
+def _wrappers(root: Node) -> set[int]:
+    """The ids of the elements that hold a main, or every article of a page without one; those among comments do not count."""
+    nodes = list(_elements(root))
+    if not any(n.name in ("article", "main") for n in nodes):
+        return set()
+    out: set[int] = set()
+    for n in nodes:
+        if n.parent is not None and (id(n.parent) in out or n.name != "form" and _around(n, True)):
+            out.add(id(n))
+    for name in ("main", "article"):
+        held = {id(n): int(n.name == name and id(n) not in out) for n in nodes}
+        total = sum(held.values())
+        for n in reversed(nodes):
+            if n.parent is not None:
+                held[id(n.parent)] += held[id(n)]
+        if total:
+            return {k for k, n in held.items() if n and (name == "main" or n == total)}
+    return set()
 
 
 def _holds_article(form: Node) -> bool:
@@ -167,14 +192,14 @@ def _holds_article(form: Node) -> bool:
 
 
 def _prune(root: Node) -> None:
-    todo = [(root, False)]
+    todo, wrappers = [(root, False)], _wrappers(root)
     while todo:
         node, in_article = todo.pop()
         inside = in_article or node.name in ("article", "main")
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                if _around(child) and not (child.name == "form" and _holds_article(child)):
+                if _around(child, id(child) in wrappers) and not (child.name == "form" and _holds_article(child)):
                     kept.append(" ")
                     continue
                 if child.name == "header":

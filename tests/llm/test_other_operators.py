@@ -143,6 +143,15 @@ def test_broken_markup_is_read_in_linear_time():
         html_extract.plain_text(bad)
 
 
+@pytest.mark.parametrize("classes", ["layout-with-sidebar", "container sidebar-right", "page-no-nav", "has-banner modal-open"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_named_after_what_stands_beside_keep_the_article(classes, tag):
+    said = "The harbour was rebuilt, slowly, after the storm had taken most of its walls."
+    aside = '<div class="sidebar"><p>Other news, as listed here, of no great length or use.</p></div>'
+    html = f'<body><div class="{classes}"><{tag}><p>{said}</p></{tag}>{aside}</div><div class="comments"><article><p>Well said, I think, and so do many others here.</p></article></div></body>'
+    assert html_extract.main_text(html) == said
+
+
 def test_extract_rows(spark, rows):
     df = spark.createDataFrame([(1, "u", "<p>é</p>", 0), (1, "u", "<p>é</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert rows(html_extract.extract(df)) == sorted([(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)], key=repr)
