@@ -270,7 +270,10 @@ def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int
 
     made = docs.select("doc_id", "text").mapInArrow(sets, "rep long, a long, b long, keys binary")
     made = made.withColumn("pick", F.xxhash64("rep", "a")).mapInArrow(chosen, "rep long, a long, b long, keys binary")
-    tasks = dealt.hint("merge").join(made, ["a", "b", "rep"])
+    # A class without ids has a null rep; its rows are one as a key of the join.
+    keyed = lambda df: df.withColumn("no_id", F.col("rep").isNull()).withColumn("rep", F.coalesce("rep", F.lit(0).cast("long")))
+    made = keyed(made).groupBy("a", "b", "rep", "no_id").agg(F.first("keys").alias("keys"))
+    tasks = keyed(dealt).hint("merge").join(made, ["a", "b", "rep", "no_id"])
 
     def links(cid, own, home, keys):
         """Pairs (p, q) of one cell that link."""

@@ -160,6 +160,14 @@ def test_classes_match_brute_force(spark, monkeypatch, size, num, block):
     assert sorted(map(tuple, got.collect())) == brute_classes(docs, size, num, 100)
 
 
+def test_near_copies_without_ids_link(spark):
+    base = [f"w{k}" for k in range(60)]
+    first, second, third = " ".join(base), " ".join([*base, "x1"]), " ".join([*base, "x1", "x2"])
+    docs = [(1, first), (None, second), (None, second), (9, third)]
+    got = jaccard_join.similarity_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), size=3, threshold=(98, 100)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 1, 3), (0, 1, 3), (1, 1, 2), (9, 1, 2)]
+
+
 def test_rows_with_one_id_and_null_ids(spark):
     text = " ".join(map(str, range(30)))
     got = jaccard_join.similarity_classes(spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x y z")], DOCS))
