@@ -133,8 +133,8 @@ def _sampled(docs: DataFrame, ids: DataFrame, kind: int) -> DataFrame:
 def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: float, max_positives: int = 4000, max_unlabelled: int = 8000, max_features: int = 4096, least_z: float = 5.0, models: int = 3) -> Model:
     """Fit on the texts of ``docs(doc_id, text)`` whose ids are in ``positives`` or ``unlabelled`` (one column, ``doc_id``).
 
-    Without positives or without unlabelled rows the model has no features
-    and scores every text alike, by the prior.
+    Without positives, without unlabelled rows or where no feature tells them
+    apart the model has no features and scores every text alike, by the prior.
     """
     take = lambda ids, n: ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = scratch.table(_sampled(docs, take(positives, max_positives), 1).unionByName(_sampled(docs, take(unlabelled, max_unlabelled), 0)))
@@ -157,6 +157,8 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: f
     mean = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
     kept = counts.where("p >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect()
+    if not kept:
+        return nothing
     keys = np.array([r.feature for r in kept], np.int64).view(U64)
     blank = Model(keys, np.zeros(len(keys)), 0.0)
 

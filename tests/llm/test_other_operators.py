@@ -54,6 +54,13 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def test_a_handful_of_labels_does_not_make_every_text_toxic(spark):
+    docs = [(k, f"plain words number {k}") for k in range(15)] + [(100, ""), (101, None)]
+    labels = [(k, int(k < 5)) for k in range(15)]
+    got = toxicity.classify(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == 17 and not any(r.predicted for r in got) and len({r.score for r in got}) == 1
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = toxicity.classify(spark.createDataFrame([(1, "a"), (2, None)], DOCS), none).collect()
