@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
+#: Edges that one task settles alone: a union-find of them takes some tens of megabytes.
+ONE_TASK = 1 << 18
+
+
 class Forest:
     """Union-find over integers; the root of a tree is its least member."""
 
@@ -37,7 +41,7 @@ class Forest:
         return True
 
 
-def contract(edges: DataFrame, most: int = 1 << 19) -> DataFrame:
+def contract(edges: DataFrame, most: int = 2 * ONE_TASK) -> DataFrame:
     """Fewer edges with the same components: each task keeps a star for each tree of what it has read."""
 
     def run(batches):
@@ -62,12 +66,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges(a, b)``; the component is its least node.
 
     Every round writes its edges to the shared folder, so the lineage stays
-    one round long. A hub's neighbours are never gathered in one row: each
+    one round long. When the tasks' forests have few edges left, one task
+    settles them and no round is needed; the result is the same. A hub's neighbours are never gathered in one row: each
     star is a minimum with partial aggregation and a join back. The minima are
     staged, so both sides of that join are plain shuffles and adaptive
     execution can split a hub's rows.
     """
     now = scratch.table(contract(edges))
+    if now.count() <= ONE_TASK:
+        return _members(scratch.table(contract(now.coalesce(1))))
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,5 +88,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (seen.n, seen.h) == mark:
             break
         mark = (seen.n, seen.h)
-    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _members(now)
+
+
+def _members(stars: DataFrame) -> DataFrame:
+    nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,13 +10,18 @@ Rare-first prefix filtering:
    a count-min sketch that never loses a shared one.
 4. Classes meet on their prefix n-grams. Pairs pass the length filter, the
    positional filter (what can still match behind the shared n-gram) and a
-   suffix filter (the sets' histograms bound the overlap). The pairs that
-   pass are not listed: each n-gram only leaves a spanning forest of them, so
-   its rows stay linear in its classes. A very frequent prefix n-gram joins all
-   its classes without filters, which only adds work to the next step.
+   suffix filter (the sets' histograms bound the overlap). A group of near
+   copies has as many such pairs as it has members squared, so they are not
+   listed here: each n-gram leaves a spanning forest of them, and its rows stay
+   linear in its classes. A very frequent prefix n-gram joins all its classes
+   without filters, which only adds work to the next step.
 5. Every link lies within a component of that forest. Within a component,
-   classes of compatible size meet in blocks of bounded size, and each pair
-   is verified once, by the exact overlap of the whole sets.
+   classes of compatible size meet in blocks of bounded size. A pair of a block
+   that passes the length filter and shares a prefix n-gram is verified, once,
+   by the exact overlap of the whole sets.
+
+N-grams are told apart by 128 bits: two hashes of their words which have no
+structure in common (``textkernel``).
 
 Components of the verified links give the smallest reachable id.
 """
@@ -24,6 +29,7 @@ Components of the verified links give the smallest reachable id.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,23 +52,41 @@ BLOCK = 256
 LONG = 1024
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
-    """(text index, n-gram hash) of the distinct n-grams, sorted by both; a shorter text is one n-gram."""
-    words = split(data, offsets, NON_SPACE, lower=True)
-    doc_of = words.doc_of()
+class Sets(NamedTuple):
+    """The distinct n-grams of some texts: ``edges[i]:edges[i+1]`` are those of text i, by their first hash."""
+
+    docs: np.ndarray
+    keys: np.ndarray
+    checks: np.ndarray
+    edges: np.ndarray
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Sets:
+    """The sets of n-grams of ``size`` words; a shorter text is one n-gram."""
+    words = split(data, offsets, NON_SPACE, lower=True, hashes=2)
     at = gram_starts(words.first, size)
-    keys, docs = grams(words.hashes[0], size)[at], doc_of[at]
+    docs = words.doc_of()[at]
+    keys, checks = (grams(h, size, seed)[at] for seed, h in enumerate(words.hashes))
     n = np.diff(words.first)
     for k in range(1, size):
         few = np.flatnonzero(n == k)
         if len(few):
-            keys = np.concatenate((keys, grams(words.hashes[0], k)[words.first[:-1][few]]))
-            docs = np.concatenate((docs, few))
+            short = [grams(h, k, seed)[words.first[:-1][few]] for seed, h in enumerate(words.hashes)]
+            docs, keys, checks = (np.concatenate(x) for x in ((docs, few), (keys, short[0]), (checks, short[1])))
     order = np.lexsort((keys, docs))
-    keys, docs = keys[order], docs[order]
+    if _clashes(keys[order], checks[order], docs[order]):
+        order = np.lexsort((checks, keys, docs))
+    docs, keys, checks = docs[order], keys[order], checks[order]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    return docs[new], keys[new]
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (checks[1:] != checks[:-1])
+    docs = docs[new]
+    return Sets(docs, keys[new], checks[new], np.searchsorted(docs, np.arange(len(offsets))))
+
+
+def _clashes(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray | None = None) -> bool:
+    """Whether sorted n-grams agree in the first hash only: they must be sorted by both."""
+    same = (keys[1:] == keys[:-1]) & (checks[1:] != checks[:-1])
+    return bool(same.any() if docs is None else (same & (docs[1:] == docs[:-1])).any())
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -70,9 +94,9 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total[edges[1:]] - total[edges[:-1]]
 
 
-def _set_hashes(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _set_hashes(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set, the same in any order."""
-    return tuple(mix(_sums(mix(keys ^ U64(salt)), edges)).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    return tuple(mix(_sums(mix(h ^ U64(salt)), sets.edges)).view(np.int64) for h, salt in ((sets.keys, 0x5851F42D4C957F2D), (sets.checks, 0x14057B7EF767814F)))
 
 
 def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
@@ -103,10 +127,10 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                doc, keys = shingle_sets(data, offsets, size)
-                edges = np.searchsorted(doc, np.arange(hi - lo + 1))
+                sets = shingle_sets(data, offsets, size)
+                doc, keys, edges = sets.docs, sets.keys, sets.edges
                 n = np.diff(edges)
-                a, b = _set_hashes(keys, edges)
+                a, b = _set_hashes(sets)
                 order = np.lexsort((keys, counts.value[scratch.cell_of(keys, FREQUENCIES)], doc))
                 tokens = (mix(keys[order]) >> U64(32)).astype(np.uint32)
                 take = np.where(n > 0, n - _least_size(n, num, den) + 1, 0)
@@ -240,63 +264,40 @@ def _candidate_edges(shared: DataFrame, num: int, den: int) -> DataFrame:
 def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """cid, other, weight of verified links: spanning edges (weight 0) and, with other null, linked documents of a class.
 
-    ``members``: cid, comp, a, b, rep, n, n_docs.
+    ``members``: cid, comp, a, b, rep, n, n_docs, prefix.
     """
     spark = docs.sparkSession
     sized = members.withColumn("bin", F.floor(F.log(F.col("n")) / math.log(den / num)).cast("long"))
     counts = sized.groupBy("comp", "bin").agg(F.count("*").alias("held"))
     above = counts.select("comp", (F.col("bin") - 1).alias("bin"), F.col("held").alias("upper"))
-    cells = counts.join(above, ["comp", "bin"], "left").withColumn("all", F.col("held") + F.coalesce("upper", F.lit(0))).where("all > 1").select("comp", "bin", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    cells = counts.join(above, ["comp", "bin"], "left").withColumn("all", F.col("held") + F.coalesce("upper", F.lit(0)))
+    # Staged, so that what joins them is a plain shuffle and a large component's rows can be split.
+    cells = scratch.table(cells.where("all > 1").select("comp", "bin", F.ceil(F.col("all") / BLOCK).alias("blocks"))).hint("merge")
     homes = sized.join(cells, ["comp", "bin"]).withColumn("home", F.lit(True))
     uppers = sized.withColumn("bin", F.col("bin") - 1).join(cells, ["comp", "bin"]).withColumn("home", F.lit(False))
     dealt = homes.unionByName(uppers).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = scratch.table(dealt.select("cid", "rep", "a", "b", "n_docs", "comp", "bin", "home", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
-    picks = spark.sparkContext.broadcast(scratch.bitmap(dealt.select(F.xxhash64("rep", "a")), CHOSEN))
+    dealt = scratch.table(dealt.select("cid", "rep", "a", "b", "n_docs", "prefix", "comp", "bin", "home", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
+    picks = spark.sparkContext.broadcast(scratch.bitmap(dealt.where("rep is not null").select(F.xxhash64("rep")), CHOSEN))
 
-    def sets(batches):
+    def sets_of(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                doc, keys = shingle_sets(data, offsets, size)
-                edges = np.searchsorted(doc, np.arange(hi - lo + 1))
-                a, b = _set_hashes(keys, edges)
-                has = np.flatnonzero(np.diff(edges))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), pa.array(a[has]), pa.array(b[has]), scratch.packed([keys[edges[k] : edges[k + 1]].tobytes() for k in has])], names=["rep", "a", "b", "keys"])
-
-    def chosen(batches):
-        for batch in batches:
-            take = scratch.bit(picks.value, scratch.cell_of(batch.column(4).to_numpy().view(U64), CHOSEN))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(take)) for i in range(4)], names=["rep", "a", "b", "keys"])
-
-    made = docs.select("doc_id", "text").mapInArrow(sets, "rep long, a long, b long, keys binary")
-    made = made.withColumn("pick", F.xxhash64("rep", "a")).mapInArrow(chosen, "rep long, a long, b long, keys binary")
+            named = batch.column(2)
+            take = scratch.bit(picks.value, scratch.cell_of(named.fill_null(0).to_numpy().view(U64), CHOSEN)) | named.is_null().to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(k).filter(pa.array(take)) for k in (0, 1))
+            for lo, hi, data, offsets in chunks(texts):
+                found = shingle_sets(data, offsets, size)
+                a, b = _set_hashes(found)
+                has = np.flatnonzero(np.diff(found.edges))
+                both = [found.keys[s:e].tobytes() + found.checks[s:e].tobytes() for s, e in zip(found.edges[has].tolist(), found.edges[has + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), pa.array(a[has]), pa.array(b[has]), scratch.packed(both)], names=["rep", "a", "b", "keys"])
+
+    named = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("named"))
+    made = named.mapInArrow(sets_of, "rep long, a long, b long, keys binary")
     # A class without ids has a null rep; its rows are one as a key of the join.
     keyed = lambda df: df.withColumn("no_id", F.col("rep").isNull()).withColumn("rep", F.coalesce("rep", F.lit(0).cast("long")))
     made = keyed(made).groupBy("a", "b", "rep", "no_id").agg(F.first("keys").alias("keys"))
     tasks = keyed(dealt).hint("merge").join(made, ["a", "b", "rep", "no_id"])
 
-    def links(cid, own, home, keys):
-        """Pairs (p, q) of one cell that link."""
-        sizes = np.array([len(k) for k in keys])
-        every = np.concatenate(keys)
-        values, column = np.unique(every, return_inverse=True)
-        row = np.repeat(np.arange(len(keys)), sizes)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        common = np.zeros((len(keys), len(keys)), np.float32)
-        step = max(1, (1 << 22) // len(keys))
-        for lo in range(0, len(values), step):
-            s, e = np.searchsorted(column, (lo, lo + step))
-            part = np.zeros((len(keys), min(step, len(values) - lo)), np.float32)
-            part[row[s:e], column[s:e] - lo] = 1
-            common += part @ part.T
-        joint = sizes[:, None] + sizes[None, :] - common
-        ok = den * common.astype(np.float64) >= num * joint.astype(np.float64)
-        ok &= home[:, None] | home[None, :]
-        if own is not None:
-            ok &= own[:, None] != own[None, :]
-        return np.nonzero(np.triu(ok, 1))
-
     def verify(batches):
         for (_, _, i, j), rows, _ in _cells_of(batches, 4):
             cid = rows.column(4).to_numpy()
@@ -304,8 +305,12 @@ def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int
             if len(first) < 2:
                 continue
             cid, own, home, docs_of = cid[first], rows.column(5).to_numpy()[first], rows.column(6).to_numpy(zero_copy_only=False)[first], rows.column(7).to_numpy()[first]
-            keys = [np.frombuffer(rows.column(8)[int(k)].as_buffer(), U64) for k in first]
-            p, q = links(cid, own if i != j else None, home, keys)
+            prefix = [np.frombuffer(rows.column(8)[int(k)].as_buffer(), np.uint32) for k in first]
+            sets = [np.frombuffer(rows.column(9)[int(k)].as_buffer(), U64).reshape(2, -1) for k in first]
+            meet = home[:, None] | home[None, :]
+            if i != j:
+                meet &= own[:, None] != own[None, :]
+            p, q = _linked(sets, _filtered(prefix, np.array([s.shape[1] for s in sets]), meet, num, den), num, den)
             if not len(p):
                 continue
             forest = Forest()
@@ -315,10 +320,58 @@ def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int
             out = [(a, b, 0) for a, b in edges] + [(int(cid[k]), None, int(weight[k])) for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["cid", "other", "weight"])
 
-    cells = tasks.select("comp", "bin", "i", "j", "cid", "own", "home", "n_docs", "keys").repartition("comp", "bin", "i", "j").sortWithinPartitions("comp", "bin", "i", "j")
+    cells = tasks.select("comp", "bin", "i", "j", "cid", "own", "home", "n_docs", "prefix", "keys").repartition("comp", "bin", "i", "j").sortWithinPartitions("comp", "bin", "i", "j")
     return scratch.table(cells.mapInArrow(verify, "cid long, other long, weight long"))
 
 
+def _products(row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+    """How many columns each two of ``n`` rows share; the entries come by ascending column."""
+    out = np.zeros((n, n), np.float32)
+    last = int(column[-1]) + 1 if len(column) else 0
+    step = max(1, (1 << 22) // n)
+    for lo in range(0, last, step):
+        s, e = np.searchsorted(column, (lo, lo + step))
+        part = np.zeros((n, min(step, last - lo)), np.float32)
+        part[row[s:e], column[s:e] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _filtered(prefix: list[np.ndarray], sizes: np.ndarray, meet: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The pairs of a block that pass the length filter and share a prefix n-gram, as a matrix above the diagonal."""
+    small, large = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+    row, token = np.repeat(np.arange(len(prefix)), [len(x) for x in prefix]), np.concatenate(prefix)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    new = np.concatenate(([0], np.cumsum(token[1:] != token[:-1])))
+    return np.triu(meet & (den * small >= num * large) & (_products(row, new, len(prefix)) > 0), 1)
+
+
+def _linked(sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (p, q) whose whole sets are similar: few pairs one by one, many by products of matrices."""
+    p, q = np.nonzero(pairs)
+    if not len(p):
+        return p, q
+    n = len(sets)
+    sizes = np.array([s.shape[1] for s in sets])
+    row = np.repeat(np.arange(n), sizes)
+    keys, checks = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    if _clashes(keys[order], checks[order]):
+        order = np.lexsort((checks, keys))
+    row, keys, checks = row[order], keys[order], checks[order]
+    new = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    column = np.concatenate(([0], np.cumsum(new)))
+    if len(p) * 16 < n * n:
+        by_row = np.argsort(row, kind="stable")
+        own = np.split(column[by_row], np.cumsum(sizes)[:-1])
+        common = np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(p.tolist(), q.tolist(), strict=True)], np.int64)
+    else:
+        common = _products(row, column, n)[p, q].astype(np.int64)
+    ok = den * common >= num * (sizes[p] + sizes[q] - common)
+    return p[ok], q[ok]
+
+
 def _cells_of(batches, key: int):
     """Like ``_groups``, for cells, whose size is bounded by how they were dealt."""
     held: list[pa.RecordBatch] = []
@@ -365,12 +418,12 @@ def similarity_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     classes = scratch.table(grouped.withColumn("cid", F.monotonically_increasing_id()))
     nodes = connected_components(_candidate_edges(_shared_tokens(classes), num, den))
     short = classes.select("cid", "a", "b", "rep", "n", "n_docs")
-    members = nodes.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(short.hint("merge"), "cid")
+    members = nodes.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(classes.drop("bins").hint("merge"), "cid")
     found = _verified(members, src, size, num, den)
     joined = connected_components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("cid").agg(F.sum("weight").alias("links"))
-    linked = joined.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(short.select("cid", "rep").hint("merge"), "cid")
-    least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
+    linked = scratch.table(joined.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(short.select("cid", "rep").hint("merge"), "cid"))
+    least = scratch.table(linked.groupBy("comp").agg(F.min("rep").alias("least")))  # staged: a large component's rows can be split
     labels = short.join(linked.join(least.hint("merge"), "comp").select("cid", "least"), "cid", "left").join(links, "cid", "left")
     labels = labels.select("a", "b", F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     full = some.select("doc_id", "n", "a", "b").join(labels.hint("merge"), ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")

@@ -10,10 +10,11 @@ Method: a count-min sketch prefilter, then exact grouping.
    a twentieth of the windows, which is what makes the sketch small.
 2. The partial sketches are merged slice by slice; two rows of counters remain
    as one bit a cell, "two documents or more".
-3. A second pass emits 128-bit fingerprints of the windows whose estimate in
-   both rows is two or more, once for each document. They are grouped
-   exactly: a window goes from every document but the smallest ``doc_id``.
-   No repeated window is lost; a wrong estimate only costs a shuffled row.
+3. A second pass emits the windows whose estimate in both rows is two or
+   more, once for each document, under the 128-bit BLAKE2b digest of their
+   words. They are grouped: a window goes from every document but the smallest
+   ``doc_id``. No repeated window is lost, a wrong estimate only costs a
+   shuffled row, and no two different windows with one digest are known.
 
 The sketch has four cells for each expected anchor up to ``max_sketch_bits``
 (by default 2**29 cells, 64 MB, in each of two rows). Past that bound the
@@ -22,15 +23,16 @@ estimates grow looser and more windows are grouped; the result is the same.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkernel import NON_SPACE, U64, chunks, gram_starts, grams, mix, sliding_argmin, split
+from .textkernel import NON_SPACE, U64, Words, chunks, gram_starts, grams, mix, sliding_argmin, split
 
 GRAM = 10
 
@@ -62,8 +64,25 @@ def _flagged(words, size: int, width: int, bits: np.ndarray):
     return starts[mark[at]]
 
 
-def _prints(words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return grams(words.hashes[0], size), grams(words.hashes[1], size, 1)
+def _digests(words: Words, size: int, starts: np.ndarray) -> list[bytes]:
+    """The BLAKE2b digest of each window: its words joined by one space."""
+    if not len(starts):
+        return []
+    at = np.concatenate(([0], np.cumsum(words.ends - words.starts + 1)))
+    joined = np.full(at[-1], 0x20, np.uint8)
+    letters = np.ones(at[-1], bool)
+    letters[at[1:] - 1] = False
+    joined[letters] = words.data[NON_SPACE[words.data]]
+    text, of = memoryview(joined), hashlib.blake2b
+    return [of(text[a:z], digest_size=16).digest() for a, z in zip(at[starts].tolist(), (at[starts + size] - 1).tolist(), strict=True)]
+
+
+def _loose(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """A key for each row without an id, by its text; null for the others."""
+    out: list[int | None] = [None] * len(ids)
+    for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b((texts[i].as_py() or "").encode(), digest_size=8).digest(), "little", signed=True)
+    return pa.array(out, pa.int64())
 
 
 def sketch(docs: DataFrame, size: int, least_bits: int = 16, max_sketch_bits: int = 29) -> tuple[int, list[np.ndarray]]:
@@ -109,107 +128,118 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Every row of ``docs`` with the words of repeated passages taken out.
 
     Returns ``doc_id, n_words, n_removed, kept_text``: the words left, joined
-    by one space (with ``as_is`` a text that loses nothing stays unchanged),
-    and the columns named in ``carry``. A word goes if a window of ``size`` words over it also
-    starts in a document with a smaller ``doc_id``; windows are judged on the
-    input. A null text has no words; a document of fewer than ``size`` words
-    has no window and stays whole. A null ``doc_id`` is later than all others.
-    Rows that share a ``doc_id`` are one document: they never remove each
-    other's words. Other columns of ``docs`` are not looked at.
+    by one space (with ``as_is`` a text that loses nothing stays unchanged, and
+    a null text stays null), and the columns named in ``carry``. A word goes if
+    a window of ``size`` words over it also starts in a document with a smaller
+    ``doc_id``; windows are judged on the input. A null text has no words; a
+    document of fewer than ``size`` words has no window and stays whole. Rows
+    that share a ``doc_id`` are one document: they never remove each other's
+    words. A row with a null ``doc_id`` comes after all that have one, and rows
+    without an id never remove each other's words either. Other columns of
+    ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     src = scratch.columns(docs, doc_id=doc_id, text=text)
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
-    kinds = [(f"carry_{i}", kind) for i, kind in enumerate(dict(docs.dtypes)[c] for c in carry)]
-    extra = "".join(f", {name} {kind}" for name, kind in kinds)
-    names = [name for name, _ in kinds]
+    names = [f"carry_{i}" for i in range(len(carry))]
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(name) for c, name in zip(carry, names, strict=True)])
+    extra = "".join(f", {name} {dict(docs.dtypes)[c]}" for c, name in zip(carry, names, strict=True))
     width, bits = sketch(src, size, max_sketch_bits=max_sketch_bits)
     shared = spark.sparkContext.broadcast(bits)
-    last = np.iinfo(np.int64).max
 
     def windows(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(last).to_numpy()
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                words = split(data, offsets, NON_SPACE, hashes=2)
+            ids, loose = batch.column(0), _loose(batch.column(0), batch.column(1))
+            for lo, _, data, offsets in chunks(batch.column(1)):
+                words = split(data, offsets, NON_SPACE)
                 at = _flagged(words, size, width, shared.value)
                 if not len(at):
                     continue
-                a, b = (x[at] for x in _prints(words, size))
+                prints = np.frombuffer(b"".join(_digests(words, size, at)), np.int64).reshape(-1, 2)
                 doc = words.doc_of()[at]
-                order = np.lexsort((b, a, doc))
-                a, b, doc = a[order], b[order], doc[order]
-                first = np.ones(len(a), bool)
-                first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(ids[lo:hi][doc[first]])], names=["a", "b", "doc"])
+                order = np.lexsort((prints[:, 1], prints[:, 0], doc))
+                prints, doc = prints[order], doc[order]
+                first = np.ones(len(doc), bool)
+                first[1:] = (prints[1:] != prints[:-1]).any(axis=1) | (doc[1:] != doc[:-1])
+                rows = pa.array(lo + doc[first])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[first, 0]), pa.array(prints[first, 1]), ids.take(rows), loose.take(rows)], names=["a", "b", "doc", "loose"])
 
     def candidates() -> DataFrame:
-        return src.mapInArrow(windows, "a long, b long, doc long")
-
-    owners = scratch.table(candidates().groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("owner < latest").drop("latest"))
-    hits = candidates().join(owners.hint("merge"), ["a", "b"]).where("doc > owner")
-    gone = hits.groupBy("doc").agg(F.collect_set("a").alias("gone"))
-
-    def finished(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            n_words, flagged = [], []
-            for lo, hi, data, offsets in chunks(texts):
-                words = split(data, offsets, NON_SPACE)
-                at = _flagged(words, size, width, shared.value)
-                mark = np.zeros(hi - lo, bool)
-                mark[words.doc_of()[at]] = True
-                n_words.append(np.diff(words.first))
-                flagged.append(mark)
-            if n_words:
-                made = [ids, ids.fill_null(last), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(flagged)), texts]
-                yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], names=["doc_id", "doc", "n_words", "flagged", "text", *names])
-
-    def untouched(raw: bytes) -> str:
-        return raw.decode() if as_is else _joined(raw)
+        return src.mapInArrow(windows, "a long, b long, doc long, loose long")
+
+    grouped = candidates().groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest"), F.max(F.col("doc").isNull()).alias("others"))
+    owners = scratch.table(grouped.where("owner < latest or (owner is not null and others)").select("a", "b", "owner"))
+    hits = candidates().join(owners.hint("merge"), ["a", "b"]).where("doc > owner or doc is null")
+    gone = hits.groupBy("doc", "loose").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+
+    def marked(batch):
+        """(words of each text, whether it has a flagged window) of a batch."""
+        n_words, flagged = [], []
+        for lo, hi, data, offsets in chunks(batch.column(1)):
+            words = split(data, offsets, NON_SPACE)
+            mark = np.zeros(hi - lo, bool)
+            mark[words.doc_of()[_flagged(words, size, width, shared.value)]] = True
+            n_words.append(np.diff(words.first))
+            flagged.append(mark)
+        return (np.concatenate(n_words), np.concatenate(flagged)) if n_words else (np.zeros(0, np.int64), np.zeros(0, bool))
 
     out_names = ["doc_id", "n_words", "n_removed", "kept_text", *names]
     out_type = f"doc_id long, n_words long, n_removed long, kept_text string{extra}"
 
-    def plain(batches):
+    def untouched(texts: pa.Array) -> pa.Array:
+        return texts if as_is else pa.array([b" ".join(t.split()).decode() for t in _raw(texts)], pa.string())
+
+    def clean(batches):
         for batch in batches:
-            text = batch.column(2) if as_is else pa.array([_joined(t) for t in _raw(batch.column(2))], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int64)), text, *batch.columns[3:]], names=out_names)
+            n_words, flagged = marked(batch)
+            rest = batch.filter(pa.array(~flagged))
+            yield pa.RecordBatch.from_arrays([rest.column(0), pa.array(n_words[~flagged]), pa.array(np.zeros(rest.num_rows, np.int64)), untouched(rest.column(1)), *rest.columns[2:]], names=out_names)
+
+    def suspects(batches):
+        for batch in batches:
+            n_words, flagged = marked(batch)
+            rest = batch.filter(pa.array(flagged))
+            yield pa.RecordBatch.from_arrays([rest.column(0), _loose(rest.column(0), rest.column(1)), pa.array(n_words[flagged]), rest.column(1), *rest.columns[2:]], names=["doc_id", "loose", "n_words", "text", *names])
 
     def removed(batches):
         for batch in batches:
-            gone = batch.column(3)
             n_removed, texts = [], []
             for i, raw in enumerate(_raw(batch.column(2))):
-                hashes = gone[i].values
-                if hashes is None:
+                found = batch.column(3)[i].values
+                if found is None:
                     n_removed.append(0)
-                    texts.append(untouched(raw))
+                    texts.append(untouched(batch.column(2).slice(i, 1))[0].as_py())
                     continue
+                keys = np.stack([found.field(k).to_numpy() for k in (0, 1)], axis=1).tobytes()
+                known = {keys[k : k + 16] for k in range(0, len(keys), 16)}
                 words = split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), NON_SPACE)
-                prints = grams(words.hashes[0], size)
-                hit = np.isin(prints, hashes.to_numpy().view(U64))
+                at = _flagged(words, size, width, shared.value)
+                at = at[[d in known for d in _digests(words, size, at)]]
                 ends = np.zeros(len(words.starts) + 1, np.int64)
-                ends[: len(hit)] += hit
-                ends[size : size + len(hit)] -= hit
+                ends[at] += 1
+                ends[at + size] -= 1
                 keep = np.cumsum(ends)[:-1] == 0
                 n_removed.append(int((~keep).sum()))
                 texts.append(b" ".join(compress(raw.split(), keep)).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), *batch.columns[4:]], names=out_names)
 
-    state = whole.mapInArrow(finished, f"doc_id long, doc long, n_words long, flagged boolean, text string{extra}")
-    clean = state.where("not flagged").select("doc_id", "n_words", "text", *names).mapInArrow(plain, out_type)
-    marked = state.where("flagged").join(gone.hint("merge"), "doc", "left").select("doc_id", "n_words", "text", "gone", *names).mapInArrow(removed, out_type)
-    out = clean.unionByName(marked)
+    plain = whole.mapInArrow(clean, out_type)
+    held = whole.mapInArrow(suspects, f"doc_id long, loose long, n_words long, text string{extra}")
+    same = _same(held, gone, doc_id="doc", loose="loose")
+    cut = held.join(gone.hint("merge"), same, "left").select("doc_id", "n_words", "text", "gone", *names).mapInArrow(removed, out_type)
+    out = plain.unionByName(cut)
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(name).alias(c) for name, c in zip(names, carry, strict=True)])
 
 
-def _raw(texts: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
+def _same(a: DataFrame, b: DataFrame, **keys: str) -> Column:
+    """Equality of the keys, null with null."""
+    left, *rest = (a[x].eqNullSafe(b[y]) for x, y in keys.items())
+    for condition in rest:
+        left = left & condition
+    return left
 
 
-def _joined(raw: bytes) -> str:
-    return b" ".join(raw.split()).decode()
+def _raw(texts: pa.Array) -> list[bytes]:
+    return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def digests(result: DataFrame) -> DataFrame:

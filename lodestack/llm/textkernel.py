@@ -7,6 +7,7 @@ bytes alone, never on the process or the platform.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -15,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes (any odd numbers would do).
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-MASK = (1 << 64) - 1
+#: Words of more bytes than this are hashed by BLAKE2b, one by one.
+LONG_WORD = 64
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 18
 
@@ -47,30 +47,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(BASES[seed]))
+@lru_cache(maxsize=64)
+def multipliers(n: int, seed: int = 0) -> np.ndarray:
+    """``n`` odd multipliers with nothing in common but the rule that makes them; a longer list starts like a shorter one."""
+    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed << 56)) | U64(1)
 
 
-_powers: dict[int, np.ndarray] = {}
+#: The low k bytes of a 64-bit value.
+LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = np.full(size, U64(base & MASK), dtype=U64)
-        out[0] = U64(1)
-        np.multiply.accumulate(out, out=out)
-        if size > 1 << 22:  # one giant text: not worth keeping
-            return out
-        _powers[base] = have = out
-    return have
+def lanes(data: np.ndarray) -> np.ndarray:
+    """Element i is the eight bytes from i on, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int) -> tuple[np.ndarray, ...]:
+    """``hashes`` independent 64-bit hashes of each word.
+
+    A word goes through a chain of non-linear steps, eight bytes each. Words of
+    equal length up to eight bytes never collide; longer ones do not collide by
+    their structure, as they would under a polynomial modulo 2**64.
+    """
+    at, length = lanes(data), ends - starts
+    first = at[starts] & LOW_BYTES[np.minimum(length, 8)]
+    keys = [multipliers(hashes)[k] for k in range(hashes)]
+    out = [mix(first ^ (length.astype(U64) + U64(1)) * key) for key in keys]
+    live, done = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+    while len(live):
+        lane = at[starts[live] + done] & LOW_BYTES[np.minimum(length[live] - done, 8)]
+        for h, key in zip(out, keys, strict=True):
+            h[live] = mix((h[live] * U64(5) + key) ^ lane)
+        done += 8
+        live = live[length[live] > done]
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        raw = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+        for s, h in enumerate(out):
+            h[k] = int.from_bytes(raw[8 * s : 8 * s + 8], "little")
+    return tuple(out)
 
 
 class Words(NamedTuple):
@@ -116,7 +132,7 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
 
 
 def split(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray = NON_SPACE, lower: bool = False, hashes: int = 1) -> Words:
-    """Maximal runs of bytes in ``lut`` within each text, with ``hashes`` 64-bit hashes each."""
+    """Maximal runs of bytes in ``lut`` within each text, with up to two 64-bit hashes each."""
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -132,29 +148,21 @@ def split(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray = NON_SPACE, lo
     after[offsets] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
     first = np.searchsorted(starts, offsets)
-    out = []
-    for seed in range(hashes):
-        base = BASES[seed]
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_byte_values(seed)[data] * powers(base, n)[:n], out=sums[1:])
-        out.append(mix((sums[ends] - sums[starts]) * powers(inverse(base), n + 1)[starts]))
-    return Words(data, starts, ends, first, tuple(out))
+    return Words(data, starts, ends, first, word_hashes(data, starts, ends, hashes))
 
 
 def grams(values: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each ``size`` consecutive values (n - size + 1 of them, over text borders too)."""
+    """Hash of each ``size`` consecutive values (n - size + 1 of them, over text borders too).
+
+    Every place has a multiplier of its own, so no arrangement of equal words cancels out.
+    """
     n = len(values)
     if n < size:
         return np.zeros(0, dtype=U64)
-    base = BASES[seed]
-    if size <= 12:
-        out = np.zeros(n - size + 1, dtype=U64)
-        for i in range(size):
-            out = out * U64(base) + values[i : n - size + 1 + i]
-        return mix(out)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(values * powers(base, n)[:n], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(inverse(base), n - size + 1)[: n - size + 1])
+    out = np.zeros(n - size + 1, dtype=U64)
+    for i, by in enumerate(multipliers(size, seed + 1)):
+        out += values[i : n - size + 1 + i] * by
+    return mix(out)
 
 
 def gram_starts(first: np.ndarray, size: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkernel import ALNUM, BASES, U64, _byte_values, chunks, mix, split
+from .textkernel import ALNUM, LOW_BYTES, U64, chunks, lanes, mix, split
 
 PREFIXES = (4, 5, 6, 7)
 #: The score from which a text counts as toxic.
@@ -33,20 +33,13 @@ CUT = 0.7
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature hash) of every word and of its beginnings, repeats included."""
     words = split(data, offsets, ALNUM, lower=True)
-    doc = words.doc_of()
+    doc, length = words.doc_of(), words.ends - words.starts
     keys, docs = [words.hashes[0]], [doc]
-    table = _byte_values(1)
-    length = words.ends - words.starts
-    value = np.zeros(len(doc), U64)
-    at, live, base = words.starts, np.arange(len(doc)), U64(BASES[0])
-    for k in range(1, max(PREFIXES) + 1):
-        keep = length[live] >= k
-        live, value = live[keep], value[keep]
-        value = value * base + table[words.data[at[live] + k - 1]]
-        if k in PREFIXES:
-            longer = length[live] > k
-            keys.append(mix(value[longer] + U64(k)))
-            docs.append(doc[live[longer]])
+    head = lanes(words.data)[words.starts]
+    for k in PREFIXES:
+        longer = length > k
+        keys.append(mix((head[longer] & LOW_BYTES[k]) + U64(k << 56)))
+        docs.append(doc[longer])
     return np.concatenate(docs), np.concatenate(keys)
 
 

@@ -6,11 +6,13 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from lodestack.llm import byte_bpe, components, decontaminate, jaccard_join, substring_dedup
+from lodestack.llm import bm25, byte_bpe, components, decontaminate, jaccard_join, substring_dedup, textkernel
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -95,6 +97,46 @@ def test_empty_tables(spark, rows):
     assert len(rows(jaccard_join.similarity_classes(some))) == 2
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: equal under any polynomial modulo 2**64 from about 1,024 letters on."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_under_polynomials_stay_apart(spark, n):
+    first, second = thue_morse(n)
+    docs = spark.createDataFrame([(1, " ".join([first] * 60)), (2, " ".join([second] * 60))], DOCS)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_passages(docs).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.component_id for r in jaccard_join.similarity_classes(docs, size=3).collect()} == {1: 1, 2: 2}
+    items = spark.createDataFrame([(7, " ".join([first] * 10))], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.decontaminate(docs, items).collect()} == {1: True, 2: False}
+    found = bm25.top_k(docs, docs, k=5)
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(1, 1), (2, 2)}
+
+
+def test_word_order_is_not_lost():
+    """Two words in the order of Thue and Morse: windows of them differ although their words' sums agree."""
+    a, b = (" ".join(w) for w in thue_morse(64))
+    for size in (2, 5, 12, 50):
+        grams = []
+        for text in (a, b):
+            raw = text.encode()
+            words = textkernel.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            grams.append({tuple(text.split()[p : p + size]): g for p, g in enumerate(textkernel.grams(words.hashes[0], size).tolist())})
+        every = grams[0] | grams[1]
+        assert len(set(every.values())) == len(every) and all(grams[0][k] == grams[1][k] for k in grams[0].keys() & grams[1].keys())
+
+
+def test_passages_of_rows_with_one_id_or_none(spark):
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, other = text(60), text(55)
+    docs = [(1, f"{shared} {text(9)}"), (2, f"{text(5)} {shared}"), (2, f"{text(7)} {shared} {other}"), (2, other), (None, f"{shared} a"), (None, f"{other} b"), (None, f"{other} b"), (None, f"{text(55)}"), (3, "x" * 100_000 + " y")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup_passages(spark.createDataFrame(docs, DOCS).repartition(3)).collect())
+    assert got == [(0, 55, 0), (0, 56, 55), (0, 56, 55), (0, 61, 60), (1, 69, 0), (2, 55, 0), (2, 65, 60), (2, 122, 60), (3, 2, 0)]
+
+
 def brute_hits(docs, items, size):
     words = {i: ALNUM.findall(lower(t)) for i, t in docs}
     out = []
@@ -168,13 +210,26 @@ def test_near_copies_without_ids_link(spark):
     assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 1, 3), (0, 1, 3), (1, 1, 2), (9, 1, 2)]
 
 
+def test_a_chain_through_a_row_without_id(spark):
+    rng = random.Random(32)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    one, two = list(base), list(base)
+    one[100] = "x"
+    two[100], two[20] = "x", "y"
+    docs = [(1, " ".join(base)), (None, " ".join(one)), (7, " ".join(two)), (9, " ".join(base[:100]))]
+    got = jaccard_join.similarity_classes(spark.createDataFrame(docs, DOCS).withColumn("rep", F.lit(5)).withColumn("cid", F.lit("clash")).repartition(3), size=3, threshold=(96, 100))
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got.collect()) == [(0, 1, 2), (1, 1, 1), (7, 1, 1), (9, 9, 0)]
+
+
 def test_rows_with_one_id_and_null_ids(spark):
     text = " ".join(map(str, range(30)))
     got = jaccard_join.similarity_classes(spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x y z")], DOCS))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 26, 1, 2), (1, 26, 1, 2), (None, 26, 1, 2), (2, 1, 2, 0)], key=repr)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1064)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
     forest = components.Forest()
