@@ -1,16 +1,19 @@
 """Main text of web pages by tree scoring.
 
-A tolerant tree is built in one pass over the tags. Paragraphs earn points
-for length and commas and pass them to their ancestors (all to the parent,
-half to the next, a third, a quarter and so on further up); a container's
-points are discounted by its link density. The best container is kept, or
-the article around it, with those siblings that hold running text themselves.
+A tolerant tree is built in one pass over the tags, and what stands around an
+article by its element, role or class name is pruned. Paragraphs earn points
+for length and commas and pass them to their ancestors: all to the container
+they stand in, half of a container's points to the next, and so on. A
+container's points are discounted by its link density. The best container, or
+the article element that holds it, is kept with those siblings that score well
+or are running text. Every step is linear in the page, whatever the markup.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -38,19 +41,24 @@ TABLE_SCOPE = ("table",)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that hold no article text.
-DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form iframe input map math menu meter nav object output progress search select svg video".split())
+DROPPED = frozenset("aside audio canvas datalist dialog embed fieldset footer form iframe input map menu nav object search select svg video".split())
+#: These are text where they stand in a line of text, and controls elsewhere.
+INLINE_CONTROLS = frozenset("button math meter output progress".split())
+TEXT_BLOCKS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 #: Words of class and id that mark what stands around an article.
 AROUND = frozenset(
-    "ad adbox ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
+    "ad adbox ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signin signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
 #: Of these, the ones that a word for the article outweighs.
-WEAK = frozenset("banner byline discussion form header notice social tags teaser".split())
+WEAK = frozenset("banner discussion form header notice social teaser".split())
 WITHIN = frozenset("article articlebody content entry main post story".split())
 #: Of these, the ones whose elements may hold other articles than the page's own, and so are no wrappers for having one.
 OTHERS = frozenset("comment comments commentlist discussion disqus recommended related replies respond teaser".split())
-#: What follows such a word in a class name tells of the layout: ``layout-with-sidebar`` is no sidebar.
-LAYOUT = frozenset("has have include is no not show with without".split())
+#: A compound is a mark only if its other words are of these: ``left-sidebar`` and ``comment-list`` are, ``social-science``, ``ad-hoc`` and ``layout-with-sidebar`` are not.
+PARTS = frozenset(
+    "area article articles bar block blocks body bottom box button buttons center column container content copyright desktop entry first fixed floating foot global group head holder icon icons inline inner item items last left legal link links list logo main message middle mobile module outer page panel post posts primary right row second secondary section side site slot sticky stories story strip text title top unit wrap wrapper zone".split()
+)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -71,9 +79,25 @@ def parse(html: str) -> Node:
     """The element tree; never fails, whatever the markup."""
     root = Node("#root", "", None)
     at, here, stack = 0, root, [root]
-    open_now: Counter[str] = Counter()
+    open_at: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a name are
     size = len(html)
     lower = None
+
+    def pop_to(k: int) -> None:
+        for node in reversed(stack[k:]):
+            open_at[node.name].pop()
+        del stack[k:]
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((open_at[n][-1] for n in names if open_at[n]), default=0)
+
+    def close(names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Pop the outermost open element of ``names`` within the innermost scope, and all above it."""
+        edge = last(scope)
+        found = [open_at[n][k] for n in names if (k := bisect_right(open_at[n], edge)) < len(open_at[n])]
+        if found:
+            pop_to(min(found))
+
     while at < size:
         found = _TAG.search(html, at)
         if not found:
@@ -87,20 +111,16 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if found["end"] or found["end2"]:
-            for k in range(len(stack) - 1, 0, -1) if open_now[name] else ():
-                if stack[k].name == name:
-                    _pop(stack, k, open_now)
-                    break
-                if stack[k].name in ("td", "th", "table") and name not in BLOCK:
-                    break
+            if open_at[name] and (name in BLOCK or open_at[name][-1] > last(("td", "th", "table"))):
+                pop_to(open_at[name][-1])
             here = stack[-1]
             continue
-        if name in ("html", "body", "head") and open_now[name]:
+        if name in ("html", "body", "head") and open_at[name]:
             continue
-        if name in CLOSES_P and open_now["p"]:
-            _close(stack, ("p",), ("td", "th", "table", "button", "caption"), open_now)
-        if name in ENDS and any(open_now[n] for n in ENDS[name]):
-            _close(stack, ENDS[name], SCOPES.get(name, TABLE_SCOPE), open_now)
+        if name in CLOSES_P and open_at["p"]:
+            close(("p",), ("td", "th", "table", "button", "caption"))
+        if name in ENDS:
+            close(ENDS[name], SCOPES.get(name, TABLE_SCOPE))
         here = stack[-1]
         attrs = found["attrs"] if found["name"] else found["attrs2"]
         node = Node(name, attrs or "", here)
@@ -111,31 +131,20 @@ def parse(html: str) -> Node:
             end = lower.find(f"</{name}", at)
             stop = size if end < 0 else end
             node.children.append(html[at:stop])
-            close = html.find(">", stop)
-            at = size if end < 0 or close < 0 else close + 1
+            shut = html.find(">", stop)
+            at = size if end < 0 or shut < 0 else shut + 1
         elif name not in VOID and not (attrs or "").endswith("/") or name in BLOCK - VOID:
+            open_at[name].append(len(stack))
             stack.append(node)
-            open_now[name] += 1
             here = node
     return root
 
 
-def _pop(stack: list[Node], k: int, open_now: Counter[str]) -> None:
-    for node in stack[k:]:
-        open_now[node.name] -= 1
-    del stack[k:]
-
-
-def _close(stack: list[Node], names: tuple[str, ...], scope: tuple[str, ...], open_now: Counter[str]) -> None:
-    """Pop the outermost open element of ``names`` within the scope, and all above it."""
-    last = 0
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
-            last = k
-        elif stack[k].name in scope:
-            break
-    if last:
-        _pop(stack, last, open_now)
+def _marks(names: list[str]) -> set[str]:
+    """The words of class names and ids that mark what stands around an article."""
+    split = [[w.lower() for w in _WORDS.findall(n)] for n in names]
+    hits = {w for ws in split if all(w in AROUND or w in PARTS or w.isdigit() for w in ws) for w in ws if w in AROUND}
+    return set() if hits <= WEAK and any(w in WITHIN for ws in split for w in ws) else hits
 
 
 def _around(node: Node, wraps: bool = False) -> bool:
@@ -152,62 +161,61 @@ def _around(node: Node, wraps: bool = False) -> bool:
         return True
     if attrs.get("role", "").lower() in DROPPED_ROLES:
         return True
-    names = [[w.lower() for w in _WORDS.findall(c)] for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
-    hits = {w for ws in names if ws for w, before in ((ws[0], ()), (ws[-1], ws[:-1])) if w in AROUND and LAYOUT.isdisjoint(before)}
+    hits = _marks(f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
     if node.name in ("article", "main"):
         return bool(hits & {"ad", "advert", "comment", "promo", "promoted", "related", "sponsored", "teaser"})
-    if hits <= WEAK and any(w in WITHIN for ws in names for w in ws):
-        return False
     return bool(hits) and not (wraps and hits.isdisjoint(OTHERS))
 
 
+def _totals(nodes: list[Node], counts) -> dict[int, int]:
+    """By id of each element, the sum of ``counts(element)`` over it and all below it; ``nodes`` are in page order."""
+    total = {id(n): int(counts(n)) for n in nodes}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            total[id(n.parent)] += total[id(n)]
+    return total
+
+
 def _wrappers(root: Node) -> set[int]:
-    """The ids of the elements that hold a main, or every article of a page without one; those among comments do not count."""
+    """The ids of the elements that hold a main, or every article of a page without one, and of forms around a page.
+
+    Articles among comments do not count. A form wraps the page if it holds an
+    article, a main or five paragraphs.
+    """
     nodes = list(_elements(root))
-    if not any(n.name in ("article", "main") for n in nodes):
-        return set()
-    out: set[int] = set()
+    articles = _totals(nodes, lambda n: n.name in ("article", "main"))
+    paragraphs = _totals(nodes, lambda n: n.name == "p")
+    out = {id(n) for n in nodes if n.name == "form" and (articles[id(n)] or paragraphs[id(n)] >= 5)}
+    if not articles[id(root)]:
+        return out
+    beside: set[int] = set()
     for n in nodes:
-        if n.parent is not None and (id(n.parent) in out or n.name != "form" and _around(n, True)):
-            out.add(id(n))
+        if n.parent is not None and (id(n.parent) in beside or n.name != "form" and _around(n, True)):
+            beside.add(id(n))
     for name in ("main", "article"):
-        held = {id(n): int(n.name == name and id(n) not in out) for n in nodes}
-        total = sum(held.values())
-        for n in reversed(nodes):
-            if n.parent is not None:
-                held[id(n.parent)] += held[id(n)]
-        if total:
-            return {k for k, n in held.items() if n and (name == "main" or n == total)}
-    return set()
-
-
-def _holds_article(form: Node) -> bool:
-    """Whether a form is wrapped around the page rather than a part of it."""
-    n = 0
-    for node in _elements(form):
-        if node.name in ("article", "main"):
-            return True
-        n += node.name == "p"
-    return n >= 5
+        held = _totals(nodes, lambda n, name=name: n.name == name and id(n) not in beside)
+        if held[id(root)]:
+            return out | {k for k, n in held.items() if n and (name == "main" or n == held[id(root)])}
+    return out
 
 
 def _prune(root: Node) -> None:
-    todo, wrappers = [(root, False)], _wrappers(root)
+    todo, wrappers = [(root, False, False)], _wrappers(root)
     while todo:
-        node, in_article = todo.pop()
-        inside = in_article or node.name in ("article", "main")
-        kept = []
+        node, in_article, in_text = todo.pop()
+        in_article |= node.name in ("article", "main")
+        in_text |= node.name in TEXT_BLOCKS
+        kept: list[Node | str] = []
         for child in node.children:
             if isinstance(child, Node):
-                if _around(child, id(child) in wrappers) and not (child.name == "form" and _holds_article(child)):
+                wraps = id(child) in wrappers
+                gone = _around(child, wraps) and not (wraps and child.name == "form")
+                if gone or child.name in INLINE_CONTROLS and not in_text or child.name == "header" and not in_article:
                     kept.append(" ")
                     continue
                 if child.name == "header":
-                    if not inside:
-                        kept.append(" ")
-                        continue
                     child.children = _headings(child)
-                todo.append((child, inside))
+                todo.append((child, in_article, in_text))
             kept.append(child)
         node.children = kept
 
@@ -265,49 +273,83 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
-def best_container(root: Node) -> list[Node]:
-    """The kept elements, in page order."""
-    sizes = _measure(root)
-    scored: dict[int, Node] = {}
-    for node in _elements(root):
-        if node.name not in ("p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "h2", "h3"):
-            continue
-        text = _own_text(node).strip()
-        if not text:
-            continue
-        points = 1 + text.count(",") + text.count("、") + min(len(text) / 100, 3)
-        if len(text) < 25:
-            points *= 0.2
-        total, links = sizes[id(node)]
-        points *= 1 - min(1.0, links / total if total else 0.0)
-        up, share = (node if node.name in ("div", "section", "article", "main", "body") else node.parent), 1
-        while up is not None and up.name not in ("#root", "html"):
-            up.score += points / share
-            scored[id(up)] = up
-            up, share = up.parent, share + 1
+#: Elements that collect the points of what they hold.
+CONTAINERS = frozenset("article body div main section".split())
+PARAGRAPHS = frozenset("blockquote dd h2 h3 li p pre td".split())
+
+
+def _points(node: Node, link_share: float) -> float:
+    """What an element's own text earns."""
+    text = _own_text(node).strip()
+    if not text:
+        return 0.0
+    points = 1 + text.count(",") + text.count("、") + min(len(text) / 100, 3)
+    return points * (0.2 if len(text) < 25 else 1) * (1 - link_share)
+
+
+def _links(sizes: tuple[int, int]) -> float:
+    return min(1.0, sizes[1] / sizes[0]) if sizes[0] else 0.0
+
+
+def _scores(nodes: list[Node], sizes: dict[int, tuple[int, int]]) -> None:
+    """Give every element its points, from the leaves up."""
+    for n in reversed(nodes):
+        if n.name in CONTAINERS:
+            n.score += _points(n, _links(sizes[id(n)]))
+        if n.parent is not None:
+            n.parent.score += n.score / 2
+            if n.name in PARAGRAPHS:
+                n.parent.score += _points(n, _links(sizes[id(n)]))
+
+
+def _units(parent: Node) -> list[list[Node | str]]:
+    """The children of an element: every block alone, and the lines of text between blocks."""
+    out: list[list[Node | str]] = []
+    line = False
+    for c in parent.children:
+        block = isinstance(c, Node) and c.name in BLOCK
+        if block or not line:
+            out.append([])
+        out[-1].append(c)
+        line = not block
+    return out
+
+
+def best_container(root: Node) -> list[Node | str]:
+    """The kept elements and lines, in page order."""
+    sizes, nodes = _measure(root), list(_elements(root))
+    _scores(nodes, sizes)
 
     def worth(n: Node) -> float:
-        total, links = sizes[id(n)]
-        return n.score * (1 - (links / total if total else 0)) * (1.5 if n.name in ("article", "main") else 1)
+        return n.score * (1 - _links(sizes[id(n)])) * (1.5 if n.name in ("article", "main") else 1)
 
+    scored = [n for n in nodes if n.score > 0 and n.name not in ("#root", "html")]
     if not scored:
-        return [next((n for name in ("article", "main", "body") for n in _elements(root) if n.name == name), root)]
-    best = max(scored.values(), key=worth)
-    up = best
-    while up is not None:
-        if up.name == "article" or up.name == "main" and not any(n.name == "article" for n in _elements(up)):
-            return [up]
-        up = up.parent
-    if best.parent is None or best.name == "body":
-        return [best]
-    least, kept = max(1.0, 0.2 * worth(best)), []
-    for c in best.parent.children:
-        if isinstance(c, Node):
-            total, links = sizes[id(c)]
-            running = c.name in ("p", "pre", "blockquote", "ul", "ol", "table", *HEADINGS) and total and links / total < 0.25
-            if c is best or worth(c) >= least or _is_heading(c, sizes) or running and (total > 80 or c.name in HEADINGS or best.parent.name != "body"):
-                kept.append(c)
-    return kept
+        return [next((n for name in ("article", "main", "body") for n in nodes if n.name == name), root)]
+    best = top = max(scored, key=worth)
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    for name in ("article", "main"):
+        if any(n.name == name for n in above):
+            top = next(n for n in reversed(above) if n.name == name)
+            break
+    if top.parent is None or top.name in ("body", "main"):
+        return [top]
+
+    def stays(unit: list[Node | str]) -> bool:
+        c = unit[0]
+        if unit == [top] or isinstance(c, Node) and c.name == "article":
+            return True
+        if isinstance(c, Node) and c.name in BLOCK and (worth(c) >= 0.2 * worth(best) or _is_heading(c, sizes)):
+            return True
+        if isinstance(c, Node) and c.name in BLOCK and c.name not in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", *HEADINGS):
+            return False
+        own = [sizes[id(x)] if isinstance(x, Node) else (len(x.strip()), 0) for x in unit]
+        total, links = (sum(x[k] for x in own) for k in (0, 1))
+        return total > 0 and links / total < 0.25
+
+    return [c for unit in _units(top.parent) if stays(unit) for c in unit]
 
 
 def _is_heading(node: Node, sizes: dict[int, tuple[int, int]]) -> bool:
@@ -316,9 +358,8 @@ def _is_heading(node: Node, sizes: dict[int, tuple[int, int]]) -> bool:
     return total > 0 and total == sum(sizes[id(n)][0] for n in _elements(node) if n.name in ("h1", "h2"))
 
 
-def blocks(nodes: list[Node], menus: bool = False) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks below ``nodes`` in page order; white space becomes one space, empty blocks go."""
-    sizes = {} if menus else _measure_all(nodes)
     out: list[str] = []
     now: list[str] = []
 
@@ -339,8 +380,6 @@ def blocks(nodes: list[Node], menus: bool = False) -> list[str]:
         elif c.name == "br":
             now.append(" ")
         elif c.name in BLOCK or c.name == "#root":
-            if not menus and c.name in ("ul", "ol") and _is_menu(c, sizes):
-                continue
             flush()
             todo.append(None)
             todo += reversed(c.children)
@@ -350,19 +389,6 @@ def blocks(nodes: list[Node], menus: bool = False) -> list[str]:
     return out
 
 
-def _measure_all(nodes: list[Node]) -> dict[int, tuple[int, int]]:
-    sizes = {}
-    for n in nodes:
-        sizes |= _measure(n)
-    return sizes
-
-
-def _is_menu(node: Node, sizes: dict[int, tuple[int, int]]) -> bool:
-    items = [c for c in node.children if isinstance(c, Node)]
-    total, links = sizes[id(node)]
-    return len(items) >= 3 and total > 0 and links / total > 0.9 and total / len(items) < 60
-
-
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line feeds; empty if there is none."""
     if not html:
@@ -379,7 +405,7 @@ def plain_text(html: str | None) -> str:
     root = parse(html)
     for node in _elements(root):
         node.children = [c for c in node.children if isinstance(c, str) or c.name not in RAW and c.name != "head"]
-    return "\n".join(blocks([root], menus=True))
+    return "\n".join(blocks([root]))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

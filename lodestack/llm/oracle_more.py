@@ -87,9 +87,13 @@ _MARK = r"^[ \t]*(?:>[ \t]?)+"
 _SAID = r"(?i)^(on|am|le|el)\b.*\b(wrote|schrieb|écrit|escribió)\s*:\s*$"
 _DEPTH = rf"length(regexp_replace(regexp_extract(l, '{_MARK}'), '[^>]', '', 'g'))"
 
-OP9 = rf"""
+def quotation_sql(conversations: str = "conversations") -> str:
+    return _OP9.replace("CONVERSATIONS", conversations)
+
+
+_OP9 = rf"""
 WITH RECURSIVE m AS (
-  SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM CONVERSATIONS
 ), ln AS (
   SELECT id, conv_id, turn, i, l, {_DEPTH} AS depth FROM (
     SELECT id, conv_id, turn, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT *, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM m))
@@ -109,14 +113,14 @@ WITH RECURSIVE m AS (
   SELECT DISTINCT conv_id, turn, {_norm('x')} AS k FROM (
     SELECT conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n\s*\n') || regexp_split_to_array(own, '\r\n|\r|\n')) AS x FROM own) WHERE k <> ''
 ), probes AS (
-  SELECT id, conv_id, turn, passage, array_to_string(ls, ' ') AS k, len(ls) + 1 AS weight FROM passages
-  UNION ALL SELECT id, conv_id, turn, passage, unnest(ls), 1 FROM passages
-), found AS (
-  SELECT p.id, p.passage, p.weight, (SELECT max(h.turn) FROM held h WHERE h.conv_id = p.conv_id AND h.k = p.k AND h.turn < p.turn) AS source FROM probes p
+  SELECT id, conv_id, turn, passage, array_to_string(ls, ' ') AS k, len(ls) + 1 AS weight, 1 AS whole, len(ls) AS n FROM passages
+  UNION ALL SELECT id, conv_id, turn, passage, unnest(ls), 1, 0, len(ls) FROM passages
 ), votes AS (
-  SELECT id, passage, source, sum(weight) AS votes FROM found WHERE source IS NOT NULL GROUP BY ALL
+  SELECT p.id, p.passage, h.turn AS source, sum(p.weight) AS votes, max(p.whole) AS whole, any_value(n) AS n
+  FROM probes p JOIN held h ON h.conv_id = p.conv_id AND h.k = p.k AND h.turn < p.turn GROUP BY ALL
 ), best AS (
-  SELECT id, passage, votes, source FROM votes QUALIFY row_number() OVER (PARTITION BY id, passage ORDER BY votes DESC, source DESC) = 1
+  SELECT id, passage, votes, source FROM votes WHERE votes * 2 > n
+  QUALIFY row_number() OVER (PARTITION BY id, passage ORDER BY whole DESC, CASE WHEN whole = 1 THEN source END DESC, votes DESC, source DESC) = 1
 ), links AS (
   SELECT p.id, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, (votes, source)) FILTER (depth = 1) AS answers
   FROM passages p LEFT JOIN best b ON b.id = p.id AND b.passage = p.passage GROUP BY p.id
@@ -137,4 +141,8 @@ SELECT x.conv_id, turn, role, n_quotes, n_linked, coalesce(answers, prev) AS rep
 FROM branch x LEFT JOIN prefix ON prefix.conv_id = x.conv_id AND prefix.f = x.b
 """
 
-SQL = {"op2_exact_topk_search": OP2, "op5_html_extraction": OP5, "op8_license_scan": OP8, "op9_quotation_linking": OP9}
+#: Every message quotes the one before it (as ``queries.quoting`` makes it), so that there is something to link.
+QUOTING = r"""(SELECT conv_id, turn, role, CASE WHEN before IS NULL THEN text ELSE '> ' || regexp_replace(before, '\r\n|\r|\n', chr(10) || '> ', 'g') || chr(10) || coalesce(text, '') END AS text
+  FROM (SELECT conv_id, turn, role, text, (SELECT min(o.text) FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn = c.turn - 1 - c.turn % 2) AS before FROM conversations c))"""
+
+SQL = {"op2_exact_topk_search": OP2, "op5_html_extraction": OP5, "op8_license_scan": OP8, "op9_quotation_linking": quotation_sql(), "quotation_linking_of_replies": quotation_sql(QUOTING)}

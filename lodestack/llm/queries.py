@@ -52,10 +52,24 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.digests(quotes.threads(read(spark, sf_dir, "conversations")))
 
 
+def quoting(conversations: DataFrame) -> DataFrame:
+    """The conversations with an earlier message quoted in each: the one before, or for odd turns the one before that."""
+    earlier = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("before"))
+    turn = F.col("turn") - 1 - F.col("turn") % 2
+    joined = conversations.withColumn("of", turn).join(earlier.withColumnRenamed("turn", "of"), ["conv_id", "of"], "left")
+    quoted = F.concat(F.lit("> "), F.regexp_replace("before", r"\r\n|\r|\n", "\n> "), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return joined.select("conv_id", "turn", "role", F.when(F.col("before").isNull(), F.col("text")).otherwise(quoted).alias("text"))
+
+
+def quotation_linking_of_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored conversations hold no quotations; here every message quotes an earlier one."""
+    return quotes.digests(quotes.threads(quoting(read(spark, sf_dir, "conversations"))))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-_ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination)
+_ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination, quotation_linking_of_replies)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {name: sql for name, sql in (oracle.SQL | oracle_more.SQL).items() if name in QUERIES}

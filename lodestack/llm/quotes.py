@@ -5,12 +5,14 @@ Consecutive lines of one depth are a passage. Passages and their lines are
 normalised (lower case, punctuation and white space to one space) and hashed;
 so are the unquoted paragraphs and lines of every message. A quoted passage
 belongs to the latest earlier message of its conversation that holds it as a
-whole, or else most of its lines. A message answers the source of its
+whole; or else to the one that holds most of its lines, which must be more than
+half of them (the latest of several). A message answers the source of its
 passages of depth one, and the message before it if it quotes nothing known.
 
-Conversations of any length are cut into buckets of turns: what a bucket needs
-from the ones before it (the last turn, the open branch) is one row, so no
-task sees a whole conversation, and the texts are shuffled once.
+Conversations of any length are cut into buckets of turns. What a bucket needs
+from those before it (the last turn, the last holder of a line, the open
+branch) is one row, so no task sees a whole conversation but for one row a
+bucket. The order is worked out on ids alone; the texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -65,24 +67,39 @@ def originals(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", F.explode(keys).alias("key")).distinct()
 
 
+def _bucket(turn: str) -> Column:
+    return F.floor(F.col(turn) / BUCKET).cast("long")
+
+
+def _held_before(held: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """For every ``keys, bucket`` of ``asked``: ``turns``, the turns of ``held(keys, at)`` within the bucket, and how many (``n_before``) and which last (``last_before``) there are before it."""
+    spans = held.groupBy(*keys, _bucket("at").alias("bucket")).agg(F.collect_set("at").alias("turns"))
+    every = spans.unionByName(asked.select(*keys, "bucket").distinct(), allowMissingColumns=True).groupBy(*keys, "bucket").agg(F.first("turns", ignorenulls=True).alias("turns"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce("turns", F.array().cast("array<long>"))
+    return every.select(*keys, "bucket", turns.alias("turns"), F.coalesce(F.sum(F.size(turns)).over(earlier), F.lit(0)).alias("n_before"), F.max(F.array_max("turns")).over(earlier).alias("last_before"))
+
+
 def _sources(messages: DataFrame, passages: DataFrame) -> DataFrame:
     """conv_id, turn, h, passage, depth, n_lines, votes, source: the turn that each passage comes from, or null.
 
     The latest holders of the whole or of each line are counted first. A turn
-    that holds more lines than the best of them, or as many and is later, holds
-    one of the passage's rarer lines too, so only the holders of those are
-    counted besides: the result is that of counting every earlier turn.
+    that holds more lines than the best of them, or as many and is later, and
+    more than half of all, holds one of the passage's rarer lines too, so only
+    the holders of those are counted besides: the result is that of counting
+    every earlier turn.
     """
     ids = ["conv_id", "turn", "h", "passage"]
     whole = F.array(F.struct(F.xxhash64(F.array_join("lines", " ")).alias("key"), (F.size("lines") + 1).alias("weight"), F.lit(True).alias("whole")))
-    probes = passages.select(*ids, F.explode(F.concat(whole, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("key"), F.lit(1).alias("weight"), F.lit(False).alias("whole"))))).alias("p"))
-    probes = scratch.table(probes.groupBy(*ids, "p.key", "p.whole").agg(F.sum("p.weight").alias("weight")))
+    probes = passages.select(*ids, F.size("lines").alias("n_lines"), F.explode(F.concat(whole, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("key"), F.lit(1).alias("weight"), F.lit(False).alias("whole"))))).alias("p"))
+    probes = scratch.table(probes.groupBy(*ids, "n_lines", "p.key", "p.whole").agg(F.sum("p.weight").alias("weight")).withColumn("bucket", _bucket("turn")))
     asked = probes.select("conv_id", "key").distinct()
     held = scratch.table(originals(messages).join(asked, ["conv_id", "key"], "left_semi").select("conv_id", "key", F.col("turn").alias("source")))
-    both = held.withColumn("turn", F.col("source")).unionByName(probes, allowMissingColumns=True)
-    before = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("holders", F.count("source").over(before)).withColumn("source", F.max("source").over(before)).where("passage is not null and source is not null")
-    found = scratch.table(found.select(*ids, "key", "whole", "weight", "holders", "source"))
+    before = scratch.table(_held_before(held.select("conv_id", "key", F.col("source").alias("at")), probes, ["conv_id", "key"]))
+    near = F.filter("turns", lambda t: t < F.col("turn"))
+    found = probes.join(before.hint("merge"), ["conv_id", "key", "bucket"])
+    found = found.withColumn("holders", F.col("n_before") + F.size(near)).withColumn("source", F.coalesce(F.array_max(near), "last_before")).where("source is not null")
+    found = scratch.table(found.select(*ids, "n_lines", "key", "whole", "weight", "holders", "source"))
 
     def counted(turns: DataFrame) -> DataFrame:
         votes = turns.join(found.select(*ids, "key", "weight"), ids).join(held, ["conv_id", "key", "source"])
@@ -92,10 +109,12 @@ def _sources(messages: DataFrame, passages: DataFrame) -> DataFrame:
     latest = latest.select(*ids, F.explode(F.when(F.col("as_whole").isNotNull(), F.array("as_whole")).otherwise(F.col("by_line"))).alias("source"))
     best = scratch.table(counted(latest).groupBy(*ids).agg(F.max(F.struct("votes", "source")).alias("best")))
     rarer = Window.partitionBy(*ids).orderBy("holders", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rare = found.where("not whole").withColumn("most", F.sum("weight").over(rarer)).drop("source").join(best, ids).where("most >= best.votes")
+    rare = found.where("not whole").withColumn("most", F.sum("weight").over(rarer)).drop("source").join(best, ids).where("most >= best.votes and most * 2 > n_lines")
     rivals = rare.join(held, ["conv_id", "key"]).where("source < turn and (most > best.votes or source > best.source)").select(*ids, "source").distinct()
     best = best.unionByName(counted(rivals).select(*ids, F.struct("votes", "source").alias("best"))).groupBy(*ids).agg(F.max("best").alias("best"))
-    return passages.join(best, ids, "left").select(*ids, "depth", F.size("lines").alias("n_lines"), F.col("best.votes").alias("votes"), F.col("best.source").alias("source"))
+    placed = passages.join(best, ids, "left").withColumn("n_lines", F.size("lines"))
+    enough = F.col("best.votes") * 2 > F.col("n_lines")
+    return placed.select(*ids, "depth", "n_lines", F.when(enough, F.col("best.votes")).alias("votes"), F.when(enough, F.col("best.source")).alias("source"))
 
 
 def linked_passages(conversations: DataFrame, **names: str) -> DataFrame:
@@ -115,10 +134,11 @@ def _prefixes(starts: DataFrame) -> DataFrame:
     ``starts``: conv_id, first (turn of the branch), source (turn answered).
     Pointer doubling: rounds grow with the logarithm of the nesting.
     """
-    points = starts.select("conv_id", F.col("first").alias("at"), F.col("first").alias("open"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("source")).unionByName(starts.select("conv_id", F.col("source").alias("at"), F.lit(None).cast("long").alias("open"), "first", "source"))
-    upto = Window.partitionBy("conv_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    now = points.withColumn("up", F.max("open").over(upto)).where("first is not null").select("conv_id", "first", "up", F.array("source", "first").alias("prefix"))
-    now = scratch.table(now)
+    asks = starts.withColumn("bucket", _bucket("source"))
+    opened = _held_before(starts.select("conv_id", F.col("first").alias("at")), asks, ["conv_id"])
+    near = F.filter("turns", lambda t: t <= F.col("source"))
+    now = asks.join(opened.hint("merge"), ["conv_id", "bucket"]).withColumn("up", F.coalesce(F.array_max(near), "last_before"))
+    now = scratch.table(now.select("conv_id", "first", "up", F.array("source", "first").alias("prefix")))
     while now.where("up is not null").limit(1).count():
         above = now.select("conv_id", F.col("first").alias("up"), F.col("up").alias("next"), F.col("prefix").alias("head"))
         now = scratch.table(now.join(above, ["conv_id", "up"], "left").select("conv_id", "first", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<bigint>")), "prefix").alias("prefix")))
@@ -144,30 +164,27 @@ def threads(conversations: DataFrame, **names: str) -> DataFrame:
     firsts = F.max(F.when(F.col("depth") == 1, F.struct("votes", "source")))["source"]
     links = sources.groupBy("conv_id", "turn", "h").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), firsts.alias("answers"))
 
-    bucket = F.floor(F.col("turn") / BUCKET).cast("long")
     in_bucket = Window.partitionBy("conv_id", "bucket").orderBy("turn")
-    earlier = in_bucket.rangeBetween(Window.unboundedPreceding, -1)
     of_conv = Window.partitionBy("conv_id").orderBy("bucket")
-    spans = placed.select("conv_id", bucket.alias("bucket"), "turn").groupBy("conv_id", "bucket").agg(F.max("turn").alias("last"))
-    spans = spans.withColumn("before", F.lag("last").over(of_conv))
-
-    answered = links.where("answers is not null").select("conv_id", "turn", "answers", bucket.alias("bucket")).groupBy("conv_id", "turn", "bucket").agg(F.max("answers").alias("answers"))
-    near = placed.select("conv_id", "turn", bucket.alias("bucket")).join(answered.select("conv_id", "bucket").distinct(), ["conv_id", "bucket"], "left_semi").distinct()
-    near = near.withColumn("prev", F.max("turn").over(earlier)).join(spans.select("conv_id", "bucket", "before"), ["conv_id", "bucket"])
-    starts = answered.join(near.select("conv_id", "turn", F.coalesce("prev", "before").alias("prev")), ["conv_id", "turn"]).where("answers <> prev").select("conv_id", F.col("turn").alias("first"), F.col("answers").alias("source"))
-    branches = _prefixes(starts).withColumn("bucket", F.floor(F.col("first") / BUCKET).cast("long"))
-
-    opened = branches.groupBy("conv_id", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("first", "prefix"))).alias("opened"), F.max(F.struct("first", "prefix"))["prefix"].alias("leaves"))
-    said = links.withColumn("bucket", bucket).groupBy("conv_id", "bucket").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("turn", "h").alias("k"), F.struct("n_quotes", "n_linked", "answers").alias("v")))).alias("said"))
-    info = spans.join(opened, ["conv_id", "bucket"], "left").join(said, ["conv_id", "bucket"], "left")
-    info = info.withColumn("carried", F.last("leaves", ignorenulls=True).over(of_conv.rowsBetween(Window.unboundedPreceding, -1))).drop("last", "leaves")
-
-    rows = placed.select("conv_id", "turn", "role", "h", "own", bucket.alias("bucket")).withColumn("prev", F.max("turn").over(earlier))
-    rows = rows.join(info.hint("merge"), ["conv_id", "bucket"]).withColumn("link", F.try_element_at("said", F.struct("turn", "h")))
-    rows = rows.withColumn("start", F.try_element_at("opened", F.col("turn")))
-    path = F.coalesce(F.last("start", ignorenulls=True).over(in_bucket.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("carried"), F.array().cast("array<bigint>"))
+    turns = scratch.table(placed.select("conv_id", "turn").distinct().withColumn("bucket", _bucket("turn")))
+    spans = turns.groupBy("conv_id", "bucket").agg(F.max("turn").alias("last")).withColumn("before", F.lag("last").over(of_conv))
+    turns = turns.withColumn("prev", F.lag("turn").over(in_bucket)).join(spans.select("conv_id", "bucket", "before"), ["conv_id", "bucket"])
+    turns = scratch.table(turns.select("conv_id", "turn", "bucket", F.coalesce("prev", "before").alias("prev")))
+
+    answered = links.where("answers is not null").groupBy("conv_id", "turn").agg(F.max("answers").alias("answers"))
+    starts = answered.join(turns, ["conv_id", "turn"]).where("answers <> prev").select("conv_id", F.col("turn").alias("first"), F.col("answers").alias("source"))
+    branches = _prefixes(scratch.table(starts)).withColumn("bucket", _bucket("first"))
+    leaves = spans.join(branches.groupBy("conv_id", "bucket").agg(F.max(F.struct("first", "prefix"))["prefix"].alias("leaf")), ["conv_id", "bucket"], "left")
+    carried = leaves.select("conv_id", "bucket", F.last("leaf", ignorenulls=True).over(of_conv.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    upto = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = turns.join(branches.select("conv_id", F.col("first").alias("turn"), "prefix"), ["conv_id", "turn"], "left").withColumn("open", F.last("prefix", ignorenulls=True).over(upto))
+    path = F.concat(F.coalesce("open", "carried", F.array().cast("array<bigint>")), F.array("turn"))
+    places = opened.join(carried, ["conv_id", "bucket"]).select("conv_id", "turn", "prev", path.alias("reply_path"))
+
     none = F.lit(0).cast("long")
-    out = rows.select("conv_id", "turn", "role", F.col("own").alias("own_text"), F.coalesce("link.n_quotes", none).alias("n_quotes"), F.coalesce("link.n_linked", none).alias("n_linked"), F.coalesce("link.answers", "prev", "before").alias("reply_to"), F.concat(path, F.array("turn")).alias("reply_path"))
+    about = placed.select("conv_id", "turn", "h").distinct().join(places, ["conv_id", "turn"]).join(links, ["conv_id", "turn", "h"], "left")
+    about = about.select("conv_id", "turn", "h", F.coalesce("n_quotes", none).alias("n_quotes"), F.coalesce("n_linked", none).alias("n_linked"), F.coalesce("answers", "prev").alias("reply_to"), "reply_path")
+    out = placed.join(about.hint("merge"), ["conv_id", "turn", "h"]).select("conv_id", "turn", "role", F.col("own").alias("own_text"), "n_quotes", "n_linked", "reply_to", "reply_path")
     alone = messages.where("conv_id is null or turn is null").select("conv_id", "turn", "role", F.col("own").alias("own_text"), none.alias("n_quotes"), none.alias("n_linked"), F.lit(None).cast("long").alias("reply_to"), F.array().cast("array<bigint>").alias("reply_path"))
     return out.unionByName(alone)
 

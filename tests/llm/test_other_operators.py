@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +160,44 @@ def test_wrappers_named_after_what_stands_beside_keep_the_article(classes, tag):
     assert html_extract.main_text(html) == said
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><article><p>First one, here.</p></article><article>{ARTICLE}</article></body>", f"First one, here.\n{LINE}"),
+        (f"<body><div>{ARTICLE * 2}</div><p>Short one.</p></body>", f"{LINE}\n{LINE}\nShort one."),
+        (f"<article>{ARTICLE}<ul><li><a href=a>x</a><li><a href=b>y</a><li><a href=c>z</a></ul></article>", f"{LINE}\nx\ny\nz"),
+        (f"<article><p class=byline>By me</p><section class=social-science>{ARTICLE}</section><div class='ad-hoc'>{ARTICLE}</div></article>", f"By me\n{LINE}\n{LINE}"),
+        ("<article><p>Press <button>Go</button> to see <output>5</output> of <math><mi>x</mi></math>.</p><button>Buy</button></article>", "Press Go to see 5 of x."),
+        (f"<body>intro <a href=x>text</a> that goes on, and on, for some while<div class=left-sidebar>{ARTICLE}</div><div>{ARTICLE}</div>tail</body>", f"intro text that goes on, and on, for some while\n{LINE}\ntail"),
+    ],
+)
+def test_article_text_is_not_dropped(html, want):
+    assert html_extract.main_text(html) == want
+
+
+def test_pages_without_article_elements_match_their_making():
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    line = lambda n: " ".join(word() + ("," if rng.random() < 0.1 else "") for _ in range(n)) + "."
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a>" for _ in range(rng.randrange(3, 9))) + "</ul>"
+    for _ in range(200):
+        said = [line(rng.randrange(3, 8))] + [line(rng.choice([4, 30, 90])) for _ in range(rng.randrange(2, 12))]
+        body = f"<h1>{said[0]}</h1>" + "".join(f"<p>{x.replace(' ', rng.choice([' ', chr(10), '  ']))}</p>" for x in said[1:])
+        around = [f"<nav>{menu()}</nav>", f"<div class='{rng.choice(['sidebar', 'right-sidebar', 'main-menu'])}'>{menu()}</div>", f"<div class=ad><p>{line(40)}</p></div>", f"<footer>{line(9)}</footer>", f"<form><label>{line(4)}</label><input></form>", f"<div id=comments><p>{line(30)}</p></div>", menu()]
+        rng.shuffle(around)
+        k = rng.randrange(len(around) + 1)
+        wrap = rng.choice(["<div class=content>%s</div>", "<div><div class='post wide'>%s</div></div>", "<main>%s</main>", "<section>%s</section>"])
+        html = f"<html><head><title>{line(3)}</title></head><body>{''.join(around[:k])}{wrap % body}{''.join(around[k:])}</body></html>"
+        assert html_extract.main_text(html) == "\n".join(said), html
+
+
+@pytest.mark.parametrize("bad", ["<div><p>word, word, word", "<p><article>", "<header><h1>", "<ul><li>", "<table><tr><td>x", "<form><p>", "<dl><dd>x", "<a>x<div>"])
+def test_a_megabyte_of_nested_tags(bad):
+    start = time.perf_counter()
+    html_extract.main_text(bad * (500_000 // len(bad)))
+    assert time.perf_counter() - start < 10  # some tenths of a second; quadratic work takes many minutes
+
+
 def test_extract_rows(spark, rows):
     df = spark.createDataFrame([(1, "u", "<p>é</p>", 0), (1, "u", "<p>é</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert rows(html_extract.extract(df)) == sorted([(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)], key=repr)
@@ -301,6 +340,22 @@ def test_recurring_lines_do_not_hide_the_source(spark):
     assert got[3].n_linked == 1 and got[3].reply_to == 1
 
 
+def test_a_passage_needs_most_of_its_lines(spark):
+    rows = [(1, 1, "a", "Yes"), (1, 2, "b", "Yes\nI see"), (1, 3, "c", "> Yes\n> one\n> two\n> three\nno"), (1, 4, "d", "> Yes\n> I see\n> three\nso")]
+    got = {r.turn: (r.n_quotes, r.n_linked, r.reply_to) for r in quotes.threads(spark.createDataFrame(rows, CHAT)).collect()}
+    assert got[3] == (1, 0, 2) and got[4] == (1, 1, 2)
+
+
+def test_a_line_common_to_a_long_conversation(spark):
+    rows = [(1, t, "u", f"+1\nown {t}") for t in range(1500)] + [(1, t, "u", f"> +1\n> own {t // 3}\n") for t in range(1500, 2200)]
+    got = {r.turn: r for r in quotes.threads(spark.createDataFrame(rows, CHAT).repartition(3)).collect()}
+    assert all(got[t].reply_to == t // 3 and got[t].reply_path[-1] == t for t in range(1500, 2200))
+    long = "\n".join(f"line {k} of a very long message" for k in range(5000))
+    huge = [(2, 1, "a", long), (2, 2, "b", "short"), (2, 3, "c", "\n".join("> " + x for x in long.split("\n")) + "\nagreed")]
+    got = {r.turn: r for r in quotes.threads(spark.createDataFrame(huge, CHAT)).collect()}
+    assert got[3].reply_to == 1 and got[3].own_text == "agreed"
+
+
 def test_sources_equal_counting_every_earlier_turn(spark):
     rng = random.Random(13)
     words = [f"line {c}" for c in "abcdefgh"]
@@ -315,7 +370,7 @@ def test_sources_equal_counting_every_earlier_turn(spark):
                 whole = [t for t, ls in earlier.items() if " ".join(asked) in {*ls, " ".join(ls)}]
                 counts = [(sum(x in ls for x in asked), t) for t, ls in earlier.items()]
                 most = max(counts, default=(0, None))
-                want[(conv, turn)] = max(whole) if whole else most[1] if most[0] else None
+                want[(conv, turn)] = max(whole) if whole else most[1] if most[0] * 2 > len(asked) else None
     got = quotes.linked_passages(spark.createDataFrame(rows, CHAT).repartition(3)).collect()
     assert {(r.conv_id, r.turn): r.source for r in got} == want
 

@@ -50,7 +50,7 @@ def test_quotations_equal_their_sql(spark):
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
     got = quotes.digests(quotes.threads(df.repartition(3))).toPandas()
-    assert shaped(got) == shaped(con.sql(oracle_more.OP9).df())
+    assert shaped(got) == shaped(con.sql(oracle_more.quotation_sql()).df())
     assert got.n_linked.sum() > 20 and got.reply_path.str.count(r"\.").max() > 3
 
 
