@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import bags, kv, pairs
-from lodestack.sources.staging import folder
+from lodestack.sources.staging import new_path
 from lodestack.sources.tables import read
 
 QUERIES: dict = {}
@@ -99,7 +97,7 @@ SELECT row_key, event_type AS col, arg_max(v, event_id) AS value FROM live GROUP
 """)
 def kv_log_replay(spark, d):
     log = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 10 == 0, "row").otherwise("cell").alias("op"), F.col("user_id").cast("string").alias("row_key"), F.create_map("event_type", F.col("event_id").cast("string")).alias("cols"))
-    path = f"{folder(spark)}/log-{uuid.uuid4().hex}"
+    path = new_path(spark, "log")
     kv.append(log.where("seq % 2 = 0"), path)
     kv.append(log.where("seq % 2 = 1"), path)
     return kv.current(spark.read.parquet(path)).select("row_key", F.explode("cols").alias("col", "value"))
@@ -107,7 +105,7 @@ def kv_log_replay(spark, d):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def kv_rename_roundtrip(spark, d):
-    old, new = (f"{folder(spark)}/{x}-{uuid.uuid4().hex}" for x in ("old", "new"))
+    old, new = new_path(spark, "table"), new_path(spark, "table")
     kv.save_as(read(spark, d, "nation"), old)
     kv.rename(spark, old, new)
     return spark.read.parquet(new)
