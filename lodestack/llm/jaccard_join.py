@@ -101,12 +101,22 @@ def _set_hashes(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
     def partial(batches):
-        total = np.zeros(FREQUENCIES, np.uint32)
+        total, held, n = np.zeros(FREQUENCIES, np.uint32), [], 0
+
+        def add():
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=FREQUENCIES).astype(np.uint32)
+                held.clear()
+
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 words = split(data, offsets, NON_SPACE, lower=True)
-                keys = grams(words.hashes[0], size)[gram_starts(words.first, size)]
-                total += np.bincount(scratch.cell_of(keys, FREQUENCIES), minlength=FREQUENCIES).astype(np.uint32)
+                held.append(scratch.cell_of(grams(words.hashes[0], size)[gram_starts(words.first, size)], FREQUENCIES))
+                n += len(held[-1])
+                if n > FREQUENCIES:
+                    add()
+                    n = 0
+        add()
         parts = total.reshape(-1, scratch.SLICE)
         used = [k for k in range(len(parts)) if parts[k].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), scratch.packed([parts[k].tobytes() for k in used])], names=["slice", "counts"])

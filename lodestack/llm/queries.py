@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.sources.tables import read
 
-from . import bm25, byte_bpe, decontaminate, html_extract, jaccard_join, licenses, oracle, oracle_more, quotes, substring_dedup, toxicity, warc
+from . import bm25, byte_bpe, decontaminate, html_extract, jaccard_join, licenses, oracle, oracle_more, quotes, scratch, substring_dedup, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +72,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 _ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination, quotation_linking_of_replies)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+
+def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scratch.small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _registered(f) for f in _ALL}
 SQL: dict[str, str] = {name: sql for name, sql in (oracle.SQL | oracle_more.SQL).items() if name in QUERIES}

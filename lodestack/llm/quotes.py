@@ -93,7 +93,9 @@ def _sources(messages: DataFrame, passages: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.xxhash64(F.array_join("lines", " ")).alias("key"), (F.size("lines") + 1).alias("weight"), F.lit(True).alias("whole")))
     probes = passages.select(*ids, F.size("lines").alias("n_lines"), F.explode(F.concat(whole, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("key"), F.lit(1).alias("weight"), F.lit(False).alias("whole"))))).alias("p"))
     probes = scratch.table(probes.groupBy(*ids, "n_lines", "p.key", "p.whole").agg(F.sum("p.weight").alias("weight")).withColumn("bucket", _bucket("turn")))
-    asked = probes.select("conv_id", "key").distinct()
+    if not probes.limit(1).count():  # nothing is quoted
+        return passages.select(*ids, "depth", F.size("lines").alias("n_lines"), F.lit(None).cast("long").alias("votes"), F.lit(None).cast("long").alias("source"))
+    asked = scratch.table(probes.select("conv_id", "key").distinct()).hint("merge")  # staged, so that a common line's rows can be split
     held = scratch.table(originals(messages).join(asked, ["conv_id", "key"], "left_semi").select("conv_id", "key", F.col("turn").alias("source")))
     before = scratch.table(_held_before(held.select("conv_id", "key", F.col("source").alias("at")), probes, ["conv_id", "key"]))
     near = F.filter("turns", lambda t: t < F.col("turn"))
@@ -145,6 +147,18 @@ def _prefixes(starts: DataFrame) -> DataFrame:
     return now.select("conv_id", "first", "prefix")
 
 
+def _branched(turns: DataFrame, spans: DataFrame, starts: DataFrame) -> DataFrame:
+    """conv_id, turn, prev, reply_path of every turn, given where branches start; a turn stands on the latest branch begun."""
+    of_conv = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("conv_id", "bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    branches = _prefixes(starts).withColumn("bucket", _bucket("first"))
+    leaves = spans.join(branches.groupBy("conv_id", "bucket").agg(F.max(F.struct("first", "prefix"))["prefix"].alias("leaf")), ["conv_id", "bucket"], "left")
+    carried = leaves.select("conv_id", "bucket", F.last("leaf", ignorenulls=True).over(of_conv).alias("carried"))
+    opened = turns.join(branches.select("conv_id", F.col("first").alias("turn"), "prefix"), ["conv_id", "turn"], "left").withColumn("open", F.last("prefix", ignorenulls=True).over(upto))
+    path = F.concat(F.coalesce("open", "carried", F.array().cast("array<bigint>")), F.array("turn"))
+    return opened.join(carried, ["conv_id", "bucket"]).select("conv_id", "turn", "prev", path.alias("reply_path"))
+
+
 def threads(conversations: DataFrame, **names: str) -> DataFrame:
     """Every message without its quotations, placed in its conversation's reply order.
 
@@ -165,26 +179,23 @@ def threads(conversations: DataFrame, **names: str) -> DataFrame:
     links = sources.groupBy("conv_id", "turn", "h").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), firsts.alias("answers"))
 
     in_bucket = Window.partitionBy("conv_id", "bucket").orderBy("turn")
-    of_conv = Window.partitionBy("conv_id").orderBy("bucket")
     turns = scratch.table(placed.select("conv_id", "turn").distinct().withColumn("bucket", _bucket("turn")))
-    spans = turns.groupBy("conv_id", "bucket").agg(F.max("turn").alias("last")).withColumn("before", F.lag("last").over(of_conv))
+    spans = turns.groupBy("conv_id", "bucket").agg(F.max("turn").alias("last")).withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("bucket")))
     turns = turns.withColumn("prev", F.lag("turn").over(in_bucket)).join(spans.select("conv_id", "bucket", "before"), ["conv_id", "bucket"])
     turns = scratch.table(turns.select("conv_id", "turn", "bucket", F.coalesce("prev", "before").alias("prev")))
 
     answered = links.where("answers is not null").groupBy("conv_id", "turn").agg(F.max("answers").alias("answers"))
     starts = answered.join(turns, ["conv_id", "turn"]).where("answers <> prev").select("conv_id", F.col("turn").alias("first"), F.col("answers").alias("source"))
-    branches = _prefixes(scratch.table(starts)).withColumn("bucket", _bucket("first"))
-    leaves = spans.join(branches.groupBy("conv_id", "bucket").agg(F.max(F.struct("first", "prefix"))["prefix"].alias("leaf")), ["conv_id", "bucket"], "left")
-    carried = leaves.select("conv_id", "bucket", F.last("leaf", ignorenulls=True).over(of_conv.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    upto = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = turns.join(branches.select("conv_id", F.col("first").alias("turn"), "prefix"), ["conv_id", "turn"], "left").withColumn("open", F.last("prefix", ignorenulls=True).over(upto))
-    path = F.concat(F.coalesce("open", "carried", F.array().cast("array<bigint>")), F.array("turn"))
-    places = opened.join(carried, ["conv_id", "bucket"]).select("conv_id", "turn", "prev", path.alias("reply_path"))
+    starts = scratch.table(starts)
+    if starts.limit(1).count():
+        places = _branched(turns, spans, starts)
+    else:  # every message answers the one before it
+        places = turns.select("conv_id", "turn", "prev", F.array("turn").alias("reply_path"))
 
     none = F.lit(0).cast("long")
     about = placed.select("conv_id", "turn", "h").distinct().join(places, ["conv_id", "turn"]).join(links, ["conv_id", "turn", "h"], "left")
     about = about.select("conv_id", "turn", "h", F.coalesce("n_quotes", none).alias("n_quotes"), F.coalesce("n_linked", none).alias("n_linked"), F.coalesce("answers", "prev").alias("reply_to"), "reply_path")
-    out = placed.join(about.hint("merge"), ["conv_id", "turn", "h"]).select("conv_id", "turn", "role", F.col("own").alias("own_text"), "n_quotes", "n_linked", "reply_to", "reply_path")
+    out = placed.join(scratch.table(about).hint("merge"), ["conv_id", "turn", "h"]).select("conv_id", "turn", "role", F.col("own").alias("own_text"), "n_quotes", "n_linked", "reply_to", "reply_path")
     alone = messages.where("conv_id is null or turn is null").select("conv_id", "turn", "role", F.col("own").alias("own_text"), none.alias("n_quotes"), none.alias("n_linked"), F.lit(None).cast("long").alias("reply_to"), F.array().cast("array<bigint>").alias("reply_path"))
     return out.unionByName(alone)
 

@@ -7,9 +7,7 @@ re-read, not a recomputation.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,74 +17,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.session import make_importable
+from lodestack.sources import staging
 
 from .textkernel import mix
 
-_written: list[tuple[SparkSession, str, str | None]] = []
-_scope: str | None = None
-_own: list[str] = []
 
+class Scope:
+    """The tables that were written for one piece of work."""
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="lodestack-"))
-        found = _own[0]
-    return found.rstrip("/")
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
 
+    def release(self) -> None:
+        """Delete the tables; call it only when no result built on them is still to be read."""
+        while self.paths:
+            staging.delete(*self.paths.pop())
 
-def table(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestack/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path, _scope))
-    return spark.read.schema(df.schema).parquet(path)
+
+_now = threading.local()
 
 
 @contextmanager
-def scope(name: str) -> Iterator[None]:
-    """Tables written inside belong to ``name`` and go with ``release(name)``."""
-    global _scope
-    before, _scope = _scope, name
+def scope() -> Iterator[Scope]:
+    """Tables that this thread writes inside belong to the scope. Those of no scope go when the program ends."""
+    before, _now.scope = getattr(_now, "scope", None), Scope()
     try:
-        yield
+        yield _now.scope
     finally:
-        _scope = before
+        _now.scope = before
 
 
-def release(name: str | None = None) -> None:
-    """Delete the tables of a scope, or all; call it only when no result built on them is still to be read."""
-    for entry in [w for w in _written if name is None or w[2] == name]:
-        spark, path, _ = entry
-        _written.remove(entry)
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  at exit the JVM may be gone
-            return
+def table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = staging.new_path(spark, "lodestack")
+    if getattr(_now, "scope", None) is not None:
+        _now.scope.paths.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-atexit.register(release)
+#: Bytes of one Arrow batch in the registered queries; Spark's own 64 MB are held on both sides of every worker.
+BATCH_BYTES = "4m"
 
 
-#: Rows of text in one Arrow batch. Spark's own 10,000 hold tens of MB of text on both sides of each worker.
-BATCH_ROWS = 1000
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, unless its owner has set a bound.
 
+    For programs (the registered queries and the pipeline); the operators leave
+    the session's settings alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(key, BATCH_BYTES)
 
-def columns(df: DataFrame, **names: str) -> DataFrame:
-    """Only the named columns, under fixed names: clashing extra columns cannot interfere.
 
-    Also sees that workers can import this package, and lowers the session's Arrow batches to ``BATCH_ROWS`` rows, unless
-    they were set to something other than Spark's default.
-    """
+def columns(df: DataFrame, **names: str) -> DataFrame:
+    """Only the named columns, under fixed names: clashing extra columns cannot interfere. Also sees that workers can import this package."""
     make_importable(df.sparkSession)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df.select(*[df[src].alias(dst) for dst, src in names.items()])
 
 

@@ -12,7 +12,7 @@ first 4 to 7 bytes (a stem with unseen endings still counts). Those that stand
 out among the positives are kept, by a test on document counts.
 
 The sample that is fitted is bounded by ``max_positives`` and
-``max_unlabelled`` rows, the least by hash of ``doc_id``; every row is scored.
+``max_unlabelled`` ids, the least by hash, with one text each; every row is scored.
 """
 
 from __future__ import annotations
@@ -119,8 +119,9 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_features: int, prio
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, kind: int) -> DataFrame:
-    """Texts of a bounded list of ids; the list is broadcast."""
-    return docs.join(F.broadcast(ids), "doc_id").select(F.lit(kind).alias("kind"), "text")
+    """One text for each of a bounded list of ids, which is broadcast: the least, where rows share an id."""
+    texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.select(F.lit(kind).alias("kind"), "text")
 
 
 def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: float, max_positives: int = 4000, max_unlabelled: int = 8000, max_features: int = 4096, least_z: float = 5.0, models: int = 3) -> Model:
@@ -163,7 +164,7 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: f
                 out += np.split(feature, np.searchsorted(doc, np.arange(1, hi - lo)))
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.int32()))], names=["kind", "features"])
 
-    rows = sample.mapInArrow(indexed, "kind int, features array<int>").orderBy("kind", "features").collect()  # at most max_positives + max_unlabelled
+    rows = sorted(sample.mapInArrow(indexed, "kind int, features array<int>").collect())  # at most max_positives + max_unlabelled
     pos = [np.array(r.features, np.int64) for r in rows if r.kind == 1]
     unl = [np.array(r.features, np.int64) for r in rows if r.kind == 0]
     return Model(blank.keys, *cross_fitted(pos, unl, len(keys), prior, models))
@@ -240,7 +241,17 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: float = CUT, **names: str) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+
+    A null text is scored as the empty text, which has no features; so is a
+    text without words. Rows are scored one by one: repeated rows get equal
+    scores, and rows that share a ``doc_id`` are fitted as one (the least of
+    their texts). A row with a null ``doc_id`` is scored, not held out, and
+    never fitted. An id that is labelled twice is a positive if any of its
+    labels is. Ties in the choice of the sample go by hash of the id and then the
+    id, ties among features by their hash. Without labels, or where no feature
+    tells them apart, every text has the same score.
+    """
     model = train_on_labels(docs, labels, **names)
     texts = {k: v for k, v in names.items() if k in ("doc_id", "text")}
     return score(docs, model, **texts).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= most).cast("int").alias("predicted"))

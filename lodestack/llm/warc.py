@@ -219,7 +219,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for k, (headers, block) in enumerate(parse(_unzipped(raw))):
                     rows.append((k, headers, block))
-                    if len(rows) == scratch.BATCH_ROWS:
+                    if len(rows) == 1000:
                         yield _batch(rows)
                         rows = []
                 yield _batch(rows)

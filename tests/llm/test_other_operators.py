@@ -62,6 +62,18 @@ def test_a_handful_of_labels_does_not_make_every_text_toxic(spark):
     assert len(got) == 17 and not any(r.predicted for r in got) and len({r.score for r in got}) == 1
 
 
+def test_rows_that_share_an_id_are_fitted_as_one(spark, monkeypatch):
+    docs, labels = toxic_corpus(300)
+    docs += [(0, f"VILE nasty. copy {k}") for k in range(2000)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("toxic", F.lit("clash")).withColumn("kind", F.lit(1)).repartition(3)
+    seen = []
+    monkeypatch.setattr(toxicity, "cross_fitted", lambda pos, unl, *rest: seen.append((len(pos), len(unl))) or (np.zeros(rest[0]), 0.0))
+    got = toxicity.classify(df, spark.createDataFrame(labels + labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(docs)
+    toxicity.train_on_labels(df, spark.createDataFrame(labels, "doc_id long, toxic int"), max_positives=20, max_unlabelled=80)
+    assert seen[0][0] <= sum(t for _, t in labels) and seen[0][1] <= 300 and seen[1] == (20, 80)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = toxicity.classify(spark.createDataFrame([(1, "a"), (2, None)], DOCS), none).collect()

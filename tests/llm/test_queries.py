@@ -1,6 +1,7 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,8 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from lodestack.llm import oracle_more, queries, quotes, scratch
+from lodestack.llm import oracle_more, queries, quotes
+from lodestack.sources import staging
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -54,6 +56,36 @@ def test_quotations_equal_their_sql(spark):
     assert got.n_linked.sum() > 20 and got.reply_path.str.count(r"\.").max() > 3
 
 
+def written(root):
+    return [p for p in Path(root).rglob("*.parquet") if p.is_file()]
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "_own", [str(tmp_path / "shared")])
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept_id long, gone string, owner int"
+    rest = ("en", "s", 0, "c", 1, "g", 2)
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    base, item, passage = text(120), text(12), text(60)
+    docs = [(i, text(80), *rest) for i in range(30)]
+    docs += [(None, base, *rest), (None, base + " more", *rest), (None, text(50), *rest), (None, f"{text(20)} {item} {text(9)}", *rest), (None, None, *rest), (None, "", *rest)]
+    docs += [(40, text(90), *rest), (40, text(70), *rest), (41, f"{passage} {text(30)}", *rest), (None, f"{text(30)} {passage}", *rest)]
+    folder = tmp_path / "data"
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(folder)).collect()
+    ids = Counter(r.doc_id for r in got)
+    assert all(ids[i] == 1 for i in range(30)) and ids[40] == 2 and ids[41] == 1
+    assert ids[None] == 5  # one of the two near copies, the other text, the two empty ones and what is left beside the passage
+    none = folder.parent / "none"
+    spark.createDataFrame([], schema).write.parquet(str(none / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(folder / f"{name}.parquet")).limit(0).write.parquet(str(none / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).collect() == []
+    assert len({p.parts[len(tmp_path.parts) + 2] for p in written(tmp_path / "shared") if "pipeline" in p.parts}) <= 2  # the last stage's input of each run
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(12)
     text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
@@ -82,4 +114,3 @@ def test_pipeline_stages(spark, tmp_path):
     assert tokens[500].n_tokens == 0 and tokens[0].n_tokens == len(tokens[0].ids) > 80
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.n_tokens) for r in tokens.values())
-    scratch.release("pipeline stage 0")
