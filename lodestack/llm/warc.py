@@ -5,7 +5,8 @@ about the capture) and a ``conversion`` record (its plain text). Both name the
 response in WARC-Refers-To, are linked to each other by WARC-Concurrent-To,
 and carry the source's headers and digests on.
 
-A record is a row ``key, headers array<struct<name,value>>, block binary``.
+A record is a row ``key, headers array<struct<name,value>>, block binary``;
+one that was read from a file has its ``path`` as well.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def _get(headers: list[tuple[str, str]], name: str) -> str | None:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     keys, headers, blocks = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([[{"name": k, "value": v} for k, v in h] for h in headers], _HEADERS), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
+    named = [None if h is None else [{"name": k, "value": v} for k, v in h] for h in headers]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(named, _HEADERS), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
 
 
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -148,23 +150,36 @@ def _headed(kind: str, ids: dict[str, str], refers: str, carried: list[tuple[str
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """The metadata and conversion records of the responses among ``records``.
+    """The metadata and conversion records of the responses among ``records``, with their ``key`` (and ``path``, if there is one).
 
     Records of other types have no derivatives. A response of no textual kind
-    has a metadata record only. Null headers or blocks count as empty. The
+    has a metadata record only. Null headers or blocks count as empty; repeated
+    records have equal derivatives, other columns are not looked at. The
     records stay in their partition.
     """
+    carried = [c for c in ("path",) if c in records.columns]
 
     def run(batches):
         for batch in batches:
-            keys, blocks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = []
-            for key, headers, block in zip(keys, batch.column(1).to_pylist(), blocks, strict=True):
-                rows += _derive(key, [(h["name"], h["value"]) for h in headers or ()], block or b"")
-            yield _batch(rows)
+            rows, of, held = [], [], 0
+
+            def made():
+                out = _batch(rows)
+                return pa.RecordBatch.from_arrays([*out.columns, *[c.take(pa.array(of, pa.int64())) for c in batch.columns[3:]]], names=[*out.schema.names, *carried])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                headers = [(h["name"], h["value"]) for h in batch.column(1)[i].as_py() or ()]
+                for row in _derive(batch.column(0)[i].as_py(), headers, batch.column(2)[i].as_py() or b""):
+                    rows.append(row)
+                    of.append(i)
+                    held += len(row[2])
+                if held > FLUSH:
+                    yield made()
+                    rows, of, held = [], [], 0
+            yield made()
 
     make_importable(records.sparkSession)
-    return records.select("key", "headers", "block").mapInArrow(run, RECORD)
+    return records.select("key", "headers", "block", *carried).mapInArrow(run, RECORD + "".join(f", {c} string" for c in carried))
 
 
 def header(name: str) -> F.Column:
@@ -178,55 +193,158 @@ def serialized(records: DataFrame) -> DataFrame:
     return records.select(F.concat(F.lit("WARC/1.1\r\n"), lines, F.lit("\r\n\r\n"), F.coalesce(F.col("block"), F.lit(b"")).cast("string")).alias("value"))
 
 
+#: Bytes of blocks that are handed on at once.
+FLUSH = 1 << 22
+#: A gzip member without content. Spark's text writer wants something between its rows, and this is nothing to a reader.
+NOTHING = gzip.compress(b"", mtime=0)
+
+
 def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """One WARC file for each partition. The text writer puts down bytes as they are and ends each record as WARC asks."""
-    serialized(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    """One WARC file for each partition (``.warc.gz`` with a gzip member for each record, or plain ``.warc``).
 
+    Spark's text writer puts the bytes down as they are; the files get their
+    names when all of them are written.
+    """
+    raw, spark = serialized(records), records.sparkSession
+    if compression == "none":
+        raw.write.option("lineSep", "\r\n\r\n").text(path)
+    else:
 
-def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of the records of an uncompressed file; a broken tail ends it."""
-    at = raw.find(b"WARC/")
-    while at >= 0:
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in lines) if c]
-        try:
-            n = int(_get(headers, "Content-Length") or 0)
-        except ValueError:
-            return
-        yield headers, raw[end + 4 : end + 4 + n]
-        at = raw.find(b"WARC/", end + 4 + n)
+        def members(batches):
+            for batch in batches:
+                for value in batch.column(0):
+                    yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(value.as_py() + CRLF + CRLF, 6, mtime=0)], pa.binary())], names=["value"])
 
+        packed = raw.select(F.col("value").cast("binary")).mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+        packed.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):  # a name for each partition
+        name = found.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(found.getPath(), hadoop.Path(folder, name[:-4] + (".warc" if compression == "none" else ".warc.gz")))
 
-def _unzipped(raw: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw) + d.flush())
-        raw = d.unused_data
-    return b"".join(out) if out else raw
 
+_MARK = b"WARC/"
+_HEAD = re.compile(rb"\d+\.\d+\r?\n[!-9;-~]+:")
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below ``path``, gzip or plain; ``key`` is the record's place in its file."""
 
-    def run(batches):
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                rows = []
-                for k, (headers, block) in enumerate(parse(_unzipped(raw))):
-                    rows.append((k, headers, block))
-                    if len(rows) == 1000:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
+class Assembler:
+    """Records out of the pieces of a file between its ``WARC/`` marks, one piece at a time.
 
+    A record goes on over marks in its headers or block until it has the length
+    that it names. What belongs to no record is dropped, and so is a record
+    without a valid length.
+    """
+
+    def __init__(self) -> None:
+        self.open: bytearray | None = None
+        self.need = 0
+
+    def feed(self, piece: bytes) -> tuple[list[tuple[str, str]], bytes] | None:
+        """The record that the piece completes, if any."""
+        if self.open is None:
+            if not _HEAD.match(piece):
+                return None
+            self.open, self.need = bytearray(piece), 0
+        else:
+            self.open += _MARK + piece
+        if not self.need:
+            end = self.open.find(b"\r\n\r\n")
+            if end < 0:
+                return None
+            lines = bytes(self.open[:end]).decode("utf-8", "replace").split("\r\n")[1:]
+            self.headers = [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in lines) if c]
+            try:
+                self.start = end + 4
+                self.need = self.start + max(0, int(_get(self.headers, "Content-Length") or 0))
+            except ValueError:
+                self.open = None
+                return None
+        if len(self.open) < self.need:
+            return None
+        block, self.open = bytes(memoryview(self.open)[self.start : self.need]), None
+        return self.headers, block
+
+
+def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of the records of an uncompressed file; a record that is cut short is dropped."""
+    made = Assembler()
+    for piece in raw.split(_MARK):
+        if (record := made.feed(piece)) is not None:
+            yield record
+
+
+def read(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
+    """Records of the WARC files below ``path``: ``key, headers, block, path``; ``key`` ascends with the place in the file.
+
+    Files are streamed by Spark's text reader, cut at the marks of records, so
+    a task holds some records and never a file. Files that end in ``.gz`` are
+    inflated as they are read; all others are plain and split by size (a record
+    over the border of two splits is put together from its parts). With
+    ``skip_broken`` a file that cannot be read to its end gives what precedes
+    the damage; otherwise it is an error.
+    """
     make_importable(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where("length > 0").select("content").mapInArrow(run, RECORD)
+
+    def pieces(names: str) -> DataFrame:
+        found = spark.read.option("lineSep", _MARK.decode()).option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("ignoreCorruptFiles", str(skip_broken)).text(path)
+        return found.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+
+    def run(batches):
+        """Records, and with null headers the parts of those that begin or end in another split."""
+        at, made, n, lead = None, Assembler(), 0, False
+        rows, paths, held = [], [], 0
+
+        def flush():
+            nonlocal rows, paths, held
+            out = _batch(rows)
+            rows, held = [], 0
+            paths, full = [], pa.array(paths, pa.string())
+            return pa.RecordBatch.from_arrays([*out.columns, full], names=[*out.schema.names, "path"])
+
+        def add(headers, block):
+            nonlocal n, held
+            rows.append((at[1] + n, headers, block))
+            paths.append(at[0])
+            n += 1
+            held += len(block)
+
+        for batch in batches:
+            for where, start, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (where, start) != at:
+                    if made.open is not None:
+                        add(None, bytes(made.open))
+                    at, made, n, lead = (where, start), Assembler(), 0, start > 0
+                raw = piece.as_py()
+                record = made.feed(raw)
+                lead = lead and made.open is None and record is None
+                if record is not None:
+                    add(*record)
+                elif lead:
+                    add(None, raw)
+                if held > FLUSH or len(rows) >= 1000:
+                    yield flush()
+        if made.open is not None:
+            add(None, bytes(made.open))
+        yield flush()
+
+    def joined(part: pa.Table) -> pa.Table:
+        made, rows = Assembler(), []
+        part = part.sort_by("key")
+        for key, block in zip(part["key"].to_pylist(), part["block"].to_pylist(), strict=True):
+            if made.open is None or _HEAD.match(block):
+                made, first = Assembler(), key
+            if (record := made.feed(block)) is not None:
+                rows.append((first, *record))
+        out = _batch(rows)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([*out.columns, pa.array([part["path"][0].as_py()] * len(rows), pa.string())], names=[*out.schema.names, "path"])])
+
+    kind = RECORD + ", path string"
+    whole, split = pieces("*.gz").mapInArrow(run, kind), pieces("*[^z]").mapInArrow(run, kind)
+    parts = split.where("headers is null").groupBy("path").applyInArrow(joined, kind)
+    return whole.where("headers is not null").unionByName(split.where("headers is not null")).unionByName(parts)
 
 
 def digests(derived: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Toxicity, search, HTML, WARC, licences and quotations."""
 
+import base64
+import hashlib
 import math
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -252,6 +256,99 @@ def test_files_round_trip(spark, tmp_path):
     assert warc.derive(records).collect() == []
 
 
+def test_one_member_for_each_record(spark, tmp_path):
+    records = spark.createDataFrame([(k, [("WARC-Type", "resource"), ("Content-Length", "3")], bytearray(b"abc")) for k in range(5)], warc.RECORD)
+    warc.write(records.coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    raw, sizes = file.read_bytes(), []
+    while raw:
+        member = zlib.decompressobj(31)
+        sizes.append(len(member.decompress(raw)))
+        raw = member.unused_data
+    assert len([n for n in sizes if n]) == 5 and len(set(sizes)) == 2
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.key for r in got) == list(range(5)) and {r.path for r in got} == {f"file:{file}"}
+
+
+def test_large_files_are_split_and_streamed(spark, tmp_path):
+    rng = random.Random(41)
+    blocks = [rng.choice([b"WARC/1.1\r\n", b"WARC/", b"x", b"\r\n\r\n"]) * rng.randrange(1, 3000) for _ in range(300)]
+    records = spark.createDataFrame([(k, [("WARC-Type", "resource"), ("WARC-Target-URI", f"http://a/WARC/1/{k}"), ("Content-Length", str(len(b)))], bytearray(b)) for k, b in enumerate(blocks)], warc.RECORD)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        for how in ("none", "gzip"):
+            warc.write(records.coalesce(1).sortWithinPartitions("key"), str(tmp_path / how), how)
+            (tmp_path / how / "broken.warc").write_bytes(b"junk WARC/1.0\r\nContent-Length: x\r\n\r\nWARC/1.0\r\nContent-Length: 9\r\n\r\nshort")
+            got = sorted(warc.read(spark, str(tmp_path / how)).collect(), key=lambda r: r.key)
+            assert [bytes(r.block) for r in got] == blocks and [headers(r)["WARC-Target-URI"][16:] for r in got] == [str(k) for k in range(300)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+class Visible(HTMLParser):
+    """The text of a page, block by block: a builder of its own."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.skip = [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "head")
+        self.out[-1] += " " if tag == "br" else ""
+        if tag in "p div ul li nav article footer h1 body".split():
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "head")
+        if tag in "p div ul li nav article footer h1 body".split():
+            self.out.append("")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out[-1] += data
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_derivatives_match_an_independent_builder(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html", F.lit("clash").alias("key"), F.lit(1).alias("block"))
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = []
+    for r in pages.collect():
+        body = r.html.encode()
+        page = Visible()
+        page.feed(r.html)
+        text = "\n".join(x for x in (" ".join(line.split()) for line in page.out) if x).encode()
+        response = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body
+        want.append((r.page_id, "conversion", r.url, sha1(body), sha1(text), len(text), hashlib.sha256(text).hexdigest()))
+        about = [("http-status", "HTTP/1.1 200 OK"), ("http-content-type", "text/html; charset=utf-8"), ("http-content-length", len(body)), ("source-block-digest", sha1(response)), ("source-length", len(response)), ("payload-length", len(body)), ("conversion-id", None), ("conversion-length", len(text)), ("conversion-digest", sha1(text))]
+        want.append((r.page_id, "metadata", r.url, sha1(body), about))
+    derived = warc.derive(warc.responses_of(pages)).collect()
+    ids = {(r.key, headers(r)["WARC-Type"]): headers(r)["WARC-Record-ID"] for r in derived}
+    got = []
+    for r in derived:
+        h = headers(r)
+        common = (r.key, h["WARC-Type"], h["WARC-Target-URI"], h["WARC-Payload-Digest"])
+        assert h["WARC-Block-Digest"] == sha1(bytes(r.block)) and h["Content-Length"] == str(len(r.block))
+        if h["WARC-Type"] == "conversion":
+            got.append((*common, h["WARC-Block-Digest"], len(r.block), hashlib.sha256(bytes(r.block)).hexdigest()))
+        else:
+            fields = [tuple(x.split(": ", 1)) for x in bytes(r.block).decode().split("\r\n")[:-1]]
+            assert dict(fields)["conversion-id"] == ids[(r.key, "conversion")]
+            got.append((*common, [(k, None if k == "conversion-id" else int(v) if k.endswith("length") else v) for k, v in fields]))
+    assert sorted(got, key=lambda x: x[:2]) == sorted(want, key=lambda x: x[:2]) and len(got) == len(set(ids)) == 2 * pages.count()
+
+
+def test_warc_edge_rows(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derive(warc.responses_of(none)).collect() == []
+    twice = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>" + "long " * 300_000)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses_of(twice)).collect()
+    assert len(made) == 6 and len({headers(r)["WARC-Record-ID"] for r in made}) == 4
+    assert max(len(r.block) for r in made) == 5 * 300_000 - 1
+    assert len(warc.derive(spark.createDataFrame([(1, None, None), (2, [("WARC-Type", "response")], None)], warc.RECORD)).collect()) == 2
+
+
 def test_http_bodies():
     body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Type: text/plain\r\n\r\n3\r\nabc\r\n2;x\r\nde\r\n0\r\n\r\n"
     assert warc.split_http(body)[2] == b"abcde"
