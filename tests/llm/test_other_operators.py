@@ -125,6 +125,22 @@ def test_search_is_exact(spark, shard_docs):
     assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got.collect()) == brute_bm25(docs, queries, 7)
 
 
+def test_near_ties_go_by_the_smaller_id():
+    lengths, one = np.ones(4), [np.array([7], np.uint64)] * 4
+    shard = bm25.Shard(np.array([4, 3, 2, 1]), lengths, one, [np.array([1], np.uint32)] * 4, 1.0, 1.2, 0.75)
+    shard.part = shard.part + np.array([0.0, 1e-11, 3e-11, 9e-11])  # of documents 1 to 4
+    found, _ = shard.search(np.array([7], np.uint64), np.array([1.0]), 2)
+    assert found.tolist() == [1, 2]
+
+
+def test_search_of_repeated_long_and_clashing_rows(spark):
+    docs = [(1, "a b"), (1, "a b"), (2, "b " * 200_000), (3, "a " + "z" * 100_000)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("id", F.lit(9)).withColumn("term", F.lit("a")).withColumn("score", F.lit(0))
+    asked = [(1, "a b"), (3, "a " + "z" * 100_000)]
+    got = bm25.top_k(df, spark.createDataFrame(asked, DOCS).withColumn("id", F.lit(9)), k=4, shard_docs=2).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got) == brute_bm25(docs, asked, 4)
+
+
 def test_search_of_nothing(spark):
     none, some = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a"), (None, "a")], DOCS)
     assert bm25.top_k(none, some).collect() == []
