@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources.staging import staged
+
 
 def parallelize(spark: SparkSession, items: Iterable[str]) -> DataFrame:
     """A bag of local items; an empty list is an empty bag."""
@@ -59,26 +61,40 @@ def sample_hashed(rows: DataFrame, key: Column, fraction: float) -> DataFrame:
     return rows.where(F.substring(F.md5(key.cast("string")), 1, 8) < below)
 
 
+#: Cells of the histogram of random keys by which an exact sample finds its cut.
+CELLS = 1 << 12
+
+
 def sample_exact(bag: DataFrame, fraction: float, seed: int = 0, replace: bool = False) -> DataFrame:
     """Exactly ``ceil(count * fraction)`` items, with or without replacement.
 
-    Without: a top-n by random key. With: each draw picks a uniform rank;
-    ranks are dense per partition (offsets by partition), so no task holds the bag.
+    The items are staged with a random key, so a task that runs again meets
+    the same keys. Without replacement the items of the least keys stay: a
+    histogram of the keys tells the cell of the cut, all cells below it are
+    kept where they lie, and only that cell, a share of ``1 / CELLS`` of the
+    bag, is sorted. With replacement each draw picks a uniform rank; ranks are
+    dense within a partition (offsets by partition), so no task holds the bag.
     """
-    n = bag.count()
+    tagged = staged(bag.withColumn("_r", F.rand(seed)).withColumn("_id", F.monotonically_increasing_id()))
+    cell = F.floor(F.col("_r") * CELLS).cast("int")
+    part = F.shiftright("_id", 33)
+    sizes = tagged.groupBy(cell.alias("c")) if not replace else tagged.groupBy(part.alias("c"))
+    counts = sorted((r.c, r.n) for r in sizes.agg(F.count("*").alias("n")).collect())  # a row for each cell or partition
+    n = sum(size for _, size in counts)
     want = -(-int(n * fraction * 10**9) // 10**9)
     if not n or not want:
         return bag.limit(0)
-    if not replace:
-        return bag.withColumn("_r", F.rand(seed)).orderBy("_r").limit(want).drop("_r")
-    tagged = bag.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = sorted((r._p, r.n) for r in tagged.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row for each partition
     starts, total = [], 0
-    for p, size in sizes:
-        starts.append((p, total))
+    for c, size in counts:
+        starts.append((c, total))
         total += size
+    if not replace:
+        cut, before = max((x for x in starts if x[1] < want), key=lambda x: x[1])
+        edge = tagged.where(cell == cut).orderBy("_r", "_id").limit(want - before)
+        return tagged.where(cell < cut).unionByName(edge).select(*bag.columns)
     offsets = bag.sparkSession.createDataFrame(starts, "_p long, _start long")
-    ranked = tagged.join(F.broadcast(offsets), "_p").withColumn("_rank", F.col("_start") + F.col("_i"))
+    rank = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = tagged.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn("_rank", rank)
     draws = bag.sparkSession.range(want).select(F.floor(F.rand(seed) * n).cast("long").alias("_rank"))
     return draws.join(ranked, "_rank").select(*bag.columns)
 

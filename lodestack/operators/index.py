@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as words
@@ -39,6 +39,39 @@ def from_posting_lists(lists: DataFrame) -> DataFrame:
     return placed.groupBy("term", "doc_id").agg(F.max_by("tf", "pos").alias("tf"))
 
 
-def weights(index: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """``term, df, idf`` of every term; ``n_docs`` is one row with ``n``."""
-    return document_frequency(index).select("term", "df", words.idf(n_docs.select("n").scalar(), F.col("df")).alias("idf"))
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``term, df`` straight from the texts: a document's distinct words are counted by term, in partial aggregates and one shuffle."""
+    return docs.select(F.explode(words.unique_tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def weights(frequency: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """``term, df, idf`` of every term of ``frequency(term, df)``; ``n_docs`` is one row with ``n``."""
+    return frequency.select("term", "df", words.idf(n_docs.select("n").scalar(), F.col("df")).alias("idf"))
+
+
+#: Buckets of a stored index; a search reads those of its terms.
+BUCKETS = 64
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def save(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store ``term, doc_id, tf`` for searching: folders by bucket of the term, files sorted by term within.
+
+    A bucket is dealt by term and a slice of the document id, so that a term
+    which most documents have is written by many tasks.
+    """
+    placed = index.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("_slice", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    dealt = placed.repartition("bucket", "_slice").drop("_slice").sortWithinPartitions("bucket", "term")
+    dealt.write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def load(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``term, doc_id, tf`` of a stored index; with the ``terms`` of a query only their folders, and of those only their row groups, are read."""
+    stored = spark.read.parquet(path)
+    if terms is not None:
+        found = spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), buckets).alias("b")).distinct().collect()  # a row for each word of a query
+        stored = stored.where(F.col("bucket").isin([r.b for r in found]) & F.col("term").isin(list(terms)))
+    return stored.select("term", "doc_id", "tf")

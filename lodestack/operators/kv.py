@@ -7,8 +7,14 @@ log, so writing never rewrites and reading never needs an order in the files.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+#: What a log holds.
+LOG = "seq long, op string, row_key string, cols map<string, string>"
 
 
 def rows_of(df: DataFrame, key: Column, *names: str) -> DataFrame:
@@ -24,6 +30,16 @@ def scan(table: DataFrame, start: str | None = None, stop: str | None = None) ->
     return table if stop is None else table.where(F.col("row_key") < stop)
 
 
+def scan_path(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """The scan that an address ``/data/<table>/<start>/<end>`` names, with percent escapes; an empty bound is no bound, an unknown table has no rows."""
+    _, data, name, start, stop = (unquote(x) for x in f"{path}//".split("/")[:5])
+    if data != "data":
+        raise ValueError(f"not a path of a scan: {path}")
+    if name not in tables:
+        return next(iter(tables.values())).limit(0)
+    return scan(tables[name], start or None, stop or None)
+
+
 def get_row(table: DataFrame, key: str) -> DataFrame:
     """The row, or no row."""
     return table.where(F.col("row_key") == key)
@@ -68,6 +84,12 @@ def append(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 
 
+def append_stream(log: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
+    """Add a stream of mutations to a log on disk, ``every`` so often; None: all that is there now, and then end."""
+    how = {"processingTime": every} if every else {"availableNow": True}
+    return log.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**how).start(path)
+
+
 def save_as(df: DataFrame, path: str) -> DataFrame:
     """Write a table under a new name; a name that is taken is an error."""
     df.write.mode("errorifexists").parquet(path)

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls
 
 
+#: What ``parse`` gives.
+RULES = "host string, agent string, pos int, flag string, prefix string"
+
+
+def files(answers: DataFrame) -> DataFrame:
+    """``host, body`` of the rule files among ``answers``: those of ``/robots.txt`` that came with status 200."""
+    found = answers.where((urls.path_of(F.col("url")) == "/robots.txt") & (F.col("status") == 200) & F.col("page").isNotNull())
+    return found.select(urls.host(F.col("url")).alias("host"), F.col("page").alias("body"))
+
+
+def fetched(fetch: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """What a crawl asks for the rule files of hosts: ``/robots.txt`` of each, by the fetch that it gets its pages with. A host without one has no rules."""
+    return lambda hosts: files(fetch(hosts.select(F.concat("host", F.lit("/robots.txt")).alias("url"))))
+
+
 def parse(files: DataFrame) -> DataFrame:
     """``host, agent, pos, flag, prefix`` from ``files(host, body)``, in lower case and file order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import bags, kv, pairs
 from lodestack.sources.staging import new_path
-from lodestack.sources.tables import read
+from lodestack.sources.tables import read, stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,14 @@ def kv_scan_range(spark, d):
     return found.select("row_key", F.try_element_at("cols", F.lit("o_orderstatus")).alias("status"), F.try_element_at("cols", F.lit("o_orderpriority")).alias("priority"))
 
 
+@query("""
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS row_key, o_orderstatus AS status FROM orders WHERE lpad(CAST(o_orderkey AS VARCHAR), 12, '0') < '000000000500'
+""")
+def kv_scan_path(spark, d):
+    found = kv.scan_path({"orders": _orders_kv(spark, d)}, "/data/orders//000000000500")
+    return found.select("row_key", F.try_element_at("cols", F.lit("o_orderstatus")).alias("status"))
+
+
 @query("SELECT c_name AS row_key, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
 def kv_get_row(spark, d):
     table = _customers(spark, d)
@@ -103,6 +111,17 @@ def kv_log_replay(spark, d):
     return kv.current(spark.read.parquet(path)).select("row_key", F.explode("cols").alias("col", "value"))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS row_key, event_type AS col, arg_max(CAST(event_id AS VARCHAR), event_id) AS value FROM events GROUP BY ALL")
+def kv_log_stream(spark, d):
+    """A log that a stream writes, replayed."""
+    events = stream(spark, d, "events")
+    cols = F.create_map("event_type", F.col("event_id").cast("string")).alias("cols")
+    log = events.select(F.col("event_id").alias("seq"), F.lit("cell").alias("op"), F.col("user_id").cast("string").alias("row_key"), cols)
+    path, checkpoint = new_path(spark, "log"), new_path(spark, "checkpoint")
+    kv.append_stream(log, path, checkpoint, every=None).awaitTermination()
+    return kv.current(spark.read.schema(kv.LOG).parquet(path)).select("row_key", F.explode("cols").alias("col", "value"))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def kv_rename_roundtrip(spark, d):
     old, new = new_path(spark, "table"), new_path(spark, "table")
@@ -172,6 +191,12 @@ def bag_take(spark, d):
     return bags.take(bags.from_table(read(spark, d, "nation"), F.col("n_name")).orderBy("value"), 5)
 
 
+@query("SELECT (SELECT string_agg(n_name || chr(10), '' ORDER BY n_name) FROM nation) AS said, 'No Output.' AS nothing")
+def job_output(spark, d):
+    lines = [f"{r.value}\n" for r in bags.from_table(read(spark, d, "nation"), F.col("n_name")).orderBy("value").collect()]  # what a job says, 25 lines
+    return spark.createDataFrame([(bags.output(lines), bags.output([]))], "said string, nothing string")
+
+
 @query("SELECT n_name AS value FROM nation")
 def bag_collect_parallelize(spark, d):
     names = [r.value for r in bags.from_table(read(spark, d, "nation"), F.col("n_name")).collect()]  # 25 rows: the round trip is the operator

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.functions import dates
 from lodestack.functions import text as words
 from lodestack.operators import index, search
-from lodestack.sources.tables import read
+from lodestack.sources.staging import new_path
+from lodestack.sources.tables import read, stream
 from lodestack.streaming import sessions
 
 QUERIES: dict = {}
@@ -67,7 +69,7 @@ def doc_table(spark, d):
 @query(f"SELECT term, count(*) AS df, round(log10((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM ({_INDEX}) GROUP BY term")
 def idf(spark, d):
     docs = read(spark, d, "documents")
-    return index.weights(index.inverted_index(docs), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.weights(index.frequencies(docs), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT term, doc_id, round(1 + log10(tf), 6) AS weight FROM ({_INDEX})")
@@ -91,6 +93,17 @@ def search_topk(spark, d):
     return search.top(scored).select("doc_id", F.round("rank_score", 6).alias("rank_score"))
 
 
+@query(f"SELECT doc_id, round(s, 6) AS rank_score FROM ({_TOP})")
+def search_stored_index(spark, d):
+    """The same search served from an index on disk."""
+    docs, path = read(spark, d, "documents"), new_path(spark, "index")
+    index.save(index.inverted_index(docs), path)
+    terms = search.query_terms(spark, WORDS)
+    stored = index.load(spark, path, [r.term for r in terms.collect()])  # the words of one query
+    scored = search.scores(stored, terms, docs.agg(F.count("*").alias("n")))
+    return search.top(scored).select("doc_id", F.round("rank_score", 6).alias("rank_score"))
+
+
 _BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 _PAGE_INDEX = f"SELECT term, doc_id, count(*) AS tf FROM (SELECT page_id AS doc_id, unnest({_tokens(_BODY)}) AS term FROM pages) GROUP BY ALL"
 _PAGE_TOP = f"SELECT doc_id, s FROM ({_scores(_PAGE_INDEX, '(SELECT count(*) FROM pages)', tuple(PAGE_WORDS.split()))}) ORDER BY s DESC, doc_id LIMIT 301"
@@ -147,3 +160,31 @@ def sessions_window(spark, d):
 @query("SELECT user_id, max(ts) AS last_ping, epoch_ms(TIMESTAMP '2024-01-30 12:00:00') - epoch_ms(max(ts)) <= 43200000 AS active FROM events GROUP BY user_id")
 def liveness(spark, d):
     return sessions.liveness(read(spark, d, "events"), "2024-01-30 12:00:00", "user_id", alive=43200)
+
+
+_PAUSE = 6 * 3600 * 1000
+
+
+@query(f"""
+WITH RECURSIVE ok AS (
+  SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL SELECT user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = ok.user_id AND epoch_ms(e.ts) >= epoch_ms(ok.ts) + {_PAUSE}) FROM ok WHERE ts IS NOT NULL
+)
+SELECT CAST(user_id AS VARCHAR) AS host, (SELECT count(*) FROM events e WHERE e.user_id = ok.user_id) AS n_hits, count(ts) AS n_allowed FROM ok GROUP BY user_id
+""")
+def throttle_stream(spark, d):
+    """Attempts of a stream that keep a pause, by the state of their host."""
+    events = stream(spark, d, "events")
+    hits = events.select(F.col("user_id").cast("string").alias("host"), F.col("ts").cast("timestamp").alias("ts"))
+    path, checkpoint = new_path(spark, "throttled"), new_path(spark, "checkpoint")
+    done = sessions.throttled(hits, pause_ms=_PAUSE, forget_ms=None).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    done.awaitTermination()
+    return spark.read.parquet(path).groupBy("host").agg(F.count("*").alias("n_hits"), F.count_if("allowed").alias("n_allowed"))
+
+
+@query("""
+SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS http, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS stamp, date_trunc('second', ts) AS back, true AS unmodified FROM events
+""")
+def http_dates(spark, d):
+    made = read(spark, d, "events").select("event_id", "ts", dates.http_date(F.col("ts")).alias("http"), dates.stamp(F.col("ts")).alias("stamp"))
+    return made.select("event_id", "http", "stamp", dates.from_http_date(F.col("http")).alias("back"), dates.unmodified(F.col("ts"), F.col("http")).alias("unmodified"))

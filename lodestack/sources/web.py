@@ -1,7 +1,7 @@
-"""A stored web to crawl: what a fetch of a URL would answer.
+"""A stored web to crawl: what a fetch of a URL would answer (``operators.crawl.ANSWER``).
 
-``url, status, content_type, location, page``; a live fetcher only has to give
-the same columns for a frontier of URLs.
+``url, status, content_type, content_length, location, page, fetched``; a live
+fetcher only has to give the same columns for a frontier of URLs.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,12 +17,21 @@ from pyspark.sql import functions as F
 
 from lodestack.session import make_importable
 
-SCHEMA = "url string, status int, content_type string, location string, page string"
+SCHEMA = "url string, status int, content_type string, content_length long, location string, page string, fetched timestamp"
+MOVED = (301, 307, 308)
 
 
-def from_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Stored pages as successful answers."""
-    return pages.select(F.col(url).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("location"), F.col(html).alias("page"))
+def from_pages(pages: DataFrame, url: str = "url", html: str = "html", fetched: str = "2024-01-01 00:00:00") -> DataFrame:
+    """Stored pages as successful answers of that time."""
+    return pages.select(
+        F.col(url).alias("url"),
+        F.lit(200).alias("status"),
+        F.lit("text/html").alias("content_type"),
+        F.octet_length(F.col(html)).cast("long").alias("content_length"),
+        F.lit(None).cast("string").alias("location"),
+        F.col(html).alias("page"),
+        F.lit(fetched).cast("timestamp").alias("fetched"),
+    )
 
 
 class _NoRedirect(urllib.request.HTTPRedirectHandler):
@@ -30,21 +40,45 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
 
 
 def fetch(urls: DataFrame, agent: str, timeout: float = 10.0) -> DataFrame:
-    """Answers of the live web for ``urls(url)``; redirects are reported, not followed. Unreachable URLs have no row."""
+    """Answers of the live web for ``urls(url)``.
+
+    Each URL is asked for its headers first; only one that answers 200 is then
+    fetched, and the status of that fetch counts. Redirects are reported, not
+    followed. A URL that cannot be reached has no row; one whose headers came
+    and whose page did not has a row without a page.
+    """
+
+    def ask(opener, url: str, method: str):
+        request = urllib.request.Request(url, headers={"User-Agent": agent}, method=method)
+        try:
+            with opener.open(request, timeout=timeout) as r:
+                return r.status, r.headers, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.headers, b""
+
+    def answer(opener, url: str) -> tuple | None:
+        try:
+            status, headers, _ = ask(opener, url, "HEAD")
+        except (OSError, ValueError):
+            return None
+        page = None
+        if status == 200:
+            try:
+                status, got, raw = ask(opener, url, "GET")
+                page = raw.decode(got.get_content_charset() or "utf-8", "replace") if status == 200 else None
+            except (OSError, ValueError, LookupError):
+                pass
+        length = headers.get("Content-Length")
+        size = int(length) if length and length.isdigit() else None
+        target = headers.get("Location") if status in MOVED else None
+        return url, status, headers.get("Content-Type"), size, target, page, datetime.now(timezone.utc)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opener = urllib.request.build_opener(_NoRedirect)
         for batch in batches:
-            rows = []
-            for url in batch["url"]:
-                try:
-                    with opener.open(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
-                        rows.append((url, r.status, r.headers.get("Content-Type"), None, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")))
-                except urllib.error.HTTPError as e:
-                    rows.append((url, e.code, e.headers.get("Content-Type"), e.headers.get("Location"), None))
-                except (OSError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=["url", "status", "content_type", "location", "page"])
+            rows = [row for url in batch["url"] if (row := answer(opener, url)) is not None]
+            out = pd.DataFrame(rows, columns=["url", "status", "content_type", "content_length", "location", "page", "fetched"])
+            yield out.astype({"status": "int32", "content_length": "Int64", "fetched": "datetime64[us, UTC]"})
 
     make_importable(urls.sparkSession)
     return urls.select("url").mapInPandas(run, SCHEMA)

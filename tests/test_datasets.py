@@ -1,14 +1,20 @@
 """Bags, pairs and key-value tables on small fixtures."""
 
+import json
 import random
 from functools import reduce
+from types import SimpleNamespace
 
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestack import command
+from lodestack.functions import dates
 from lodestack.operators import bags, kv, pairs
+from lodestack.sources import staging
 
 
 def bag(spark, *items):
@@ -138,3 +144,43 @@ def test_latest(spark, rows):
     log = spark.createDataFrame([(1, "a", "x", "1"), (3, "a", "x", "3"), (2, "a", "x", "2"), (1, "b", "y", "0")], "seq int, row_key string, col string, value string")
     assert rows(kv.latest_cells(log)) == [("a", "x", "3"), ("b", "y", "0")]
     assert rows(kv.latest_rows(log).select("row_key", "seq")) == [("a", 3), ("b", 1)]
+
+
+def test_exact_samples_are_spread_and_whole(spark):
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("value"))
+    for fraction in (0.00001, 0.5, 0.99999, 1.0):
+        got = bags.sample_exact(many, fraction, seed=3)
+        assert got.count() == got.distinct().count() == -(-int(100_000 * fraction * 10**9) // 10**9)
+    assert values(bags.sample_exact(many, 0.001, 5)) == values(bags.sample_exact(many, 0.001, 5))
+
+
+def test_command_line(spark, tmp_path):
+    said = []
+    do = lambda *words: command.run(spark, str(tmp_path), list(words), said.append)
+    assert do("put", "t", "k1", "a", "1") and do("put", "t", "k2", "a", "2") and do("put", "t", "k1", "b", "x y") and do("put", "t", "k1", "a", "3")
+    assert do("get", "t", "k1", "a") and said.pop() == "3"
+    assert do("get", "t", "k1") and json.loads(said.pop()) == {"row_key": "k1", "cols": {"a": "3", "b": "x y"}}
+    assert not do("get", "t", "nobody") and not do("get", "t", "k1", "nothing") and not said
+    assert do("scan", "t", "k2") and [json.loads(x)["row_key"] for x in said] == ["k2"]
+    assert do("rename", "t", "u") and not do("rename", "u", "u") and do("get", "u", "k2", "a")
+    assert not do("put", "t") and "get TABLE" in said[-1]
+
+
+def test_scans_by_path(spark):
+    table = spark.createDataFrame([("a b",), ("c",), ("d",)], "row_key string")
+    scan = lambda path: [r.row_key for r in kv.scan_path({"t": table}, path).orderBy("row_key").collect()]
+    assert scan("/data/t/a%20b/d") == ["a b", "c"] and scan("/data/t") == ["a b", "c", "d"] and scan("/data/t/c") == ["c", "d"] and scan("/data/none/a/b") == []
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    session = lambda master, **conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        staging.folder(session("spark://host:7077"))
+    assert staging.folder(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs:/shared/"})) == "hdfs:/shared"
+    assert staging.folder(session("local[4]"))
+
+
+def test_http_dates(spark):
+    texts = [("Sun, 06 Nov 1994 08:49:37 GMT",), ("Sun, 06 Foo 1994 08:49:37 GMT",), ("",), (None,)]
+    got = spark.createDataFrame(texts, "t string").select(F.unix_seconds(dates.from_http_date(F.col("t"))).alias("s"), dates.http_date(dates.from_http_date(F.col("t"))).alias("t")).collect()
+    assert [r.s for r in got] == [784111777, None, None, None] and got[0].t == texts[0][0]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestack.functions import urls
 from lodestack.operators import crawl, robots
 from lodestack.plans import web as web_plans
-from lodestack.plans.web import mini_rules, mini_web
 from lodestack.sources import web
 
 
@@ -104,6 +103,28 @@ def test_own_rules_come_first(spark):
 
 SITE = "http://mini.example:80/"
 
+#: A small web: a redirect that is followed and one that is not, a page behind robots rules, a copy, a page nothing links to.
+MINI = {
+    "": '<a href="/b">b</a> <a href="c">c</a>',
+    "b": '<a href="/">a</a><a href="/d#x">d</a>',
+    "c": '<a href="f">f</a><a href="g">g</a><a href="h">h</a><a href="x.jpg">x</a>',
+    "d": "same",
+    "e": "never",
+    "g": "hidden",
+    "h": "same",
+}
+
+
+def mini_web(spark):
+    pages = web.from_pages(spark.createDataFrame([(SITE + k, v) for k, v in MINI.items()], "url string, html string"))
+    moved = [(SITE + "f", 301, None, 7, "/", None, None), (SITE + "i", 302, None, None, "/", None, None)]
+    rules = [(SITE + "robots.txt", 200, "text/plain", None, None, "User-agent: *\nDisallow: /g\n", None)]
+    return pages.unionByName(spark.createDataFrame(moved + rules, web.SCHEMA))
+
+
+def mini_rules(spark):
+    return robots.parse(spark.createDataFrame([("http://mini.example:80", "User-agent: *\nDisallow: /g\n")], "host string, body string"))
+
 
 def test_crawl(spark):
     start = spark.createDataFrame([("mini.example",)], "url string")
@@ -112,6 +133,10 @@ def test_crawl(spark):
     assert {k: r.round for k, r in got.items()} == {"": 0, "b": 1, "c": 1, "d": 2, "f": 2, "h": 2}
     assert got["h"].canonicalURL == SITE + "d" and got["h"].page is None and got["d"].page == "same" and got["f"].responseCode == 301
     assert [r.url for r in banned.collect()] == [SITE + "g"]
+    assert got["b"].contentLength == len(MINI["b"]) and got["f"].contentLength == 7 and str(got["b"].TimeStamp) == "2024-01-01 00:00:00" and got["f"].TimeStamp is None
+    fetch = crawl.stored(mini_web(spark))
+    again, refused = crawl.crawl(spark, start, fetch, robots_of=robots.fetched(fetch))
+    assert {r.url for r in again.collect()} == {r.url for r in rows.collect()} and [r.url for r in refused.collect()] == [SITE + "g"]
 
 
 def test_crawl_with_politeness_visits_the_same(spark):
@@ -139,6 +164,19 @@ def test_crawl_tells_what_a_limit_leaves(spark):
     assert inspect.signature(crawl.crawl).parameters["max_rounds"].default is None
 
 
+def test_a_host_with_all_urls_is_ranked_by_many_tasks(spark):
+    many = spark.range(40_000).select(F.format_string("http://one.example:80/%06d", F.col("id")).alias("url"), F.lit("clash").alias("n")).repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = crawl.schedule(many, 3)
+        assert got.where("slot <> floor(cast(substring(url, -6) as int) / 3)").count() == 0 and got.count() == 40_000
+        held = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) > 1 and max(r["count"] for r in held) < 30_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_schedule_and_redirects(spark):
     urls_ = spark.createDataFrame([("http://a:80/1",), ("http://a:80/2",), ("http://a:80/3",), ("http://b:80/1",)], "url string")
     assert sorted((r.url, r.slot) for r in crawl.schedule(urls_, 2).collect()) == [("http://a:80/1", 0), ("http://a:80/2", 0), ("http://a:80/3", 1), ("http://b:80/1", 0)]
@@ -149,14 +187,21 @@ def test_live_fetch(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
+    asked = []
+
     class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
+        def do_HEAD(self):
+            asked.append((self.command, self.path))
             self.send_response({"/r": 301, "/e": 404}.get(self.path, 200))
             self.send_header("Content-Type", "text/html")
+            self.send_header("Content-Length", "2")
             if self.path == "/r":
                 self.send_header("Location", "/ok")
             self.end_headers()
-            self.wfile.write(b"" if self.path == "/r" else "é".encode())
+
+        def do_GET(self):
+            self.do_HEAD()
+            self.wfile.write("é".encode())
 
         def log_message(self, *args):
             pass
@@ -165,6 +210,7 @@ def test_live_fetch(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{server.server_port}"
     frontier = spark.createDataFrame([(f"{at}/ok",), (f"{at}/r",), (f"{at}/e",), ("http://127.0.0.1:9/",)], "url string")
-    got = {r.url.removeprefix(at): (r.status, r.location, r.page) for r in web.fetch(frontier, "test", 2).collect()}
+    got = {r.url.removeprefix(at): (r.status, r.location, r.page, r.content_length) for r in web.fetch(frontier, "test", 2).collect()}
     server.shutdown()
-    assert got == {"/ok": (200, None, "é"), "/r": (301, "/ok", None), "/e": (404, None, None)}
+    assert got == {"/ok": (200, None, "é", 2), "/r": (301, "/ok", None, 2), "/e": (404, None, None, 2)}
+    assert sorted(asked) == [("GET", "/ok"), ("HEAD", "/e"), ("HEAD", "/ok"), ("HEAD", "/r")]
