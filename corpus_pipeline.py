@@ -78,7 +78,7 @@ def _stage(k: int, function: Callable) -> Callable:
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.small_batches(spark)
+        scratch.configure(spark)
         mine = _open.setdefault((threading.get_ident(), sf_dir), [])
         while k and mine:
             mine.pop().release()

@@ -47,7 +47,7 @@ CHOSEN = 1 << 26
 #: Classes of one prefix n-gram that are compared pair by pair; more are joined as a star.
 BUCKET = 256
 #: Classes in one block of a component.
-BLOCK = 256
+BLOCK = 128
 #: Sets larger than this have histograms of 256 bins, others of 64.
 LONG = 1024
 

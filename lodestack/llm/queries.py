@@ -77,7 +77,7 @@ _ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe,
 def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scratch.small_batches(spark)
+        scratch.configure(spark)
         return query(spark, sf_dir)
 
     return run

@@ -57,19 +57,17 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of one Arrow batch in the registered queries; Spark's own 64 MB are held on both sides of every worker.
-BATCH_BYTES = "4m"
+#: Settings of a program that runs these operators, which leave the session's settings alone: an Arrow batch is held on both
+#: sides of every worker (Spark's own bound is 64 MB), and the shuffle files behind a written table are of no more use.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_DEFAULTS = (None, "64MB", "67108864", "67108864b", "false")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by ``BATCH_BYTES``, unless its owner has set a bound.
-
-    For programs (the registered queries and the pipeline); the operators leave
-    the session's settings alone.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, "64MB", "67108864", "67108864b"):
-        spark.conf.set(key, BATCH_BYTES)
+def configure(spark: SparkSession) -> None:
+    """Give the session ``SETTINGS`` where it has Spark's own values. For programs: the registered queries and the pipeline."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) in _DEFAULTS:
+            spark.conf.set(key, value)
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:

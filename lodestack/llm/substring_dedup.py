@@ -35,6 +35,10 @@ from . import scratch
 from .textkernel import NON_SPACE, U64, Words, chunks, gram_starts, grams, mix, sliding_argmin, split
 
 GRAM = 10
+#: The greatest id; a row without an id comes after it.
+LAST = (1 << 63) - 1
+#: Cells of the filter of ids that several rows have (8 MB of bits).
+IDS = 1 << 26
 
 
 def _cells(values: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -77,10 +81,14 @@ def _digests(words: Words, size: int, starts: np.ndarray) -> list[bytes]:
     return [of(text[a:z], digest_size=16).digest() for a, z in zip(at[starts].tolist(), (at[starts + size] - 1).tolist(), strict=True)]
 
 
-def _loose(ids: pa.Array, texts: pa.Array) -> pa.Array:
-    """A key for each row without an id, by its text; null for the others."""
+def _loose(ids: pa.Array, texts: pa.Array, repeated: np.ndarray) -> pa.Array:
+    """A key by the text for each row that its id does not tell from all others (null or repeated); null for the rest.
+
+    ``repeated`` is a filter of ids; an id that it takes for repeated by mistake only gets a key it does not need.
+    """
     out: list[int | None] = [None] * len(ids)
-    for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+    none = ids.is_null().to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(none | scratch.bit(repeated, scratch.cell_of(ids.fill_null(0).to_numpy().view(U64), IDS))).tolist():
         out[i] = int.from_bytes(hashlib.blake2b((texts[i].as_py() or "").encode(), digest_size=8).digest(), "little", signed=True)
     return pa.array(out, pa.int64())
 
@@ -144,32 +152,34 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(name) for c, name in zip(carry, names, strict=True)])
     extra = "".join(f", {name} {dict(docs.dtypes)[c]}" for c, name in zip(carry, names, strict=True))
     width, bits = sketch(src, size, max_sketch_bits=max_sketch_bits)
-    shared = spark.sparkContext.broadcast(bits)
+    twice = src.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    shared = spark.sparkContext.broadcast((bits, scratch.bitmap(twice, IDS)))
 
     def windows(batches):
+        bits, repeated = shared.value
         for batch in batches:
-            ids, loose = batch.column(0), _loose(batch.column(0), batch.column(1))
+            ids, loose = batch.column(0), _loose(batch.column(0), batch.column(1), repeated)
             for lo, _, data, offsets in chunks(batch.column(1)):
                 words = split(data, offsets, NON_SPACE)
-                at = _flagged(words, size, width, shared.value)
+                at = _flagged(words, size, width, bits)
                 if not len(at):
                     continue
                 prints = np.frombuffer(b"".join(_digests(words, size, at)), np.int64).reshape(-1, 2)
                 doc = words.doc_of()[at]
-                order = np.lexsort((prints[:, 1], prints[:, 0], doc))
-                prints, doc = prints[order], doc[order]
+                order = np.lexsort((at, prints[:, 1], prints[:, 0], doc))
+                prints, doc, at = prints[order], doc[order], at[order]
                 first = np.ones(len(doc), bool)
                 first[1:] = (prints[1:] != prints[:-1]).any(axis=1) | (doc[1:] != doc[:-1])
-                rows = pa.array(lo + doc[first])
-                yield pa.RecordBatch.from_arrays([pa.array(prints[first, 0]), pa.array(prints[first, 1]), ids.take(rows), loose.take(rows)], names=["a", "b", "doc", "loose"])
+                rows, place = pa.array(lo + doc[first]), (at - words.first[doc])[first].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(prints[first, 0]), pa.array(prints[first, 1]), ids.take(rows), loose.take(rows), pa.array(place)], names=["a", "b", "doc", "loose", "place"])
 
     def candidates() -> DataFrame:
-        return src.mapInArrow(windows, "a long, b long, doc long, loose long")
+        return src.mapInArrow(windows, "a long, b long, doc long, loose long, place int")
 
-    grouped = candidates().groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest"), F.max(F.col("doc").isNull()).alias("others"))
-    owners = scratch.table(grouped.where("owner < latest or (owner is not null and others)").select("a", "b", "owner"))
+    latest = F.max(F.coalesce("doc", F.lit(LAST))).alias("latest")
+    owners = scratch.table(candidates().groupBy("a", "b").agg(F.min("doc").alias("owner"), latest).where("owner < latest").drop("latest"))
     hits = candidates().join(owners.hint("merge"), ["a", "b"]).where("doc > owner or doc is null")
-    gone = hits.groupBy("doc", "loose").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    gone = hits.groupBy("doc", "loose").agg(F.collect_set("place").alias("gone"))
 
     def marked(batch):
         """(words of each text, whether it has a flagged window) of a batch."""
@@ -177,7 +187,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for lo, hi, data, offsets in chunks(batch.column(1)):
             words = split(data, offsets, NON_SPACE)
             mark = np.zeros(hi - lo, bool)
-            mark[words.doc_of()[_flagged(words, size, width, shared.value)]] = True
+            mark[words.doc_of()[_flagged(words, size, width, shared.value[0])]] = True
             n_words.append(np.diff(words.first))
             flagged.append(mark)
         return (np.concatenate(n_words), np.concatenate(flagged)) if n_words else (np.zeros(0, np.int64), np.zeros(0, bool))
@@ -198,7 +208,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             n_words, flagged = marked(batch)
             rest = batch.filter(pa.array(flagged))
-            yield pa.RecordBatch.from_arrays([rest.column(0), _loose(rest.column(0), rest.column(1)), pa.array(n_words[flagged]), rest.column(1), *rest.columns[2:]], names=["doc_id", "loose", "n_words", "text", *names])
+            yield pa.RecordBatch.from_arrays([rest.column(0), _loose(rest.column(0), rest.column(1), shared.value[1]), pa.array(n_words[flagged]), rest.column(1), *rest.columns[2:]], names=["doc_id", "loose", "n_words", "text", *names])
 
     def removed(batches):
         for batch in batches:
@@ -209,11 +219,8 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     n_removed.append(0)
                     texts.append(untouched(batch.column(2).slice(i, 1))[0].as_py())
                     continue
-                keys = np.stack([found.field(k).to_numpy() for k in (0, 1)], axis=1).tobytes()
-                known = {keys[k : k + 16] for k in range(0, len(keys), 16)}
                 words = split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), NON_SPACE)
-                at = _flagged(words, size, width, shared.value)
-                at = at[[d in known for d in _digests(words, size, at)]]
+                at = _recurring(words, size, found.to_numpy().astype(np.int64))
                 ends = np.zeros(len(words.starts) + 1, np.int64)
                 ends[at] += 1
                 ends[at + size] -= 1
@@ -230,6 +237,16 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(name).alias(c) for name, c in zip(names, carry, strict=True)])
 
 
+def _recurring(words: Words, size: int, places: np.ndarray) -> np.ndarray:
+    """Starts of all windows of one text that are equal to those at ``places``; their words decide."""
+    keys = grams(words.hashes[0], size)
+    again = np.flatnonzero(np.isin(keys, keys[places]))
+    if len(again) == len(places):
+        return places
+    known = set(_digests(words, size, places))
+    return again[[d in known for d in _digests(words, size, again)]]
+
+
 def _same(a: DataFrame, b: DataFrame, **keys: str) -> Column:
     """Equality of the keys, null with null."""
     left, *rest = (a[x].eqNullSafe(b[y]) for x, y in keys.items())
