@@ -330,7 +330,8 @@ def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int
             out = [(a, b, 0) for a, b in edges] + [(int(cid[k]), None, int(weight[k])) for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["cid", "other", "weight"])
 
-    cells = tasks.select("comp", "bin", "i", "j", "cid", "own", "home", "n_docs", "prefix", "keys").repartition("comp", "bin", "i", "j").sortWithinPartitions("comp", "bin", "i", "j")
+    cells = tasks.select("comp", "bin", "i", "j", "cid", "own", "home", "n_docs", "prefix", "keys").repartitionByRange("comp", "bin", "i", "j")  # ranges, so that few cells share a task by chance
+    cells = cells.sortWithinPartitions("comp", "bin", "i", "j")
     return scratch.table(cells.mapInArrow(verify, "cid long, other long, weight long"))
 
 

@@ -59,7 +59,7 @@ def table(df: DataFrame) -> DataFrame:
 
 #: Settings of a program that runs these operators, which leave the session's settings alone: an Arrow batch is held on both
 #: sides of every worker (Spark's own bound is 64 MB), and the shuffle files behind a written table are of no more use.
-SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _DEFAULTS = (None, "64MB", "67108864", "67108864b", "false")
 
 
