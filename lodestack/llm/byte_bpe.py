@@ -269,7 +269,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     """Encode each whole text, decode its ids, and return digests of both.
 
     ``doc_id, n_tokens, ids_sha256, decoded_sha256``: nothing but the digests
-    leaves the task, so the ids of a text are never shuffled.
+    leaves the task, so the ids of a text are never shuffled. A null text is the
+    empty text, which has no ids; rows are independent, so repeated ones and
+    those that share or lack a ``doc_id`` stay as they are. Other columns of
+    ``docs`` are not looked at.
     """
 
     def columns(found):

@@ -230,6 +230,13 @@ def test_a_megabyte_of_nested_tags(bad):
     assert time.perf_counter() - start < 10  # some tenths of a second; quadratic work takes many minutes
 
 
+def test_very_long_pages(spark):
+    paragraphs = [f"Paragraph {k}, which is long enough to count, and goes on." for k in range(20_000)]
+    html = "<body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article></body>"
+    (row,) = html_extract.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert row.text == "\n".join(paragraphs) and row.n_chars == len(row.text)
+
+
 def test_extract_rows(spark, rows):
     df = spark.createDataFrame([(1, "u", "<p>é</p>", 0), (1, "u", "<p>é</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert rows(html_extract.extract(df)) == sorted([(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)], key=repr)
@@ -406,6 +413,14 @@ def test_licences_match_brute_force(spark):
             assert got[i].own_license is None
 
 
+def test_licences_of_awkward_files(spark):
+    mit = "Released under the MIT License."
+    files = [("a/LICENSE", mit), ("a/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/x", "word " * 200_000 + "\n" + mit), ("a/y", ""), ("a/y", "")]
+    df = spark.createDataFrame(files, "path string, text string").withColumn("key", F.lit("clash")).withColumn("dir", F.lit(1)).withColumn("license", F.lit("none"))
+    got = sorted((r.path, r.license, r.license_from, r.in_line) for r in licenses.scan(df).collect())
+    assert got == [("a/COPYING", "GPL-3.0", "a/COPYING", 0), ("a/LICENSE", "MIT", "a/LICENSE", 0), ("a/x", "MIT", "a/x", 1), ("a/y", "GPL-3.0", "a", None), ("a/y", "GPL-3.0", "a", None)]
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [("LICENSE", mit), ("a/x.py", "code"), ("a/b/COPYING", gpl), ("a/b/c/y.py", None), ("a/b/z.py", mit), ("ab/w.py", ""), ("a/b/c/y.py", None), (None, "q"), ("a/LICENSE.txt", "no licence at all")]

@@ -171,6 +171,15 @@ def test_decontamination_matches_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute_hits(docs, items, 10)
 
 
+def test_decontamination_of_awkward_rows(spark):
+    docs = [(1, "the " * 5000), (2, "nothing here"), (2, "of THE end"), (3, "x" * 50_000), (None, "the")]
+    items = spark.createDataFrame([(5, "the", 1), (5, "the", 2), (6, "of the", 3)], "item_id long, text string, token long")
+    df = spark.createDataFrame(docs, DOCS).withColumn("token", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("words", F.lit(0)).repartition(3)
+    got = sorted(map(tuple, decontaminate.decontaminate(df, items).collect()), key=repr)
+    want = [(1, 5000, 5000, ["5"], True), (2, 2, 0, [], False), (2, 3, 2, ["5", "6"], True), (3, 1, 0, [], False), (None, 1, 1, ["5"], True)]
+    assert got == sorted(want, key=repr)
+
+
 def brute_classes(docs, size, num, den):
     sets = {}
     for i, t in docs:
@@ -269,6 +278,17 @@ def test_the_two_trees_agree(public):
         at += n
 
 
+def test_bpe_of_very_long_matches_and_clashing_columns(spark, public):
+    _, library = public
+    texts = ["a" * 20_000, "é" * 9_000 + " " * 5_000, "0123456789" * 1_000, "x" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(0))
+    got = {r.doc_id: r for r in byte_bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect()}
+    for k, text in enumerate(texts):
+        ids = library.encode_ordinary(text)
+        assert got[k].n_tokens == len(ids) and got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_bpe_over_rows(spark, public):
     codec, library = public
     docs = spark.createDataFrame([(1, "Hello, world"), (2, None), (2, ""), (None, "x " * 2000)], DOCS)
