@@ -125,10 +125,32 @@ def test_search_is_exact(spark, shard_docs):
     assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got.collect()) == brute_bm25(docs, queries, 7)
 
 
+@pytest.mark.parametrize("k", [1, 10, 3000])
+def test_pruned_search_finds_what_whole_scoring_finds(k):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.zipf(1.3, n) % 5000).astype(np.uint64) for n in rng.choice([0, 3, 30, 300, 4000], 2000)]
+    sets[700:760] = [sets[5]] * 60  # copies tie
+    tf = [rng.integers(1, 9, len(s)).astype(np.uint32) for s in sets]
+    tf[700:760] = [tf[5]] * 60
+    ids, lengths = rng.permutation(2000), np.array([t.sum() for t in tf], float)
+    shard = bm25.Shard(ids, lengths, sets, tf, float(lengths.mean()), 1.2, 0.75)
+    idf = 12 / (1 + np.log1p(np.arange(5000)[::-1]))
+    whole = [dict(zip(s.tolist(), (t * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / lengths.mean()))).tolist(), strict=True)) for s, t, n in zip(sets, tf, lengths, strict=True)]
+    for query in [sets[5], sets[9], sets[11][:4], np.arange(40, dtype=np.uint64), np.array([1, 9999], np.uint64)]:
+        weights = idf[query.astype(int) % 5000]
+        scores = [sum(w * d.get(t, 0.0) for t, w in zip(query.tolist(), weights.tolist(), strict=True)) for d in whole]
+        want = sorted((-round(s, 9), int(i)) for s, i in zip(scores, ids, strict=True) if s > 0)[:k]
+        for least in (0.0, -want[-1][0]) if want else (0.0,):
+            found, got = shard.search(query, weights, k, least)
+            assert found.tolist() == [i for _, i in want]
+            assert np.allclose(got, [-s for s, _ in want], rtol=0, atol=1e-8)
+
+
 def test_near_ties_go_by_the_smaller_id():
     lengths, one = np.ones(4), [np.array([7], np.uint64)] * 4
     shard = bm25.Shard(np.array([4, 3, 2, 1]), lengths, one, [np.array([1], np.uint32)] * 4, 1.0, 1.2, 0.75)
     shard.part = shard.part + np.array([0.0, 1e-11, 3e-11, 9e-11])  # of documents 1 to 4
+    shard.own_part = shard.own_part + np.array([0.0, 1e-11, 3e-11, 9e-11])
     found, _ = shard.search(np.array([7], np.uint64), np.array([1.0]), 2)
     assert found.tolist() == [1, 2]
 
