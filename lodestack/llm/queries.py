@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.sources.tables import read
 
-from . import bm25, byte_bpe, decontaminate, html_extract, jaccard_join, licenses, oracle, oracle_more, quotes, scratch, substring_dedup, toxicity, warc
+from . import bm25, byte_bpe, decontaminate, dominance, filter_audit, html_extract, jaccard_join, licenses, line_dedup, oracle, oracle_audit, oracle_more, quotes, scratch, substring_dedup, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.digests(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-_ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination, quotation_linking_of_replies)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
+
+
+def op12_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = dominance.dominance_counts(dominance.sales_points(read(spark, sf_dir, "sales")), id="sale_id")
+    return counted.withColumnsRenamed({"id": "sale_id", "n_above": "n_sales", "w_above": "n_rows"})
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_toxicity, op2_exact_topk_search, op3_substring_dedup, op4_byte_bpe, op5_html_extraction, op6_warc_derivatives, op7_ngram_jaccard_join, op8_license_scan, op9_quotation_linking, op10_benchmark_decontamination, op11_line_dedup, op12_dominance_counting, op13_filter_audit, quotation_linking_of_replies)
 
 
 def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,4 +97,4 @@ def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _registered(f) for f in _ALL}
-SQL: dict[str, str] = {name: sql for name, sql in (oracle.SQL | oracle_more.SQL).items() if name in QUERIES}
+SQL: dict[str, str] = {name: sql for name, sql in (oracle.SQL | oracle_more.SQL | oracle_audit.SQL).items() if name in QUERIES}
