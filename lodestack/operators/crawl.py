@@ -53,13 +53,13 @@ def schedule(frontier: DataFrame, per_host: int = 1) -> DataFrame:
 def deduplicated(pages: DataFrame, url: str = "url", html: str = "page", order: str = "round") -> DataFrame:
     """``pages`` with ``content_hash`` and ``canonical_url``: the first page (by ``order``, url) of the same content; null on that page itself.
 
-    The first page is a partial aggregate by content, so a content that a third
-    of all pages share is not gathered; only contents of several pages are
-    joined back.
+    The first page is a partial aggregate by content; contents of several pages are
+    staged and joined back, so the pages of a content that a third of all share
+    are a plain shuffle and can be split.
     """
     hashed = pages.withColumn("content_hash", urls.row_key(F.col(html)))
     first = hashed.where("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("o"), F.col(url).alias("u")))["u"].alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return hashed.join(first, "content_hash", "left").withColumn("canonical_url", F.when(F.col("_first") != F.col(url), F.col("_first"))).drop("_first")
+    return hashed.join(staged(first).hint("merge"), "content_hash", "left").withColumn("canonical_url", F.when(F.col("_first") != F.col(url), F.col("_first"))).drop("_first")
 
 
 def crawl_rows(answers: DataFrame) -> DataFrame:

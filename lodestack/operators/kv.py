@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestack.operators import ranges
+from lodestack.sources.staging import staged
+
 #: What a log holds.
 LOG = "seq long, op string, row_key string, cols map<string, string>"
 
@@ -72,11 +75,37 @@ def latest_rows(log: DataFrame, seq: str = "seq", key: str = "row_key") -> DataF
 
 
 def current(log: DataFrame) -> DataFrame:
-    """The table that a mixed log ``seq, op, row_key, cols`` leaves: cells count from the key's last row replacement on."""
-    base = log.groupBy("row_key").agg(F.max(F.when(F.col("op") == "row", F.col("seq"))).alias("_from"))
-    live = log.join(base, "row_key").where(F.col("_from").isNull() | (F.col("seq") >= F.col("_from")))
-    cells = live.select("row_key", "seq", F.explode("cols").alias("col", "value"))
-    return latest_cells(cells).groupBy("row_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("cols"))
+    """The table that a mixed log ``seq, op, row_key, cols`` leaves: cells count from the key's last row replacement on.
+
+    One aggregation by cell, with partial results, so a key with most of the log
+    is not gathered: a row's last replacement goes through it as a cell without a name. Then a row's cells meet.
+    """
+    entries = F.transform(F.map_entries("cols"), lambda e: F.struct(e["key"].alias("col"), e["value"].alias("value")))
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("col"), F.lit(None).cast("string").alias("value")))
+    cells = log.select("row_key", "seq", F.explode(F.concat(F.coalesce(entries, F.array().cast("array<struct<col:string,value:string>>")), F.when(F.col("op") == "row", mark).otherwise(F.slice(mark, 1, 0)))).alias("c"))
+    last = cells.groupBy("row_key", F.col("c.col").alias("col")).agg(F.max("seq").alias("seq"), F.max_by("c.value", "seq").alias("value"))
+    rows = last.groupBy("row_key").agg(F.max(F.when(F.col("col").isNull(), F.col("seq"))).alias("from"), F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "seq", "value"))).alias("cells"))
+    live = F.filter("cells", lambda c: F.col("from").isNull() | (c["seq"] >= F.col("from")))
+    named = F.array_sort(F.transform(live, lambda c: F.struct(c["col"].alias("col"), c["value"].alias("value"))))
+    return rows.select("row_key", F.map_from_entries(named).alias("cols")).where(F.size("cols") > 0)
+
+
+def rows_as_of(log: DataFrame, reads: DataFrame) -> DataFrame:
+    """The rows as they stood: ``row_key, at, cols`` for each distinct row of ``reads(row_key, at)``, where mutations up to the ``seq`` ``at`` count.
+
+    Each column that the row ever had is looked up at that time, and the last
+    replacement of the row too (``ranges.as_of_join``): a cell counts from it on. A
+    row that held nothing then has no result, nor have nulls.
+    """
+    asked = reads.select("row_key", "at").where("row_key is not null and at is not null").distinct()
+    cells = log.select("row_key", "seq", F.explode("cols").alias("col", "value"))
+    columns = staged(cells.select("row_key", "col").distinct())
+    wanted = asked.join(columns, "row_key").select("row_key", "col", F.col("at").alias("seq"))
+    held = ranges.as_of_join(wanted, cells, ["row_key", "col"], "seq").where("seq_right is not null")
+    replaced = log.where("op = 'row'").select("row_key", "seq")
+    since = staged(ranges.as_of_join(asked.select("row_key", F.col("at").alias("seq")), replaced, ["row_key"], "seq").where("seq_right is not null").select("row_key", "seq", F.col("seq_right").alias("from")))
+    live = held.join(since.hint("merge"), ["row_key", "seq"], "left").where("`from` is null or seq_right >= `from`")
+    return live.groupBy("row_key", F.col("seq").alias("at")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("cols"))
 
 
 def append(log: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls
+from lodestack.operators import ranges
+from lodestack.sources.staging import staged
 
 
 #: What ``parse`` gives.
@@ -44,20 +46,26 @@ def decide(pages: DataFrame, rules: DataFrame, agent: str, url: str = "url") ->
 
     The first rule whose prefix starts the path decides, the agent's own rules
     before those for ``*``; without one the page is allowed. Rules whose value
-    does not start with a slash are skipped. The rules of a host are one array,
-    so every page meets its host once.
+    does not start with a slash are skipped.
+
+    A rule is a range of paths: a range join finds the rules of each path of a
+    host once, by stretches of sorted paths, so a host with most of the pages
+    is decided by many tasks and no page carries its host's rules. The pages join what was found.
     """
-    usable = rules.where(F.col("agent").isin(agent.lower(), "*") & F.col("prefix").startswith("/"))
-    rank = F.when(F.col("agent") == agent.lower(), 0).otherwise(1)
-    by_host = usable.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "pos", "flag", "prefix"))).alias("_rules"))
-    path = urls.path_of(F.col(url))
-    first = F.try_element_at(F.filter("_rules", lambda r: path.startswith(r["prefix"])), F.lit(1))["flag"]
-    joined = pages.withColumn("_host", urls.host(F.col(url))).join(by_host.withColumnRenamed("host", "_host"), "_host", "left")
-    return joined.withColumn("allowed", F.coalesce(first == "allow", F.lit(True))).drop("_host", "_rules")
+    own = F.when(F.col("agent") == agent.lower(), 0).otherwise(1)
+    usable = rules.where(F.col("agent").isin(agent.lower(), "*") & F.col("prefix").startswith("/") & F.col("flag").isin("allow", "disallow"))
+    # The number of a rule orders the rules of a host, and its last bit says what the rule does.
+    number = F.shiftleft(F.shiftleft(own.cast("long"), 32) + F.col("pos"), 1) + F.when(F.col("flag") == "allow", 1).otherwise(0)
+    low, high = ranges.prefix_range(F.col("prefix"))
+    first = usable.groupBy("host", "prefix").agg(F.min(number).alias("id"))
+    spans = first.select(F.col("host").alias("key"), low.alias("low"), high.alias("high"), "id")
+    placed = pages.withColumn("_host", urls.host(F.col(url))).withColumn("_path", urls.path_of(F.col(url)).cast("binary"))
+    asked = placed.select(F.col("_host").alias("key"), F.col("_path").alias("value")).distinct()
+    decided = staged(ranges.range_pairs(asked, spans).groupBy("key", "value").agg(F.min("id").alias("_rule")))
+    joined = placed.join(decided.withColumnsRenamed({"key": "_host", "value": "_path"}).hint("merge"), ["_host", "_path"], "left")
+    return joined.select(*pages.columns, F.coalesce(F.col("_rule").bitwiseAND(1) == 1, F.lit(True)).alias("allowed"))
 
 
 def banned(decided: DataFrame, url: str = "url") -> DataFrame:
     """``row_key, url, banned`` of the pages that are not allowed."""
     return decided.where(~F.col("allowed")).select(urls.row_key(F.col(url)).alias("row_key"), F.col(url).alias("url"), F.lit("True").alias("banned"))
-
-

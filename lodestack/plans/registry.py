@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.plans import datasets, retrieval, web
+from lodestack.plans import datasets, ordered, retrieval, web
 
-QUERIES = datasets.QUERIES | web.QUERIES | retrieval.QUERIES
-SQL = datasets.SQL | web.SQL | retrieval.SQL
+QUERIES = datasets.QUERIES | web.QUERIES | retrieval.QUERIES | ordered.QUERIES
+SQL = datasets.SQL | web.SQL | retrieval.SQL | ordered.SQL

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lodestack.sources.staging import staged
+
 #: A session ends after more than this many idle seconds.
 IDLE_SECONDS = 300
 #: A worker counts as alive up to this many seconds after its last ping.
@@ -15,13 +17,28 @@ ALIVE_SECONDS = 15
 
 
 def sessions(hits: DataFrame, key: str = "user_id", ts: str = "ts", idle: int = IDLE_SECONDS) -> DataFrame:
-    """``key, start, end, n_hits``: runs of hits at most ``idle`` seconds apart."""
-    by_key = Window.partitionBy(key).orderBy(ts)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = at - F.lag(at).over(by_key)
-    marked = hits.select(key, ts, F.when(gap > idle * 1_000_000, 1).otherwise(0).alias("new"))
-    numbered = marked.withColumn("s", F.sum("new").over(by_key))
-    return numbered.groupBy(key, "s").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n_hits")).drop("s")
+    """``key, start, end, n_hits``: runs of hits at most ``idle`` seconds apart. Hits without a time are in none.
+
+    Hits are sorted by range over (key, time), and sessions found in each
+    stretch of a key; then only the first and the last session of each stretch
+    are set side by side and joined across the borders. So a key with most of
+    the hits is cut by many tasks.
+    """
+    known = hits.select(F.col(key).alias("k"), F.col(ts).alias("t")).where("t is not null")
+    placed = staged(known.repartitionByRange("k", "t").withColumn("part", F.spark_partition_id()))
+    stretch = Window.partitionBy("k", "part")
+    partial = _numbered(placed, "t", "t", stretch.orderBy("t"), idle).groupBy("k", "part", "s").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n_hits"))
+    marked = staged(partial.withColumn("border", (F.col("s") == 0) | (F.col("s") == F.max("s").over(stretch))))
+    borders = _numbered(marked.where("border").drop("s"), "start", "end", Window.partitionBy("k").orderBy("start"), idle)
+    joined = borders.groupBy("k", "s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_hits").alias("n_hits")).drop("s")
+    whole = joined.unionByName(marked.where("not border").select("k", "start", "end", "n_hits"))
+    return whole.withColumnRenamed("k", key)
+
+
+def _numbered(spans: DataFrame, start: str, end: str, order: WindowSpec, idle: int) -> DataFrame:
+    """``spans`` with the number ``s`` of their run, from 0: one begins where more than ``idle`` seconds lie behind."""
+    gap = F.unix_micros(F.col(start).cast("timestamp")) - F.lag(F.unix_micros(F.col(end).cast("timestamp"))).over(order)
+    return spans.withColumn("_new", F.when(gap > idle * 1_000_000, 1).otherwise(0)).withColumn("s", F.sum("_new").over(order)).drop("_new")
 
 
 def session_windows(hits: DataFrame, key: str = "user_id", ts: str = "ts", idle: int = IDLE_SECONDS, late: str | None = None) -> DataFrame:
