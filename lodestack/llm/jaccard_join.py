@@ -2,23 +2,27 @@
 
 Rare-first prefix filtering:
 
-1. N-grams are counted over all documents in a table of fixed size; a global
-   order puts n-grams of rare cells first (ties by hash).
-2. Documents with equal sets form one class. Only classes are compared.
+1. N-grams are counted over all documents in a table whose size follows the
+   input up to a bound; a global order puts n-grams of rare cells first (ties by hash).
+2. Documents with equal sets form one class. Only classes are compared. They
+   are numbered by least n-gram hash and length, so that near copies get
+   numbers close to each other, and each run of ``BLOCK`` numbers is a block.
 3. A class's prefix is its first n - ceil(t * n) + 1 n-grams in that order:
    linked classes share one. Prefix n-grams of a single class are dropped by
    a count-min sketch that never loses a shared one.
-4. Classes meet on their prefix n-grams. Pairs pass the length filter, the
-   positional filter (what can still match behind the shared n-gram) and a
-   suffix filter (the sets' histograms bound the overlap). A group of near
-   copies has as many such pairs as it has members squared, so they are not
-   listed here: each n-gram leaves a spanning forest of them, and its rows stay
-   linear in its classes. A very frequent prefix n-gram joins all its classes
-   without filters, which only adds work to the next step.
-5. Every link lies within a component of that forest. Within a component,
-   classes of compatible size meet in blocks of bounded size. A pair of a block
-   that passes the length filter and shares a prefix n-gram is verified, once,
-   by the exact overlap of the whole sets.
+4. Classes meet on (prefix n-gram, length range). A pair is kept if it passes
+   the length filter, the positional filter (what can still match behind the
+   shared n-gram) and a suffix filter (the sets' histograms bound the overlap).
+   The list of a frequent prefix n-gram is dealt in parts that meet two by two.
+5. Kept pairs go out by pair of blocks, as a list of places or, where they are
+   many, as a bitmap: a group of near copies has its square in pairs, but only
+   the square of its blocks in rows. These rows are merged over all prefix
+   n-grams, so each pair comes once.
+6. Each pair of blocks gets the sets of those of its classes that are in a pair,
+   and verifies each pair, once, by the exact overlap of the whole sets.
+
+So what is shuffled and verified follows the pairs that pass all filters,
+however the n-grams connect the documents.
 
 N-grams are told apart by 128 bits: two hashes of their words which have no
 structure in common (``textkernel``).
@@ -38,16 +42,20 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import Forest, connected_components
-from .textkernel import NON_SPACE, U64, chunks, gram_starts, grams, mix, split
+from .textkernel import NON_SPACE, U64, chunks, gram_starts, grams, mix, multipliers, split
 
-#: Cells of the frequency table (4 MB as uint32).
-FREQUENCIES = 1 << 20
+#: Cells of the frequency table as powers of two: one for every ``SPREAD`` bytes of text, within these bounds (of one byte each when broadcast).
+LEAST_CELLS, MOST_CELLS, SPREAD = 20, 24, 512
 #: Cells of the filter of class representatives (8 MB of bits).
 CHOSEN = 1 << 26
-#: Classes of one prefix n-gram that are compared pair by pair; more are joined as a star.
-BUCKET = 256
-#: Classes in one block of a component.
+#: Classes of one prefix n-gram and length that meet in one task; a longer list is dealt in parts.
+LIST = 512
+#: Cells of the table of list lengths as powers of two: one for every 64 prefix n-grams, within these bounds (of two bytes each).
+LEAST_LISTS, MOST_LISTS = 16, 24
+#: Classes in a block: a place in a pair of blocks has two bytes.
 BLOCK = 128
+#: Pairs that a task gathers before it sends them on.
+HELD = 1 << 20
 #: Sets larger than this have histograms of 256 bins, others of 64.
 LONG = 1024
 
@@ -100,20 +108,24 @@ def _set_hashes(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """For each cell of n-grams a number from 0 to 255 that grows with its count over all documents (eight steps for each doubling)."""
+    spark = docs.sparkSession
+    cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, (scratch.text_bytes(docs) // SPREAD).bit_length()))
+
     def partial(batches):
-        total, held, n = np.zeros(FREQUENCIES, np.uint32), [], 0
+        total, held, n = np.zeros(cells, np.uint32), [], 0
 
         def add():
             if held:
-                total[:] += np.bincount(np.concatenate(held), minlength=FREQUENCIES).astype(np.uint32)
+                total[:] += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
                 held.clear()
 
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 words = split(data, offsets, NON_SPACE, lower=True)
-                held.append(scratch.cell_of(grams(words.hashes[0], size)[gram_starts(words.first, size)], FREQUENCIES))
+                held.append(scratch.cell_of(grams(words.hashes[0], size)[gram_starts(words.first, size)], cells))
                 n += len(held[-1])
-                if n > FREQUENCIES:
+                if n > cells:
                     add()
                     n = 0
         add()
@@ -122,7 +134,8 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), scratch.packed([parts[k].tobytes() for k in used])], names=["slice", "counts"])
 
     rows = docs.select("text").mapInArrow(partial, "slice int, counts binary")
-    return scratch.counted_cells(rows, FREQUENCIES, min(scratch.partitions_of(docs.sparkSession), FREQUENCIES // scratch.SLICE))
+    steps = lambda counts: np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
+    return scratch.counted_cells(rows, cells, min(scratch.partitions_of(spark), cells // scratch.SLICE), steps, np.uint8)
 
 
 def _least_size(n, num: int, den: int):
@@ -131,7 +144,7 @@ def _least_size(n, num: int, den: int):
 
 
 def _signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, a, b (the set's hash), prefix (uint32 tokens, rare first), bins (histogram)."""
+    """doc_id, n, a, b (the set's hash), least (n-gram hash), prefix (uint64 tokens, rare first), bins (histogram)."""
     counts = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
 
     def run(batches):
@@ -141,32 +154,79 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 doc, keys, edges = sets.docs, sets.keys, sets.edges
                 n = np.diff(edges)
                 a, b = _set_hashes(sets)
-                order = np.lexsort((keys, counts.value[scratch.cell_of(keys, FREQUENCIES)], doc))
-                tokens = (mix(keys[order]) >> U64(32)).astype(np.uint32)
+                order = np.lexsort((keys, counts.value[scratch.cell_of(keys, len(counts.value))], doc))
+                tokens = mix(keys[order])
                 take = np.where(n > 0, n - _least_size(n, num, den) + 1, 0)
+                least = np.zeros(hi - lo, U64)
+                least[n > 0] = keys[edges[:-1][n > 0]]
                 wide = np.where(n > LONG, 256, 64)
                 at = doc * 256 + ((keys >> U64(56)).astype(np.int64) & (wide[doc] - 1))
                 bins = np.minimum(np.bincount(at, minlength=256 * (hi - lo)), 255).astype(np.uint8).reshape(-1, 256)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(a), pa.array(b), scratch.packed([tokens[e : e + k].tobytes() for e, k in zip(edges, take, strict=False)]), scratch.packed([bins[i, : wide[i]].tobytes() for i in range(hi - lo)])],
-                    names=["doc_id", "n", "a", "b", "prefix", "bins"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(a), pa.array(b), pa.array(least.view(np.int64)), scratch.packed([tokens[e : e + k].tobytes() for e, k in zip(edges, take, strict=False)]), scratch.packed([bins[i, : wide[i]].tobytes() for i in range(hi - lo)])],
+                    names=["doc_id", "n", "a", "b", "least", "prefix", "bins"],
                 )
 
-    return scratch.table(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, prefix binary, bins binary"))
+    return scratch.table(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, least long, prefix binary, bins binary"))
+
+
+def _tokens(prefixes: pa.Array) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in prefixes] or [np.zeros(0, U64)])
+
+
+def _list_parts(classes: DataFrame, total: int) -> np.ndarray:
+    """For each cell of prefix n-grams, into how many parts of ``LIST`` classes their lists are dealt: by a count that is never too low."""
+    spark = classes.sparkSession
+    cells, most = 1 << min(MOST_LISTS, max(LEAST_LISTS, (total // 64).bit_length())), LIST
+
+    def partial(batches):
+        counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            at, n = np.unique(np.concatenate((counts[0], scratch.cell_of(_tokens(batch.column(0)), cells))), return_counts=True)
+            n[np.isin(at, counts[0], assume_unique=True)] += counts[1] - 1
+            counts = at, n
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(counts[0] >> 16)) + 1, [len(counts[0])])).tolist()
+        out = [(int(counts[0][a]) >> 16, z - a, (counts[0][a:z] & 0xFFFF).astype(np.uint16).tobytes() + counts[1][a:z].astype(np.uint32).tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True) if z > a]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["slice", "n", "cells"])
+
+    def merge(batches):
+        at, sums = None, np.zeros(scratch.SLICE, np.int64)
+
+        def done():
+            parts = np.minimum(-(-sums // most), 0xFFFF).astype(np.uint16)
+            if (parts > 1).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), scratch.packed([parts.tobytes()])], names=["slice", "parts"])
+
+        for batch in batches:
+            for k, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if k != at:
+                    yield from done()
+                    at, sums = k, np.zeros(scratch.SLICE, np.int64)
+                raw = raw.as_buffer()
+                np.add.at(sums, np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, np.uint32, n, 2 * n))
+        yield from done()
+
+    dealt = classes.select("prefix").mapInArrow(partial, scratch.SKETCH_ROW).repartition(min(scratch.partitions_of(spark), cells // scratch.SLICE), "slice").sortWithinPartitions("slice")
+    out = np.ones(cells, np.uint16)
+    for row in dealt.mapInArrow(merge, "slice int, parts binary").collect():  # bounded by the number of cells
+        out[row.slice * scratch.SLICE : (row.slice + 1) * scratch.SLICE] = np.frombuffer(row.parts, np.uint16)
+    return out
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
-    """token, cid, n, pos, bins of prefix n-grams that the sketch takes for shared."""
+    """token, parts (of its list), cid, n, pos, bins of prefix n-grams that the sketch takes for shared."""
     spark = classes.sparkSession
     total = classes.agg(F.sum(F.octet_length("prefix")).alias("n")).first().n or 0
-    width = scratch.width_for(total // 4, 16, 29)
+    width = scratch.width_for(total // 8, 16, 29)
+    lists = spark.sparkContext.broadcast(_list_parts(classes, total // 8))
 
     def cells(tokens: np.ndarray, row: int) -> np.ndarray:
-        return scratch.cell_of(tokens.astype(U64) + U64(row << 40), width)
+        return scratch.cell_of(tokens ^ multipliers(3)[row + 1], width)
 
     def partial(batches):
         for batch in batches:
-            tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)] or [np.zeros(0, np.uint32)])
+            tokens = _tokens(batch.column(0))
             out = [(row * (width // scratch.SLICE) + k, n, raw) for row in range(2) for k, n, raw in scratch.sketch_rows(cells(tokens, row))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["slice", "n", "cells"])
@@ -177,117 +237,149 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, ns, prefixes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            counts = np.array([len(x.as_buffer()) // 4 for x in prefixes], np.int64)
+            counts = np.array([len(x.as_buffer()) // 8 for x in prefixes], np.int64)
             if not counts.sum():
                 continue
-            tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in prefixes])
+            tokens = _tokens(prefixes)
             row = np.repeat(np.arange(len(ids)), counts)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = scratch.bit(shared.value[0], cells(tokens, 0)) & scratch.bit(shared.value[1], cells(tokens, 1))
-            at = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].astype(np.int64)), pa.array(ids[at]), pa.array(ns[at]), pa.array(pos[keep]), batch.column(3).take(pa.array(at))], names=["token", "cid", "n", "pos", "bins"])
+            at, tokens = row[keep], tokens[keep]
+            parts = lists.value[scratch.cell_of(tokens, len(lists.value))].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(parts), pa.array(ids[at]), pa.array(ns[at]), pa.array(pos[keep]), batch.column(3).take(pa.array(at))], names=["token", "parts", "cid", "n", "pos", "bins"])
+
+    return classes.select("cid", "n", "prefix", "bins").mapInArrow(run, "token long, parts long, cid long, n long, pos long, bins binary")
+
+
+def _filtered(ns: np.ndarray, pos: np.ndarray, bins: pa.Array, meet: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs i < j (sizes ascend) of a prefix n-gram's classes that may ``meet`` and pass the three filters."""
+    i, j = np.nonzero(np.triu(meet & (ns[:, None] >= _least_size(ns, num, den)[None, :]), 1))
+    overlap = -(-num * (ns[i] + ns[j]) // (num + den))
+    ok = np.minimum(ns[i] - pos[i], ns[j] - pos[j]) >= overlap
+    i, j, overlap = i[ok], j[ok], overlap[ok]
+    if not len(i):
+        return i, j
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in bins]
+    small = np.stack([x.reshape(-1, 64).sum(axis=0, dtype=np.int64) for x in raw])
+    full = np.stack([(x.reshape(-1, 64) == 255).any(axis=0) for x in raw])
+    any_full = full.any()
+    fit = np.empty(len(i), bool)
+    for lo in range(0, len(i), 8192):
+        p, q = i[lo : lo + 8192], j[lo : lo + 8192]
+        most = np.minimum(small[p], small[q])
+        if any_full:
+            most = np.where(full[p] & full[q], 1 << 40, np.where(full[p], small[q], np.where(full[q], small[p], most)))
+        fit[lo : lo + 8192] = most.sum(axis=1) >= overlap[lo : lo + 8192]
+    i, j, overlap = i[fit], j[fit], overlap[fit]
+    fine = np.array([len(x) == 256 for x in raw])
+    fine = np.flatnonzero(fine[i] & fine[j])
+    if len(fine):
+        keep, long_ = np.ones(len(i), bool), {k: raw[k].astype(np.int64) for k in np.unique((i[fine], j[fine])).tolist()}
+        for x in fine.tolist():
+            u, v = long_[i[x]], long_[j[x]]
+            keep[x] = ((u == 255) & (v == 255)).any() or np.where(u == 255, v, np.where(v == 255, u, np.minimum(u, v))).sum() >= overlap[x]
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def _by_blocks(a: np.ndarray, b: np.ndarray, block: int) -> pa.RecordBatch:
+    """Pairs of class numbers as rows (bi, bj, places): by pair of blocks a sorted list of places, or a bitmap of all places where that is shorter."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    bi, bj, code = a // block, b // block, (a % block) * block + b % block
+    order = np.lexsort((code, bj, bi))
+    bi, bj, code = bi[order], bj[order], code[order]
+    other = np.ones(len(bi), bool)
+    other[1:] = (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+    new = other.copy()
+    new[1:] |= code[1:] != code[:-1]
+    bi, bj, code, other = bi[new], bj[new], code[new].astype(np.uint16), other[new]
+    first = np.flatnonzero(other)
+    raw, most = code.tobytes(), block * block // 8
+    places = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True):
+        if 2 * (hi - lo) < most:
+            places.append(raw[2 * lo : 2 * hi])
+        else:
+            bits = np.zeros(block * block, bool)
+            bits[code[lo:hi]] = True
+            places.append(np.packbits(bits).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bi[first]), pa.array(bj[first]), scratch.packed(places)], names=["bi", "bj", "places"])
+
+
+def _places(raw: pa.BinaryScalar, block: int) -> np.ndarray:
+    data = np.frombuffer(raw.as_buffer(), np.uint8)
+    return np.flatnonzero(np.unpackbits(data)) if len(data) == block * block // 8 else data.view(np.uint16).astype(np.int64)
+
+
+def _kept_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """bi, bj, places of the pairs that pass the filters on one of their common prefix n-grams; several rows for a pair of blocks."""
+    block = BLOCK
+    span = F.floor(F.log("n") / math.log(den / num)).cast("long")
+    sized = shared.withColumn("bin", F.explode(F.array(span, span - 1))).withColumn("home", F.col("bin") == span)
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("cid"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = sized.select("token", "bin", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "home", "cid", "n", "pos", "bins")
 
-    return classes.select("cid", "n", "prefix", "bins").mapInArrow(run, "token long, cid long, n long, pos long, bins binary")
+    def run(batches):
+        held, n = [], 0
+        for (_, _, i, j), rows in _cells_of(batches, 4):
+            if rows.num_rows < 2:
+                continue
+            own, home, cid = rows.column(4).to_numpy(), rows.column(5).to_numpy(zero_copy_only=False), rows.column(6).to_numpy()
+            meet = home[:, None] | home[None, :]
+            if i != j:
+                meet &= own[:, None] != own[None, :]
+            p, q = _filtered(rows.column(7).to_numpy(), rows.column(8).to_numpy(), rows.column(9), meet, num, den)
+            if len(p):
+                held.append((cid[p], cid[q]))
+                n += len(p)
+            if n > HELD:
+                yield _by_blocks(*map(np.concatenate, zip(*held, strict=True)), block)
+                held, n = [], 0
+        if held:
+            yield _by_blocks(*map(np.concatenate, zip(*held, strict=True)), block)
 
+    dealt = cells.repartition("token", "bin", "i", "j").sortWithinPartitions("token", "bin", "i", "j", "n", "cid")
+    return dealt.mapInArrow(run, "bi long, bj long, places binary")
 
-def _groups(batches, key: int):
-    """(key values, columns) of runs of rows with equal first ``key`` columns; at most ``BUCKET`` + a batch of rows are held.
 
-    A run longer than that comes in pieces; the third value says whether the run goes on.
-    """
-    held, names = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = batch.schema.names
-        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        keys = np.stack([held.column(i).to_numpy() for i in range(key)])
-        cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        edges = np.concatenate(([0], cut, [held.num_rows]))
-        for lo, hi in zip(edges[:-2], edges[1:-1], strict=True):
-            yield tuple(keys[:, lo].tolist()), held.slice(lo, hi - lo), False
-        held = held.slice(int(edges[-2]))
-        if held.num_rows > 4 * BUCKET:
-            yield tuple(keys[:, -1].tolist()), held, True
-            held = held.slice(0, 1)
-    if held is not None and names:
-        yield tuple(held.column(i)[0].as_py() for i in range(key)), held, False
-
-
-def _candidate_edges(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: a forest that connects all classes which may link."""
-
-    def bounds(ns, pos, bins):
-        """Pairs i < j (sizes ascend) that pass the three filters."""
-        need = _least_size(ns, num, den)
-        i, j = np.nonzero(np.triu(ns[:, None] >= need[None, :], 1))
-        overlap = -(-num * (ns[i] + ns[j]) // (num + den))
-        rest = 1 + np.minimum(ns[i] - pos[i], ns[j] - pos[j]) - 1
-        ok = rest >= overlap
-        i, j, overlap = i[ok], j[ok], overlap[ok]
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in bins]
-        small = np.stack([x.reshape(-1, 64).sum(axis=0, dtype=np.int64) for x in raw])
-        full = np.stack([(x.reshape(-1, 64) == 255).any(axis=0) for x in raw])
-        fit = np.empty(len(i), bool)
-        for lo in range(0, len(i), 8192):
-            p, q = i[lo : lo + 8192], j[lo : lo + 8192]
-            most = np.where(full[p] & full[q], 1 << 40, np.where(full[p], small[q], np.where(full[q], small[p], np.minimum(small[p], small[q]))))
-            fit[lo : lo + 8192] = most.sum(axis=1) >= overlap[lo : lo + 8192]
-        i, j, overlap = i[fit], j[fit], overlap[fit]
-        both = np.array([len(x) == 256 for x in raw])
-        fine = both[i] & both[j]
-        if fine.any():
-            keep = np.ones(len(i), bool)
-            for x in np.flatnonzero(fine).tolist():
-                u, v = raw[i[x]], raw[j[x]]
-                if not ((u == 255) & (v == 255)).any():
-                    keep[x] = int(np.minimum(u, v).sum(dtype=np.int64)) >= overlap[x]
-            i, j = i[keep], j[keep]
-        return i.tolist(), j.tolist()
+def _tasks(pairs: DataFrame) -> DataFrame:
+    """bi, bj, places of each pair of blocks once, with a null cid; and bi, bj, cid of each class in a pair of theirs."""
+    block = BLOCK
 
     def run(batches):
-        forest, edges, star = Forest(), [], None
-        for (token,), rows, goes_on in _groups(batches, 1):
-            ids = rows.column(1).to_numpy()
-            if star and star[0] != token:
-                star = None
-            if star or goes_on or len(ids) > BUCKET:
-                hub = star[1] if star else int(ids[0])
-                star = (token, hub)
-                edges += [(x, hub) for x in set(ids.tolist()) if x != hub and forest.union(x, hub)]
-            elif len(ids) > 1:
-                i, j = bounds(rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4))
-                for p, q in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                    if forest.union(p, q):
-                        edges.append((p, q))
-            if len(edges) > 50_000 or len(forest.parent) > 1 << 19:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                edges = []
-                if len(forest.parent) > 1 << 19:
-                    forest = Forest()
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    dealt = shared.repartition(F.col("token")).sortWithinPartitions("token", "n", "cid")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+        for batch in _batched(_cells_of(batches, 2)):
+            out = []
+            for (bi, bj), rows in batch:
+                codes = np.unique(np.concatenate([_places(x, block) for x in rows.column(2)]))
+                merged = _by_blocks(bi * block + codes // block, bj * block + codes % block, block)
+                out.append((bi, bj, None, merged.column(2)[0].as_py()))
+                out += [(bi, bj, c, None) for c in np.unique(np.concatenate((bi * block + codes // block, bj * block + codes % block))).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bi", "bj", "cid", "places"])
+
+    return scratch.table(pairs.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(run, "bi long, bj long, cid long, places binary"))
+
+
+def _batched(items, size: int = 256):
+    held = []
+    for x in items:
+        held.append(x)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _verified(tasks: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """cid, other, weight of verified links: spanning edges (weight 0) and, with other null, linked documents of a class.
 
-    ``members``: cid, comp, a, b, rep, n, n_docs, prefix.
+    ``tasks``: what ``_tasks`` gives; ``classes``: cid, a, b, rep, n_docs.
     """
-    spark = docs.sparkSession
-    sized = members.withColumn("bin", F.floor(F.log(F.col("n")) / math.log(den / num)).cast("long"))
-    counts = sized.groupBy("comp", "bin").agg(F.count("*").alias("held"))
-    above = counts.select("comp", (F.col("bin") - 1).alias("bin"), F.col("held").alias("upper"))
-    cells = counts.join(above, ["comp", "bin"], "left").withColumn("all", F.col("held") + F.coalesce("upper", F.lit(0)))
-    # Staged, so that what joins them is a plain shuffle and a large component's rows can be split.
-    cells = scratch.table(cells.where("all > 1").select("comp", "bin", F.ceil(F.col("all") / BLOCK).alias("blocks"))).hint("merge")
-    homes = sized.join(cells, ["comp", "bin"]).withColumn("home", F.lit(True))
-    uppers = sized.withColumn("bin", F.col("bin") - 1).join(cells, ["comp", "bin"]).withColumn("home", F.lit(False))
-    dealt = homes.unionByName(uppers).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = scratch.table(dealt.select("cid", "rep", "a", "b", "n_docs", "prefix", "comp", "bin", "home", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
-    picks = spark.sparkContext.broadcast(scratch.bitmap(dealt.where("rep is not null").select(F.xxhash64("rep")), CHOSEN))
+    spark, block = docs.sparkSession, BLOCK
+    # A class without ids has a null rep; its rows are one as a key of the join.
+    keyed = lambda df: df.withColumn("no_id", F.col("rep").isNull()).withColumn("rep", F.coalesce("rep", F.lit(0).cast("long")))
+    wanted = scratch.table(keyed(classes.join(tasks.where("cid is not null").select("cid").distinct().hint("merge"), "cid")))
+    picks = spark.sparkContext.broadcast(scratch.bitmap(wanted.where("not no_id").select(F.xxhash64("rep")), CHOSEN))
 
     def sets_of(batches):
         for batch in batches:
@@ -302,36 +394,30 @@ def _verified(members: DataFrame, docs: DataFrame, size: int, num: int, den: int
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), pa.array(a[has]), pa.array(b[has]), scratch.packed(both)], names=["rep", "a", "b", "keys"])
 
     named = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("named"))
-    made = named.mapInArrow(sets_of, "rep long, a long, b long, keys binary")
-    # A class without ids has a null rep; its rows are one as a key of the join.
-    keyed = lambda df: df.withColumn("no_id", F.col("rep").isNull()).withColumn("rep", F.coalesce("rep", F.lit(0).cast("long")))
-    made = keyed(made).groupBy("a", "b", "rep", "no_id").agg(F.first("keys").alias("keys"))
-    tasks = keyed(dealt).hint("merge").join(made, ["a", "b", "rep", "no_id"])
+    made = keyed(named.mapInArrow(sets_of, "rep long, a long, b long, keys binary")).groupBy("a", "b", "rep", "no_id").agg(F.first("keys").alias("keys"))
+    sets = scratch.table(wanted.hint("merge").join(made, ["a", "b", "rep", "no_id"]).select("cid", "n_docs", "keys"))
+    none = lambda t: F.lit(None).cast(t)
+    members = tasks.where("cid is not null").select("bi", "bj", "cid").join(sets.hint("merge"), "cid").select("bi", "bj", "cid", "n_docs", "keys", none("binary").alias("places"))
+    lists = tasks.where("cid is null").select("bi", "bj", "cid", none("long").alias("n_docs"), none("binary").alias("keys"), "places")
 
     def verify(batches):
-        for (_, _, i, j), rows, _ in _cells_of(batches, 4):
-            cid = rows.column(4).to_numpy()
-            _, first = np.unique(cid, return_index=True)
-            if len(first) < 2:
-                continue
-            cid, own, home, docs_of = cid[first], rows.column(5).to_numpy()[first], rows.column(6).to_numpy(zero_copy_only=False)[first], rows.column(7).to_numpy()[first]
-            prefix = [np.frombuffer(rows.column(8)[int(k)].as_buffer(), np.uint32) for k in first]
-            sets = [np.frombuffer(rows.column(9)[int(k)].as_buffer(), U64).reshape(2, -1) for k in first]
-            meet = home[:, None] | home[None, :]
-            if i != j:
-                meet &= own[:, None] != own[None, :]
-            p, q = _linked(sets, _filtered(prefix, np.array([s.shape[1] for s in sets]), meet, num, den), num, den)
+        for (bi, bj), rows in _cells_of(batches, 2):
+            # Sorted by cid, the list comes first.
+            codes = _places(rows.column(5)[0], block)
+            cid, docs_of = rows.column(2).slice(1).to_numpy(), rows.column(3).slice(1).to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), U64).reshape(2, -1) for x in rows.column(4).slice(1)]
+            pairs = np.zeros((len(cid), len(cid)), bool)
+            pairs[np.searchsorted(cid, bi * block + codes // block), np.searchsorted(cid, bj * block + codes % block)] = True
+            p, q = _linked(sets, pairs, num, den)
             if not len(p):
                 continue
             forest = Forest()
             edges = [(a, b) for a, b in zip(cid[p].tolist(), cid[q].tolist(), strict=True) if forest.union(a, b)]
             weight = np.bincount(p, docs_of[q], len(cid)) + np.bincount(q, docs_of[p], len(cid))
-            some = np.flatnonzero(weight)
-            out = [(a, b, 0) for a, b in edges] + [(int(cid[k]), None, int(weight[k])) for k in some]
+            out = [(a, b, 0) for a, b in edges] + [(int(cid[k]), None, int(weight[k])) for k in np.flatnonzero(weight)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["cid", "other", "weight"])
 
-    cells = tasks.select("comp", "bin", "i", "j", "cid", "own", "home", "n_docs", "prefix", "keys").repartitionByRange("comp", "bin", "i", "j")  # ranges, so that few cells share a task by chance
-    cells = cells.sortWithinPartitions("comp", "bin", "i", "j")
+    cells = members.unionByName(lists).repartitionByRange("bi", "bj").sortWithinPartitions("bi", "bj", "cid")  # ranges, so that few cells share a task by chance
     return scratch.table(cells.mapInArrow(verify, "cid long, other long, weight long"))
 
 
@@ -348,16 +434,6 @@ def _products(row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _filtered(prefix: list[np.ndarray], sizes: np.ndarray, meet: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The pairs of a block that pass the length filter and share a prefix n-gram, as a matrix above the diagonal."""
-    small, large = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    row, token = np.repeat(np.arange(len(prefix)), [len(x) for x in prefix]), np.concatenate(prefix)
-    order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
-    new = np.concatenate(([0], np.cumsum(token[1:] != token[:-1])))
-    return np.triu(meet & (den * small >= num * large) & (_products(row, new, len(prefix)) > 0), 1)
-
-
 def _linked(sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (p, q) whose whole sets are similar: few pairs one by one, many by products of matrices."""
     p, q = np.nonzero(pairs)
@@ -384,7 +460,7 @@ def _linked(sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int) -> tu
 
 
 def _cells_of(batches, key: int):
-    """Like ``_groups``, for cells, whose size is bounded by how they were dealt."""
+    """(key values, rows) of each run of rows with equal first ``key`` columns; what a run holds is bounded by how it was dealt."""
     held: list[pa.RecordBatch] = []
     at = None
     for batch in batches:
@@ -396,12 +472,12 @@ def _cells_of(batches, key: int):
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             mine = tuple(keys[:, lo].tolist())
             if at is not None and mine != at:
-                yield at, _one(held), False
+                yield at, _one(held)
                 held = []
             at = mine
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield at, _one(held), False
+        yield at, _one(held)
 
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -425,12 +501,13 @@ def similarity_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     src = scratch.columns(docs, doc_id=doc_id, text=text)
     rows = _signatures(src, size, num, den)
     some = rows.where("n > 0")
-    grouped = some.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
-    classes = scratch.table(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    nodes = connected_components(_candidate_edges(_shared_tokens(classes), num, den))
+    grouped = some.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), *[F.first(c).alias(c) for c in ("n", "least", "prefix", "bins")])
+    near = ["least", "n", "a", "b"]
+    placed = grouped.repartitionByRange(*near).sortWithinPartitions(*near).drop("least")
+    classes = scratch.table(placed.withColumn("cid", F.monotonically_increasing_id()))
     short = classes.select("cid", "a", "b", "rep", "n", "n_docs")
-    members = nodes.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(classes.drop("bins").hint("merge"), "cid")
-    found = _verified(members, src, size, num, den)
+    tasks = _tasks(_kept_pairs(_shared_tokens(classes), num, den))
+    found = _verified(tasks, short.select("cid", "a", "b", "rep", "n_docs"), src, size, num, den)
     joined = connected_components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("cid").agg(F.sum("weight").alias("links"))
     linked = scratch.table(joined.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(short.select("cid", "rep").hint("merge"), "cid"))

@@ -8,7 +8,7 @@ re-read, not a recomputation.
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -138,14 +138,14 @@ def repeated_cells(partials: DataFrame, cells: int, partitions: int) -> np.ndarr
     return bits
 
 
-def counted_cells(partials: DataFrame, cells: int, partitions: int) -> np.ndarray:
-    """Merge partial dense counters (slice, uint32 counts) into one table of ``cells`` counts, at most 2**32 - 1 each."""
+def counted_cells(partials: DataFrame, cells: int, partitions: int, as_: Callable[[np.ndarray], np.ndarray], kind: type) -> np.ndarray:
+    """Merge partial dense counters (slice, uint32 counts) into one table of ``cells`` values of ``kind``: ``as_`` of each sum."""
 
     def merge(batches):
         at, total = None, None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), packed([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])], names=["slice", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), packed([as_(total).astype(kind).tobytes()])], names=["slice", "counts"])
 
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -158,9 +158,9 @@ def counted_cells(partials: DataFrame, cells: int, partitions: int) -> np.ndarra
             yield done()
 
     merged = partials.repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, counts binary")
-    out = np.zeros(cells, np.uint32)
+    out = np.zeros(cells, kind)
     for row in merged.collect():  # bounded by the number of cells
-        out[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.uint32)
+        out[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, kind)
     return out
 
 

@@ -205,7 +205,7 @@ def brute_classes(docs, size, num, den):
 @pytest.mark.parametrize(("size", "num", "block"), [(3, 90, 256), (5, 80, 256), (1, 50, 256), (3, 60, 4)])
 def test_classes_match_brute_force(spark, monkeypatch, size, num, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "BUCKET", 16 if block == 4 else 256)
+    monkeypatch.setattr(jaccard_join, "LIST", 8 if block == 4 else 1024)
     docs = corpus(7, 120)
     got = jaccard_join.similarity_classes(spark.createDataFrame(docs, DOCS).repartition(5), size=size, threshold=(num, 100))
     assert sorted(map(tuple, got.collect())) == brute_classes(docs, size, num, 100)
