@@ -33,6 +33,7 @@ Components of the verified links give the smallest reachable id.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -321,10 +322,10 @@ def _kept_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for (_, _, i, j), rows in _cells_of(batches, 4):
-            if rows.num_rows < 2:
-                continue
+        for (_, _, i, j), rows in _cells_of(batches, 4, least=2):
             own, home, cid = rows.column(4).to_numpy(), rows.column(5).to_numpy(zero_copy_only=False), rows.column(6).to_numpy()
+            if not home.any():
+                continue
             meet = home[:, None] | home[None, :]
             if i != j:
                 meet &= own[:, None] != own[None, :]
@@ -459,8 +460,8 @@ def _linked(sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int) -> tu
     return p[ok], q[ok]
 
 
-def _cells_of(batches, key: int):
-    """(key values, rows) of each run of rows with equal first ``key`` columns; what a run holds is bounded by how it was dealt."""
+def _cells_of(batches: Iterator[pa.RecordBatch], key: int, least: int = 1) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key values, rows) of each run of at least ``least`` rows with equal first ``key`` columns; what a run holds is bounded by how it was dealt."""
     held: list[pa.RecordBatch] = []
     at = None
     for batch in batches:
@@ -470,13 +471,16 @@ def _cells_of(batches, key: int):
         cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         edges = np.concatenate(([0], cut, [batch.num_rows])).tolist()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo < least and lo and hi < batch.num_rows:
+                continue
             mine = tuple(keys[:, lo].tolist())
             if at is not None and mine != at:
-                yield at, _one(held)
+                if sum(map(len, held)) >= least:
+                    yield at, _one(held)
                 held = []
             at = mine
             held.append(batch.slice(lo, hi - lo))
-    if held:
+    if sum(map(len, held)) >= least:
         yield at, _one(held)
 
 
