@@ -13,6 +13,8 @@ shingle.
    room for the window) and the positional bound (the window neither starts
    before the document nor ends after it) come next, then the comparison of
    the window's own words: hashes never decide.
+4. A window that many items share is one window up to here. Windows of the same
+   items are one set of items, and a document's items follow from its distinct sets.
 
 Documents stay where they are: only matching positions are shuffled.
 """
@@ -32,33 +34,43 @@ from .textkernel import ALNUM, U64, chunks, gram_starts, grams, split
 BITMAP = 1 << 24
 
 
+#: Windows in one Arrow batch: a long item leaves its windows in several.
+BATCH = 4096
+
+
 def windows_of(items: DataFrame, size: int, shingle: int) -> DataFrame:
-    """item_id, words, start-relative shingles of each distinct window of each item."""
+    """item_id, words, start-relative shingles of each window of each item, some more than once."""
 
     def cut(batches):
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32()), strict=True)], names=["item_id", "words", "tokens", "k"])
+
+        out = []
         for batch in batches:
-            out = []
             ids = batch.column(0)
             for lo, _, data, offsets in chunks(batch.column(1)):
                 found = split(data, offsets, ALNUM, lower=True)
-                words = np.array([found.word(k).decode() for k in range(len(found.starts))], dtype=object)
-                for i, (a, z) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)):
+                for i, (a, z) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)):
                     n = min(size, z - a)
+                    k = min(shingle, n)
                     for s in range(a, z - n + 1) if n else ():
-                        k = min(shingle, n)
-                        out.append((ids[lo + i].as_py(), list(words[s : s + n]), grams(found.hashes[0][s : s + n], k).view(np.int64).tolist(), int(k)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32()), strict=True)], names=["item_id", "words", "tokens", "k"])
+                        out.append((ids[lo + i].as_py(), [found.word(x).decode() for x in range(s, s + n)], grams(found.hashes[0][s : s + n], k).view(np.int64).tolist(), k))
+                        if len(out) == BATCH:
+                            yield made()
+                            out = []
+        if out:
+            yield made()
 
-    return items.mapInArrow(cut, "item_id long, words array<string>, tokens array<long>, k int").dropDuplicates(["item_id", "words"])
+    return items.mapInArrow(cut, "item_id long, words array<string>, tokens array<long>, k int")
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 4, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, hits) of the exact occurrences of item windows in documents.
+def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 4, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, hits, sets) of the exact occurrences of item windows in documents.
 
     ``documents``: ``row, doc_id, n_words`` for every row of ``docs``.
-    ``hits``: ``row, doc_id, item_id, start, stop``, one for each window of
-    an item that a document holds (word positions, ``stop`` beyond the last).
+    ``hits``: ``row, doc_id, items, start, stop``, one for each window that a
+    document holds (word positions, ``stop`` beyond the last), however many
+    items share it. ``sets``: ``items, item_id``, the items of each set that hits name.
 
     Words are runs of digits, letters a-z after lower-casing A-Z, and
     characters beyond ASCII. An item of fewer than ``size`` words is one
@@ -67,7 +79,8 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
     """
     spark = docs.sparkSession
     src = scratch.columns(docs, doc_id=doc_id, text=doc_text)
-    windows = scratch.table(windows_of(scratch.columns(items, item_id=item_id, text=item_text), size, shingle))
+    owned = scratch.table(windows_of(scratch.columns(items, item_id=item_id, text=item_text), size, shingle))
+    windows, sets = _shared(owned)
     ks = sorted(r.k for r in windows.select("k").distinct().collect())  # at most ``shingle`` of them
     tokens = windows.select(F.explode("tokens").alias("token")).distinct()
     wanted = spark.sparkContext.broadcast(scratch.bitmap(tokens, BITMAP))
@@ -84,9 +97,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
     seen = src.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    placed = windows.withColumn("window", F.monotonically_increasing_id()).select("window", "item_id", "words", "k", F.posexplode("tokens").alias("offset", "token"))
+    placed = windows.select("window", "items", "words", "k", F.posexplode("tokens").alias("offset", "token"))
     ranked = placed.join(seen, "token").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("n", "token", "offset")))
-    prefix = scratch.table(ranked.where("rank = 1").select("token", "item_id", "words", "k", "offset"))
+    prefix = scratch.table(ranked.where("rank = 1").select("token", "items", "words", "k", "offset"))
     chosen = spark.sparkContext.broadcast(scratch.bitmap(prefix.select("token").distinct(), BITMAP))
 
     def positions(batches):
@@ -114,7 +127,22 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
     pairs = found.join(prefix, "token").withColumn("start", F.col("pos") - F.col("offset")).withColumn("stop", F.col("start") + F.size("words"))
     bounded = pairs.where("start >= 0 and stop <= n_words and start >= `from`")
     hits = bounded.where(F.slice("around", F.col("start") - F.col("from") + 1, F.size("words")) == F.col("words"))
-    return rows.select("row", "doc_id", "n_words"), hits.select("row", "doc_id", "item_id", "start", "stop")
+    return rows.select("row", "doc_id", "n_words"), hits.select("row", "doc_id", "items", "start", "stop"), sets
+
+
+def _shared(owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, words, k, tokens, items) of each distinct window, and (items, item_id) of each set of items that share one.
+
+    A set is known by its size and 128 bits of its items, so no window gathers its items.
+    """
+    pairs = owned.groupBy("words", "item_id").agg(F.first("k").alias("k"), F.first("tokens").alias("tokens"))
+    sign = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("item_id")).alias("a"), F.bit_xor(F.xxhash64(F.lit(0x5851F42D), F.col("item_id"))).alias("b"))
+    distinct = pairs.groupBy("words").agg(F.first("k").alias("k"), F.first("tokens").alias("tokens"), sign.alias("items"))
+    windows = scratch.table(distinct.withColumn("window", F.monotonically_increasing_id()))
+    # Any window of a set names its items; the one with the least number does.
+    chosen = scratch.table(windows.groupBy("items").agg(F.min_by("words", "window").alias("words")))
+    named = owned.select("words", "item_id").where("item_id is not null").join(chosen.hint("merge"), "words").select("items", "item_id").distinct()
+    return windows, scratch.table(named)
 
 
 CANDS = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("from", pa.int32()), ("around", pa.list_(pa.string()))]))
@@ -130,12 +158,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, shingle: in
     """Every row of ``docs``: ``doc_id, n_words, n_hit, item_ids`` (sorted as strings), ``contaminated``.
 
     See ``contaminated_spans`` for words, windows, nulls and repeated rows.
-    An empty ``items`` table leaves every document clean.
+    An item without an id contaminates like any other and is not among the
+    ``item_ids``. An empty ``items`` table leaves every document clean.
     """
-    rows, hits = contaminated_spans(docs, items, size, shingle, **names)
-    spans = hits.groupBy("row", "start", "stop").agg(F.collect_set("item_id").alias("ids"))
-    by_row = spans.groupBy("row").agg(covered(F.collect_list(F.struct("start", "stop"))).alias("n_hit"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("ids"))), lambda x: x.cast("string"))).alias("item_ids"))
-    out = rows.join(by_row, "row", "left")
+    rows, hits, sets = contaminated_spans(docs, items, size, shingle, **names)
+    found = scratch.table(hits.select("row", "items", "start", "stop"))
+    words = found.groupBy("row").agg(covered(F.collect_list(F.struct("start", "stop"))).alias("n_hit"))
+    owners = found.select("row", "items").distinct().join(sets.hint("merge"), "items")
+    named = owners.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
+    out = rows.join(words, "row", "left").join(named, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 

@@ -303,3 +303,28 @@ def test_bpe_over_rows(spark, public):
     back = {(r.doc_id, bytes(r.content)) for r in byte_bpe.decode(encoded, RANKS).collect()}
     assert back == {(1, b"Hello, world"), (2, b""), (None, b"x " * 2000)}
     assert byte_bpe.token_counts(encoded).agg({"n": "sum"}).first()[0] == sum(w[1] for w in want)
+
+
+def test_windows_of_many_items_are_met_once(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(k, f"x{k} {text} y") for k in range(20)], DOCS)
+    hits = {}
+    for m in (10, 40):
+        items = spark.createDataFrame([(k, text) for k in range(m)] + [(100, " ".join(text.split()[:15])), (None, text)], "item_id long, text string")
+        _, found, sets = decontaminate.contaminated_spans(docs, items)
+        hits[m] = found.count()
+        assert sets.count() <= m + (m + 1)
+        got = decontaminate.decontaminate(docs, items).collect()
+        assert {(r.n_words, r.n_hit, r.contaminated) for r in got} == {(32, 30, True)}
+        assert {tuple(r.item_ids) for r in got} == {tuple(sorted([*map(str, range(m)), "100"]))}
+    assert hits[10] == hits[40] == 20 * 21
+
+
+def test_items_without_ids_and_very_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BATCH", 7)
+    rng = random.Random(4)
+    long_item = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    items = spark.createDataFrame([(None, "one two three"), (5, " ".join(long_item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four"), (2, " ".join(long_item[1000:1012])), (3, " ".join(long_item[1000:1009])), (4, " ".join(long_item))], DOCS)
+    got = {r.doc_id: (r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (3, [], True), 2: (12, ["5"], True), 3: (0, [], False), 4: (3000, ["5"], True)}
