@@ -1,12 +1,13 @@
-"""Queries that join by order: ranges, times, sessions of skewed keys."""
+"""Queries that join by order: ranges, times, sessions of skewed keys, streams that wait and meet."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lodestack.operators import kv, ranges
-from lodestack.sources.tables import read
-from lodestack.streaming import sessions
+from lodestack.sources.staging import new_path
+from lodestack.sources.tables import read, stream
+from lodestack.streaming import deferral, joins, sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,3 +83,52 @@ SELECT client_id, min(ts) AS start, max(ts) AS "end", count(*) AS n_hits FROM s
 def sessions_of_clients(spark, d):
     """Sessions of half an hour in ``clicks``, where a client may have a third of all rows."""
     return sessions.sessions(read(spark, d, "clicks"), key="client_id", idle=1800)
+
+
+_PAUSE = 6 * 3600 * 1000
+_ASKED = "SELECT CAST(user_id AS VARCHAR) AS host, CAST(event_id AS VARCHAR) AS url, epoch_us(ts) // 1000 AS asked, ts FROM events"
+_GRANTS = f"""
+WITH n AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY ts, url) - 1) * {_PAUSE} AS shift FROM ({_ASKED}))
+SELECT host, url, asked, max(asked - shift) OVER (PARTITION BY host ORDER BY ts, url ROWS UNBOUNDED PRECEDING) + shift AS granted FROM n
+"""
+
+
+def _attempts(events):
+    return events.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(_GRANTS)
+def deferred(spark, d):
+    """Each attempt with the time its user's pause lets it through."""
+    return deferral.deferred(_attempts(read(spark, d, "events"))).select("host", "url", F.unix_millis("asked").alias("asked"), F.unix_millis("granted").alias("granted"))
+
+
+@query(_GRANTS)
+def deferred_stream(spark, d):
+    """The same by a stream that queues attempts and sends them on by timers. A last row far ahead lets the last timers go off."""
+    for k, v in deferral.STORE.items():
+        spark.conf.set(k, v)
+    events = _attempts(read(spark, d, "events"))
+    source, sink, checkpoint = new_path(spark, "arrivals"), new_path(spark, "deferred"), new_path(spark, "checkpoint")
+    events.write.parquet(source)
+    spark.range(1).select(F.lit("end").alias("host"), F.lit("end").alias("url"), F.lit("2100-01-01").cast("timestamp").alias("ts")).write.mode("append").parquet(source)
+    arrivals = spark.readStream.schema(events.schema).parquet(source)
+    done = deferral.deferred_stream(arrivals, _PAUSE, late="60 days").writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink)
+    done.awaitTermination()
+    return spark.read.schema(deferral.GRANTED).parquet(sink).select("host", "url", F.unix_millis("asked").alias("asked"), F.unix_millis("granted").alias("granted"))
+
+
+@query("""
+SELECT l.event_id, l.user_id, l.ts, r.ts AS ping_ts, r.event_id AS view_id FROM events l JOIN events r ON l.user_id = r.user_id AND l.ts >= r.ts AND l.ts <= r.ts + INTERVAL 6 HOURS
+WHERE l.event_type = 'purchase' AND r.event_type = 'view'
+""")
+def stream_stream_join(spark, d):
+    """Purchases with the views of the six hours before, as two streams."""
+    at = F.col("ts").cast("timestamp").alias("ts")
+    bought = stream(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", at)
+    views = stream(spark, d, "events").where("event_type = 'view'").select("user_id", at, F.col("event_id").alias("view_id"))
+    met = joins.within_time(bought, views, within="6 hours", late="60 days")
+    sink, checkpoint = new_path(spark, "met"), new_path(spark, "checkpoint")
+    met.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
+    kinds = {c: F.col(c).cast("timestamp_ntz") for c in ("ts", "ping_ts")}
+    return spark.read.schema(met.schema).parquet(sink).withColumns(kinds)
