@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.operators import ranges
-from lodestack.sources.staging import staged
+from lodestack.sources.staging import new_path, staged
 
 #: What a log holds.
 LOG = "seq long, op string, row_key string, cols map<string, string>"
@@ -142,13 +142,51 @@ def table_list(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     return out
 
 
+#: Up to so many rows a page is cut from the sorted head of a table; further down by a directory.
+HEAD = 10_000
+
+
 def page(table: DataFrame, offset: int, size: int = 10, key: str = "row_key") -> DataFrame:
     """One page of the rows by key, with ``has_next``. An offset beyond the table shows the first page.
 
-    The top ``offset + size + 1`` rows are all that is gathered; the table's
-    size is only counted.
+    Near the head the first ``offset + size`` rows are sorted out; beyond ``HEAD``
+    the table is stored by ranges of the key (``save_ranked``), and the page read from
+    the ranges that hold it. For many pages of one table, store it once.
     """
+    if offset + size > HEAD:
+        path = new_path(table.sparkSession, "ranked")
+        save_ranked(table, path, key)
+        return page_ranked(table.sparkSession, path, offset, size, key)
     n = table.count()
     start = 0 if offset > n else offset
     shown = table.orderBy(key).offset(start).limit(size)
     return shown.withColumn("has_next", F.lit(n - start > size))
+
+
+def save_ranked(table: DataFrame, path: str, key: str = "row_key") -> None:
+    """Store a table by ranges of its key, each row with its place in the range, and a directory of how many rows each range has."""
+    placed = table.repartitionByRange(key).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(key)
+    # The low bits of the id number the rows of a task, here in the order of the key.
+    numbered = placed.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered.write.partitionBy("_range").parquet(f"{path}/rows")
+    table.sparkSession.createDataFrame([], numbered.schema).write.parquet(f"{path}/columns")  # so that a table without rows can be read too
+    rows = table.sparkSession.read.schema(numbered.schema).parquet(f"{path}/rows")
+    rows.groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/directory")
+
+
+def page_ranked(spark: SparkSession, path: str, offset: int, size: int = 10, key: str = "row_key") -> DataFrame:
+    """A page of a table of ``save_ranked``. See ``page``.
+
+    Only the ranges that hold it are read, usually one, and only the page's
+    rows leave the scan.
+    """
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+    held = sorted((r._range, r.n) for r in spark.read.schema("_range int, n long").parquet(f"{path}/directory").collect())  # a row for each range
+    n = sum(of for _, of in held)
+    start, before, wanted = 0 if offset > n else offset, 0, F.lit(False)
+    for number, of in held:
+        if before + of > start and before < start + size:
+            wanted = wanted | ((F.col("_range") == number) & (F.col("_place") >= max(0, start - before)) & (F.col("_place") < start + size - before))
+        before += of
+    shown = rows.where(wanted).drop("_range", "_place").orderBy(key)
+    return shown.withColumn("has_next", F.lit(n - start > size))

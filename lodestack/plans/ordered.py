@@ -1,10 +1,11 @@
-"""Queries that join by order: ranges, times, sessions of skewed keys, streams that wait and meet."""
+"""Queries that depend on order or time: range and as-of joins, sessions of skewed keys, streams that wait and meet, folds, pages; and sketches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.operators import kv, ranges
+from lodestack.functions import tables
+from lodestack.operators import folds, kv, ranges, sketches
 from lodestack.sources.staging import new_path
 from lodestack.sources.tables import read, stream
 from lodestack.streaming import deferral, joins, sessions
@@ -100,7 +101,7 @@ def _attempts(events):
 @query(_GRANTS)
 def deferred(spark, d):
     """Each attempt with the time its user's pause lets it through."""
-    return deferral.deferred(_attempts(read(spark, d, "events"))).select("host", "url", F.unix_millis("asked").alias("asked"), F.unix_millis("granted").alias("granted"))
+    return deferral.deferred(_attempts(read(spark, d, "events")), _PAUSE).select("host", "url", F.unix_millis("asked").alias("asked"), F.unix_millis("granted").alias("granted"))
 
 
 @query(_GRANTS)
@@ -132,3 +133,69 @@ def stream_stream_join(spark, d):
     met.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
     kinds = {c: F.col(c).cast("timestamp_ntz") for c in ("ts", "ping_ts")}
     return spark.read.schema(met.schema).parquet(sink).withColumns(kinds)
+
+
+_STREAK = """
+SELECT {key}sum(n) :: BIGINT AS n, max(n) :: BIGINT AS longest FROM (
+  SELECT {key}{value}, count(*) AS n FROM (
+    SELECT *, row_number() OVER ({part} ORDER BY {order}) - row_number() OVER (PARTITION BY {key}{value} ORDER BY {order}) AS island FROM {table}
+  ) GROUP BY {key}{value}, island
+) {group}
+"""
+
+
+@query(_STREAK.format(key="", value="l_returnflag", part="", order="l_orderkey, l_linenumber", table="lineitem", group=""))
+def bag_fold_tree(spark, d):
+    """The longest run of one flag over all lines in order: a fold that is associative and does not commute."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return folds.Streak("l_returnflag").of(lines, ["l_orderkey", "l_linenumber"])
+
+
+@query(_STREAK.format(key="client_id, ", value="status", part="PARTITION BY client_id", order="sold_at NULLS FIRST, sale_id", table="sales", group="GROUP BY client_id"))
+def pair_fold_tree(spark, d):
+    """The longest run of one status among each client's sales; a client may have a third of them."""
+    return folds.Streak("status").of(read(spark, d, "sales").select("client_id", "sold_at", "sale_id", "status"), ["sold_at", "sale_id"], ["client_id"])
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM lineitem), s AS (SELECT CASE WHEN n > 50000 THEN 45000 ELSE n // 2 END AS s FROM n),
+     r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)
+SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '.' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') AS row_key, n - s > 25 AS has_next FROM r, n, s WHERE i >= s AND i < s + 25
+""")
+def kv_page_deep(spark, d):
+    """A page from the middle of a table that is stored by ranges of its key."""
+    lines = read(spark, d, "lineitem").select(F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 3, "0")).alias("row_key"))
+    n, path = lines.count(), new_path(spark, "ranked")
+    kv.save_ranked(lines, path)
+    return kv.page_ranked(spark, path, 45_000 if n > 50_000 else n // 2, 25)
+
+
+@query("SELECT event_type, count(*) AS n, true AS items_close, true AS quantiles_close, true AS shared_close FROM events GROUP BY event_type")
+def sketches_of_events(spark, d):
+    """Sketches of each type and day, stored, merged to types, and held against exact figures: the errors are within four standard errors."""
+    events = read(spark, d, "events")
+    path, at = new_path(spark, "sketches"), [0.1, 0.5, 0.9]
+    sketches.sketched(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], F.col("user_id"), F.col("value")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    made = sketches.estimates(sketches.merged(stored, ["event_type"]), at)
+    early, late = (sketches.merged(stored.where(f"day {op} date'2024-01-15'"), ["event_type"]) for op in ("<", ">="))
+    made = made.join(sketches.shared_items(early, late, "event_type"), "event_type")
+    seen = events.groupBy("event_type", "user_id").agg(F.bool_or(F.to_date("ts") < F.lit("2024-01-15")).alias("early"), F.bool_or(F.to_date("ts") >= F.lit("2024-01-15")).alias("late"))
+    exact = seen.groupBy("event_type").agg(F.count("user_id").alias("users"), F.count_if(F.col("early") & F.col("late") & F.col("user_id").isNotNull()).alias("both"))
+    below = events.join(made.select("event_type", "quantiles"), "event_type").groupBy("event_type").agg(*[F.avg((F.col("value") <= F.col("quantiles")[k]).cast("double")).alias(f"r{k}") for k in range(len(at))])
+    close = lambda a, b, most: F.abs(a - b) <= most
+    ranks = F.forall(F.array(*[close(F.col(f"r{k}"), F.lit(q), 0.02) for k, q in enumerate(at)]), lambda ok: ok)
+    out = made.join(exact, "event_type").join(below, "event_type")
+    return out.select("event_type", "n", close(F.col("n_items"), F.col("users"), 4 * 0.017 * F.col("users") + 1).alias("items_close"), ranks.alias("quantiles_close"), close(F.col("n_shared"), F.col("both"), 4 * 0.017 * F.col("users") + 1).alias("shared_close"))
+
+
+@query(r"""
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, i) AS n, CAST(row_number() OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS INTEGER) AS pos, w AS piece FROM (
+  SELECT conv_id, turn, text, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM conversations)
+)
+""")
+def table_function(spark, d):
+    """A one-to-many parser as a table function: the words of each conversation, numbered through its turns."""
+    tables.register(spark)
+    said = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    return spark.sql(r"SELECT conv_id, turn, n, pos, piece FROM pieces(TABLE({said}) PARTITION BY conv_id ORDER BY (turn, text), 'text', '[ \\t\\n\\x0B\\f\\r]+')", said=said)

@@ -6,15 +6,20 @@ fetcher only has to give the same columns for a frontier of URLs.
 
 from __future__ import annotations
 
+import heapq
+import time
 import urllib.error
 import urllib.request
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import urls
 from lodestack.session import make_importable
 
 SCHEMA = "url string, status int, content_type string, content_length long, location string, page string, fetched timestamp"
@@ -39,13 +44,20 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
-def fetch(urls: DataFrame, agent: str, timeout: float = 10.0) -> DataFrame:
-    """Answers of the live web for ``urls(url)``.
+#: Answers in one batch of a live fetch.
+BATCH = 64
+
+
+def fetch(urls_: DataFrame, agent: str, timeout: float = 10.0, workers: int = 8, pause: float = 0.0) -> DataFrame:
+    """Answers of the live web for ``urls_(url)``.
 
     Each URL is asked for its headers first; only one that answers 200 is then
     fetched, and the status of that fetch counts. Redirects are reported, not
     followed. A URL that cannot be reached has no row; one whose headers came
     and whose page did not has a row without a page.
+
+    A host's URLs are in one task, which asks them one after another with
+    ``pause`` seconds between; meanwhile it asks up to ``workers`` other hosts.
     """
 
     def ask(opener, url: str, method: str):
@@ -73,12 +85,36 @@ def fetch(urls: DataFrame, agent: str, timeout: float = 10.0) -> DataFrame:
         target = headers.get("Location") if status in MOVED else None
         return url, status, headers.get("Content-Type"), size, target, page, datetime.now(timezone.utc)
 
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["url", "status", "content_type", "content_length", "location", "page", "fetched"])
+        return out.astype({"status": "int32", "content_length": "Int64", "fetched": "datetime64[us, UTC]"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opener = urllib.request.build_opener(_NoRedirect)
+        opener, waiting = urllib.request.build_opener(_NoRedirect), defaultdict(deque)
         for batch in batches:
-            rows = [row for url in batch["url"] if (row := answer(opener, url)) is not None]
-            out = pd.DataFrame(rows, columns=["url", "status", "content_type", "content_length", "location", "page", "fetched"])
-            yield out.astype({"status": "int32", "content_length": "Int64", "fetched": "datetime64[us, UTC]"})
-
-    make_importable(urls.sparkSession)
-    return urls.select("url").mapInPandas(run, SCHEMA)
+            for host, url in zip(batch["host"], batch["url"], strict=True):
+                waiting[host].append(url)
+        ready, asked, rows = [(0.0, k, host) for k, host in enumerate(waiting)], {}, []
+        with ThreadPoolExecutor(workers) as pool:
+            while ready or asked:
+                while ready and len(asked) < workers and ready[0][0] <= time.monotonic():
+                    _, k, host = heapq.heappop(ready)
+                    asked[pool.submit(answer, opener, waiting[host].popleft())] = k, host
+                if not asked:
+                    time.sleep(max(0.0, ready[0][0] - time.monotonic()))
+                    continue
+                soon = max(0.0, ready[0][0] - time.monotonic()) if ready and len(asked) < workers else None
+                for done in wait(asked, timeout=soon, return_when=FIRST_COMPLETED).done:
+                    k, host = asked.pop(done)
+                    if waiting[host]:
+                        heapq.heappush(ready, (time.monotonic() + pause, k, host))
+                    if (row := done.result()) is not None:
+                        rows.append(row)
+                if len(rows) >= BATCH:
+                    yield made(rows)
+                    rows = []
+        yield made(rows)
+
+    make_importable(urls_.sparkSession)
+    hosted = urls_.select(urls.host(F.col("url")).alias("host"), "url")
+    return hosted.repartition("host").sortWithinPartitions("host", "url").mapInPandas(run, SCHEMA)
