@@ -5,8 +5,10 @@ article by its element, role or class name is pruned. Paragraphs earn points
 for length and commas and pass them to their ancestors: all to the container
 they stand in, half of a container's points to the next, and so on. A
 container's points are discounted by its link density. The best container, or
-the article element that holds it, is kept with those siblings that score well
-or are running text. Every step is linear in the page, whatever the markup.
+the article element that holds it, is kept with those siblings that score well,
+are of its own kind or are running text. From what is kept go lists of links
+before the first paragraph, and what follows a heading over reader comments.
+Every step is linear in the page, whatever the markup.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ TEXT_BLOCKS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 l
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 #: Words of class and id that mark what stands around an article.
 AROUND = frozenset(
-    "ad adbox ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signin signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad adbox ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies crumb crumbs discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond response responses share sharing sidebar signin signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
 #: Of these, the ones that a word for the article outweighs.
 WEAK = frozenset("banner discussion form header notice social teaser".split())
@@ -57,8 +59,18 @@ WITHIN = frozenset("article articlebody content entry main post story".split())
 OTHERS = frozenset("comment comments commentlist discussion disqus recommended related replies respond teaser".split())
 #: A compound is a mark only if its other words are of these: ``left-sidebar`` and ``comment-list`` are, ``social-science``, ``ad-hoc`` and ``layout-with-sidebar`` are not.
 PARTS = frozenset(
-    "area article articles bar block blocks body bottom box button buttons center column container content copyright desktop entry first fixed floating foot global group head holder icon icons inline inner item items last left legal link links list logo main message middle mobile module outer page panel post posts primary right row second secondary section side site slot sticky stories story strip text title top unit wrap wrapper zone".split()
+    "area article articles bar block blocks body bottom box button buttons center column container content copyright desktop entry first fixed floating foot global google group head holder icon icons inline inner item items last left legal link links list logo main message middle mobile module outer page panel post posts primary reader readers right row second secondary section side site slot sticky stories story strip text thread threads title top unit user users visitor visitors wrap wrapper x zone".split()
 )
+#: Whatever else stands in the name, these mark reader comments or adverts,
+CERTAIN = frozenset("adsense adslot ads advert adverts advertisement comment commentlist comments disqus".split())
+#: unless it says of an article whether it has any.
+STATES = frozenset("allowed closed disabled enabled has hide no off on open show with without".split())
+#: A heading over reader comments; what is under it goes if it is no running text.
+COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:(?:user|reader)s?['’]?\s+)?(?:comments?|responses|replies|commentaires?|kommentare?|comentarios?|leave a (?:comment|reply)|join the (?:conversation|discussion))\W*(?:\d+\W*)?", re.I)
+#: Words of class and id of a line in an article's header that is not its lead.
+BYLINES = frozenset("author authors byline credit date dateline meta posted published share tags time timestamp updated".split())
+#: Characters of a paragraph that is running text.
+RUNNING = 40
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -143,6 +155,8 @@ def parse(html: str) -> Node:
 def _marks(names: list[str]) -> set[str]:
     """The words of class names and ids that mark what stands around an article."""
     split = [[w.lower() for w in _WORDS.findall(n)] for n in names]
+    if any(w in CERTAIN for ws in split if STATES.isdisjoint(ws) for w in ws):
+        return {w for ws in split if STATES.isdisjoint(ws) for w in ws if w in CERTAIN}
     hits = {w for ws in split if all(w in AROUND or w in PARTS or w.isdigit() for w in ws) for w in ws if w in AROUND}
     return set() if hits <= WEAK and any(w in WITHIN for ws in split for w in ws) else hits
 
@@ -167,6 +181,11 @@ def _around(node: Node, wraps: bool = False) -> bool:
     return bool(hits) and not (wraps and hits.isdisjoint(OTHERS))
 
 
+def _class_words(node: Node) -> set[str]:
+    attrs = _attributes(node.attrs) if node.attrs else {}
+    return {w.lower() for n in (attrs.get("class", ""), attrs.get("id", "")) for w in _WORDS.findall(n)}
+
+
 def _totals(nodes: list[Node], counts) -> dict[int, int]:
     """By id of each element, the sum of ``counts(element)`` over it and all below it; ``nodes`` are in page order."""
     total = {id(n): int(counts(n)) for n in nodes}
@@ -190,7 +209,7 @@ def _wrappers(root: Node) -> set[int]:
         return out
     beside: set[int] = set()
     for n in nodes:
-        if n.parent is not None and (id(n.parent) in beside or n.name != "form" and _around(n, True)):
+        if n.parent is not None and (id(n.parent) in beside or n.name != "form" and _around(n, True) and articles[id(n)] < articles[id(root)]):
             beside.add(id(n))
     for name in ("main", "article"):
         held = _totals(nodes, lambda n, name=name: n.name == name and id(n) not in beside)
@@ -200,7 +219,7 @@ def _wrappers(root: Node) -> set[int]:
 
 
 def _prune(root: Node) -> None:
-    todo, wrappers = [(root, False, False)], _wrappers(root)
+    todo, wrappers, sizes = [(root, False, False)], _wrappers(root), _measure(root)
     while todo:
         node, in_article, in_text = todo.pop()
         in_article |= node.name in ("article", "main")
@@ -214,20 +233,22 @@ def _prune(root: Node) -> None:
                     kept.append(" ")
                     continue
                 if child.name == "header":
-                    child.children = _headings(child)
+                    child.children = _headings_and_lead(child, sizes)
                 todo.append((child, in_article, in_text))
             kept.append(child)
         node.children = kept
 
 
-def _headings(node: Node) -> list[Node]:
+def _headings_and_lead(node: Node, sizes: dict[int, tuple[int, int]]) -> list[Node]:
+    """Of an article's header, the headings, and paragraphs of running text that are no byline."""
     out, todo = [], [node]
     while todo:
         for child in reversed(todo.pop().children):
-            if isinstance(child, Node):
-                if child.name in HEADINGS:
+            if isinstance(child, Node) and not _around(child):
+                total, links = sizes[id(child)]
+                if child.name in HEADINGS or child.name == "p" and total >= RUNNING and links < 0.25 * total and BYLINES.isdisjoint(_class_words(child)):
                     out.append(child)
-                else:
+                elif BYLINES.isdisjoint(_class_words(child)):
                     todo.append(child)
     return out[::-1]
 
@@ -337,12 +358,17 @@ def best_container(root: Node) -> list[Node | str]:
     if top.parent is None or top.name in ("body", "main"):
         return [top]
 
+    def kind(n: Node) -> tuple[str, str]:
+        return n.name, " ".join(sorted(_attributes(n.attrs).get("class", "").split())) if n.attrs else ""
+
     def stays(unit: list[Node | str]) -> bool:
         c = unit[0]
         if unit == [top] or isinstance(c, Node) and c.name == "article":
             return True
         if isinstance(c, Node) and c.name in BLOCK and (worth(c) >= 0.2 * worth(best) or _is_heading(c, sizes)):
             return True
+        if isinstance(c, Node) and kind(c) == kind(top) and _links(sizes[id(c)]) < 0.25:
+            return True
         if isinstance(c, Node) and c.name in BLOCK and c.name not in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", *HEADINGS):
             return False
         own = [sizes[id(x)] if isinstance(x, Node) else (len(x.strip()), 0) for x in unit]
@@ -352,6 +378,36 @@ def best_container(root: Node) -> list[Node | str]:
     return [c for unit in _units(top.parent) if stays(unit) for c in unit]
 
 
+def _tidy(nodes: list[Node | str]) -> list[Node | str]:
+    """Without lists of links before the first paragraph of running text, and without what stands under a heading over reader comments."""
+    top = Node("#kept", "", None)
+    top.children = nodes
+    sizes = _measure(top)
+    todo: list[Node] = []
+    for n in _elements(top):
+        total, links = sizes[id(n)]
+        if n.name in ("p", "pre", "blockquote") and total >= RUNNING and links < 0.25 * total:
+            break
+        if n.name in ("ul", "ol") and total and links >= 0.9 * total:
+            todo.append(n)
+    gone = {id(n) for n in todo}
+    for n in list(_elements(top)):
+        kept: list[Node | str] = []
+        level, skips = 0, False
+        blocks_ = [c for c in n.children if isinstance(c, Node) and c.name in BLOCK]
+        following = dict(zip(map(id, blocks_), blocks_[1:], strict=False))
+        for c in n.children:
+            if isinstance(c, Node) and c.name in HEADINGS:
+                if not skips or int(c.name[1]) <= level:
+                    after = following.get(id(c))
+                    skips = after is not None and after.name in ("ul", "ol", "dl", "div", "section", "article") and COMMENTS.fullmatch(unescape(_own_text(c)).strip()) is not None
+                    level = int(c.name[1])
+            if not skips and not (isinstance(c, Node) and id(c) in gone):
+                kept.append(c)
+        n.children = kept
+    return top.children
+
+
 def _is_heading(node: Node, sizes: dict[int, tuple[int, int]]) -> bool:
     """Whether all text of an element is a title."""
     total = sizes[id(node)][0]
@@ -365,7 +421,7 @@ def blocks(nodes: list[Node | str]) -> list[str]:
 
     def flush() -> None:
         if now:
-            text = " ".join(unescape("".join(now)).split())
+            text = " ".join("".join(now).split())
             now.clear()
             if text:
                 out.append(text)
@@ -376,7 +432,7 @@ def blocks(nodes: list[Node | str]) -> list[str]:
         if c is None:
             flush()
         elif isinstance(c, str):
-            now.append(c)
+            now.append(unescape(c))  # a reference ends with its text node
         elif c.name == "br":
             now.append(" ")
         elif c.name in BLOCK or c.name == "#root":
@@ -395,7 +451,7 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     _prune(root)
-    return "\n".join(blocks(best_container(root)))
+    return "\n".join(blocks(_tidy(best_container(root))))
 
 
 def plain_text(html: str | None) -> str:

@@ -540,3 +540,34 @@ def test_sources_equal_counting_every_earlier_turn(spark):
 def test_no_python_on_the_quotation_path(spark):
     plan = quotes.digests(quotes.threads(spark.createDataFrame([(1, 0, "a", "> x\ny")], CHAT)))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+_TEXT = "The committee met on Tuesday, and after a long debate, it agreed to publish the whole report without any changes."
+_MORE = "Members said that the figures, which had been checked twice, would be open to everyone, and that the talks would go on."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # reader comments, by name and by structure
+        (f"<article><h1>T</h1><p>{_TEXT}</p><div class='user-comments'><p>{_MORE}</p></div></article>", f"T\n{_TEXT}"),
+        (f"<article><p>{_TEXT}</p><section id='comment-thread'><article><p>{_MORE}</p></article></section></article>", _TEXT),
+        (f"<div class='x'><p>{_TEXT}</p></div><ol class='responses'><li>{_MORE}</li><li>{_MORE}</li></ol>", _TEXT),
+        (f"<article><p>{_TEXT}</p><h2>Comments</h2><ul><li>{_MORE}</li></ul></article>", _TEXT),
+        (f"<article><p>{_TEXT}</p><h2>12 Comments</h2><ul><li>{_MORE}</li></ul><h2>Next part</h2><p>{_MORE}</p></article>", f"{_TEXT}\nNext part\n{_MORE}"),
+        (f"<article><h2>Comments</h2><p>{_TEXT}</p></article>", f"Comments\n{_TEXT}"),
+        (f"<div class='post comments-open'><p>{_TEXT}</p></div>", _TEXT),
+        # adverts and menus
+        (f"<article><p>{_TEXT}</p><div class='ad_300x250'><p>{_MORE}</p></div><div id='google_ads_1'>{_MORE}</div></article>", _TEXT),
+        (f"<main><ul class='crumbs'><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul><h1>T</h1><p>{_TEXT}</p></main>", f"T\n{_TEXT}"),
+        (f"<main><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul><h1>T</h1><p>{_TEXT}</p><ul><li><a href='/s'>Source</a></li></ul></main>", f"T\n{_TEXT}\nSource"),
+        # whole articles
+        (f"<div class='body'><div class='sec'><p>{_TEXT}</p><p>{_MORE}</p></div><div class='sec'><p>Short end.</p></div></div>", f"{_TEXT}\n{_MORE}\nShort end."),
+        (f"<article><header><h1>T</h1><p class='byline'>By A Writer of the paper, in the city of somewhere</p><p>{_MORE}</p><ul><li><a href='/'>Share</a></li></ul></header><p>{_TEXT}</p></article>", f"T\n{_MORE}\n{_TEXT}"),
+        # references end with their text node
+        (f"<article><p>{_TEXT} 5 &l<b></b>t; 6 &amp;<i>lt;</i></p></article>", f"{_TEXT} 5 &lt; 6 &lt;"),
+    ],
+)
+def test_what_is_the_article(html, want):
+    for page in (html, f"<html><body><nav><a href='/'>x</a></nav>{html}<footer>f</footer></body></html>"):
+        assert html_extract.main_text(page) == want
