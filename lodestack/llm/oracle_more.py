@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES
+from .licenses import TEMPLATES, needs
 
 
 def _words(text: str) -> str:
@@ -43,6 +43,8 @@ SELECT p.page_id, p.url, coalesce(text, '') AS text, CAST(length(coalesce(text,
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 
+_NEEDED = ", ".join(f"({t}, {k}, '{w}')" for k, (t, words) in enumerate(needs(TEMPLATES)) for w in words)
+
 OP8 = f"""
 WITH t(tid, name, text) AS (VALUES {_TEMPLATE_ROWS}),
 tw AS (SELECT tid, w, count(*) AS tf FROM (SELECT tid, unnest({_words('text')}) AS w FROM t) GROUP BY ALL),
@@ -51,18 +53,24 @@ df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_word
 idf AS (SELECT DISTINCT tw.w, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tw LEFT JOIN df ON df.w = tw.w, n),
 tv AS (SELECT tid, w, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY tid)) AS v FROM tw JOIN idf USING (w)),
 lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, text FROM documents),
+one AS (SELECT doc_id, i - 1 AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines)),
+worded AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM one WHERE len({_words('text')}) > 0),
 units AS (
-  SELECT doc_id, i - 1 AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines)
-  UNION ALL SELECT doc_id, NULL, text FROM lines
+  SELECT doc_id, 0 AS kind, line, text FROM one
+  UNION ALL SELECT doc_id, 1, min(line), string_agg(text, chr(10) ORDER BY line) FROM worded GROUP BY doc_id, run HAVING count(*) > 1
+  UNION ALL SELECT doc_id, 2, -1, text FROM lines
 ),
-uw AS (SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest({_words('text')}) AS w FROM units) GROUP BY ALL),
-uv AS (SELECT doc_id, line, uw.w, tf * coalesce(idf, ln(n + 1) + 1) AS v FROM uw LEFT JOIN idf ON idf.w = uw.w, n),
-norm AS (SELECT doc_id, line, sqrt(sum(v * v)) AS norm FROM uv GROUP BY ALL),
-cos AS (
-  SELECT uv.doc_id, uv.line, tid, sum(uv.v * tv.v) / any_value(norm) AS c
-  FROM uv JOIN tv ON tv.w = uv.w JOIN norm ON norm.doc_id = uv.doc_id AND norm.line IS NOT DISTINCT FROM uv.line GROUP BY ALL
+uw AS (SELECT doc_id, kind, line, w, count(*) AS tf FROM (SELECT doc_id, kind, line, unnest({_words('text')}) AS w FROM units) GROUP BY ALL),
+uv AS (SELECT doc_id, kind, line, uw.w, tf * coalesce(idf, ln(n + 1) + 1) AS v FROM uw LEFT JOIN idf ON idf.w = uw.w, n),
+norm AS (SELECT doc_id, kind, line, sqrt(sum(v * v)) AS norm FROM uv GROUP BY ALL),
+cos AS (SELECT uv.doc_id, uv.kind, uv.line, tid, sum(uv.v * tv.v) / any_value(norm) AS c FROM uv JOIN tv ON tv.w = uv.w JOIN norm USING (doc_id, kind, line) GROUP BY ALL),
+need(tid, nid, w) AS (VALUES {_NEEDED}),
+needed AS (SELECT tid, count(DISTINCT nid) AS k FROM need GROUP BY tid),
+has AS (SELECT doc_id, kind, line, tid, count(DISTINCT nid) AS k FROM uw JOIN need USING (w) GROUP BY ALL),
+best AS (
+  SELECT doc_id, CASE WHEN kind < 2 THEN line END AS line, name, c FROM cos JOIN t USING (tid) LEFT JOIN needed USING (tid) LEFT JOIN has USING (doc_id, kind, line, tid)
+  WHERE c >= 0.6 AND coalesce(has.k, 0) = coalesce(needed.k, 0) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, kind, line, tid) = 1
 ),
-best AS (SELECT doc_id, line, name, c FROM cos JOIN t USING (tid) WHERE c >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, line NULLS LAST, tid) = 1),
 files AS (
   SELECT d.doc_id, coalesce(source, 'unknown') || '/' || d.doc_id // 1000 || '/' || d.doc_id // 100 AS dir,
          CASE WHEN d.doc_id % 100 = 0 THEN 'LICENSE' ELSE d.doc_id || '.txt' END AS file, name, c, line

@@ -424,17 +424,63 @@ def test_licences_match_brute_force(spark):
     texts += [(200, None), (201, ""), (202, "\n\n")]
     df = Counter(w for _, t in texts for w in set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())))
     got = {r.key: r for r in licenses.own_licences(spark.createDataFrame(texts, DOCS).repartition(3)).collect()}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for i, t in texts:
-        units = [*(t or "").split("\n"), t or ""]
-        best = max(brute_cosine(u, tpl, df, len(texts)) for u in units for _, tpl in licenses.TEMPLATES)
-        if best >= 0.6:
-            assert got[i].own_score == pytest.approx(best)
-            unit = units[got[i].in_line] if got[i].in_line is not None else t
-            assert max(brute_cosine(unit, tpl, df, len(texts)) for name, tpl in licenses.TEMPLATES if name == got[i].own_license) == pytest.approx(best)
+        lines, runs = (t or "").split("\n"), []
+        for k, line in enumerate(lines):
+            if word.search(line.lower()):
+                runs.append([k]) if not runs or runs[-1][-1] < k - 1 else runs[-1].append(k)
+        units = [(0, k, x) for k, x in enumerate(lines)] + [(1, r[0], "\n".join(lines[k] for k in r)) for r in runs if len(r) > 1] + [(2, None, t or "")]
+        ranked = []
+        for kind, k, u in units:
+            has = set(word.findall(u.lower()))
+            for tid, (name, tpl) in enumerate(licenses.TEMPLATES):
+                if all(has & set(ws) for of, ws in licenses.needs(licenses.TEMPLATES) if of == tid):
+                    ranked.append((-round(brute_cosine(u, tpl, df, len(texts)), 9), kind, k or 0, tid, name, k))
+        best = min(ranked)
+        if -best[0] >= 0.6:
+            assert (got[i].own_license, got[i].in_line) == best[4:] and got[i].own_score == pytest.approx(-best[0]), (i, t)
         else:
             assert got[i].own_license is None
 
 
+def wrapped(text, width, mark=" * "):
+    out = [""]
+    for w in text.split():
+        if len(out[-1]) + len(w) >= width:
+            out.append("")
+        out[-1] += f" {w}" if out[-1] else w
+    return "\n".join(mark + x for x in out)
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000])
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.3])
+def test_near_licences_are_told_apart(n, share):
+    owner = "Copyright (C) 2024 Some Person." if share < 0.3 else ""
+    gpl = owner + " This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+    bsd = licenses._BSD
+    notices = {
+        "GPL-2.0": gpl.format("General Public License", 2),
+        "GPL-3.0": gpl.format("General Public License", 3).replace("software;", "software:"),
+        "AGPL-3.0": gpl.format("Affero General Public License", 3),
+        "LGPL-2.1": gpl.format("Lesser General Public License", "2.1").replace("program", "library"),
+        "BSD-2-Clause": f"{owner}\n{bsd}",
+        "BSD-3-Clause": f"{owner}\n{bsd} 3. {licenses._BSD3}",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    }
+    words = {w for _, t in licenses.TEMPLATES for w in licenses._hashes(t).view(np.int64).tolist()}
+    matcher = licenses.Matcher(licenses.TEMPLATES, dict.fromkeys(words, int(share * n)), n, 0.6)
+    code = "\n".join(f"value_{k} = compute_{k}(argument_{k}) + offset_{k % 7}" for k in range(60))
+    for name, text in notices.items():
+        for width in (40, 72, 10**6):
+            raw = f"{code}\n/*\n{wrapped(text, width)}\n */\n{code}".encode()
+            best, found, place = matcher.best(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert licenses.TEMPLATES[found[0]][0] == name and best[0] >= 0.6 and place[0] >= 61, (name, width, share, best)
+    versionless = "This work is licensed under the GNU General Public License.".encode()
+    best, found, _ = matcher.best(np.frombuffer(versionless, np.uint8), np.array([0, len(versionless)]))
+    assert found[0] < 0 or best[0] < 0.6 or not licenses.TEMPLATES[found[0]][0].startswith("GPL")
+
+
 def test_licences_of_awkward_files(spark):
     mit = "Released under the MIT License."
     files = [("a/LICENSE", mit), ("a/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/x", "word " * 200_000 + "\n" + mit), ("a/y", ""), ("a/y", "")]
