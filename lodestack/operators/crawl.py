@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import urls
 from lodestack.operators import robots
+from lodestack.operators.seen import SeenSet
 from lodestack.sources.staging import staged
 
 REDIRECTS = (301, 307, 308)
@@ -120,13 +121,14 @@ def crawl(
     gives for a table of hosts: it is asked once for each host, when the crawl
     first meets it. With ``per_host``, URLs beyond it wait for later rounds.
 
-    What a round adds (URLs seen, answers, refusals, rules) is staged and
-    appended, nothing is written twice but for a merge every ``MERGED`` rounds;
-    the driver holds counts only. A crawl that is not over after ``max_rounds``
+    What a round adds (answers, refusals, rules) is staged and
+    appended, nothing is written twice but for a merge every ``MERGED`` rounds.
+    URLs seen are a ``SeenSet``: a round looks up only those of its links that the set's
+    filter does not know as new, in their buckets. The driver holds that filter and counts. A crawl that is not over after ``max_rounds``
     raises ``RuntimeError``.
     """
     frontier = staged(seeds.select(urls.seed(F.col("url")).alias("url")).distinct())
-    seen, done = _Log(spark, "url string"), _Log(spark, f"{ANSWER}, round int")
+    seen, done = SeenSet(spark), _Log(spark, f"{ANSWER}, round int")
     banned, known, hosts = _Log(spark, "row_key string, url string, banned string"), _Log(spark, robots.RULES), _Log(spark, "host string")
     for n in count():
         left = frontier.limit(1).count()
@@ -148,8 +150,8 @@ def crawl(
             slots = staged(schedule(allowed, per_host).select("url", "slot"))
             now, later = slots.where("slot = 0").select("url"), slots.where("slot > 0").select("url")
         answers = done.add(fetch(now).withColumn("round", F.lit(n)))
-        seen.add(frontier if later is None else frontier.join(later, "url", "left_anti"))
-        found = links(answers.where("status = 200")).unionByName(redirects(answers)).select(F.col("target").alias("url")).distinct().join(seen.read(), "url", "left_anti")
+        seen.add(frontier if later is None else staged(frontier.join(later, "url", "left_anti")))
+        found = seen.unseen(links(answers.where("status = 200")).unionByName(redirects(answers)).select(F.col("target").alias("url")).distinct())
         frontier = staged(found if later is None else found.unionByName(later).distinct())
     return crawl_rows(done.read()), banned.read()
 
