@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.session import make_importable
@@ -295,19 +295,20 @@ def read(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame
     def run(batches):
         """Records, and with null headers the parts of those that begin or end in another split."""
         at, made, n, lead = None, Assembler(), 0, False
-        rows, paths, held = [], [], 0
+        rows, paths, begins, held = [], [], [], 0
 
         def flush():
-            nonlocal rows, paths, held
+            nonlocal rows, paths, begins, held
             out = _batch(rows)
-            rows, held = [], 0
-            paths, full = [], pa.array(paths, pa.string())
-            return pa.RecordBatch.from_arrays([*out.columns, full], names=[*out.schema.names, "path"])
+            more = [pa.array(paths, pa.string()), pa.array(begins, pa.bool_())]
+            rows, paths, begins, held = [], [], [], 0
+            return pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, "path", "begins"])
 
-        def add(headers, block):
+        def add(headers, block, begun=True):
             nonlocal n, held
             rows.append((at[1] + n, headers, block))
             paths.append(at[0])
+            begins.append(begun)
             n += 1
             held += len(block)
 
@@ -323,7 +324,7 @@ def read(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame
                 if record is not None:
                     add(*record)
                 elif lead:
-                    add(None, raw)
+                    add(None, raw, False)
                 if held > FLUSH or len(rows) >= 1000:
                     yield flush()
         if made.open is not None:
@@ -331,20 +332,25 @@ def read(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame
         yield flush()
 
     def joined(part: pa.Table) -> pa.Table:
+        """The record that begins in one split and ends in another."""
         made, rows = Assembler(), []
         part = part.sort_by("key")
-        for key, block in zip(part["key"].to_pylist(), part["block"].to_pylist(), strict=True):
-            if made.open is None or _HEAD.match(block):
-                made, first = Assembler(), key
+        for block in part["block"].to_pylist():
             if (record := made.feed(block)) is not None:
-                rows.append((first, *record))
+                rows.append((part["first"][0].as_py(), *record))
+                break
         out = _batch(rows)
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([*out.columns, pa.array([part["path"][0].as_py()] * len(rows), pa.string())], names=[*out.schema.names, "path"])])
 
     kind = RECORD + ", path string"
-    whole, split = pieces("*.gz").mapInArrow(run, kind), pieces("*[^z]").mapInArrow(run, kind)
-    parts = split.where("headers is null").groupBy("path").applyInArrow(joined, kind)
-    return whole.where("headers is not null").unionByName(split.where("headers is not null")).unionByName(parts)
+    whole, split = (pieces(names).mapInArrow(run, kind + ", begins boolean") for names in ("*.gz", "*[^z]"))
+    records = [found.where("headers is not null").drop("begins") for found in (whole, split)]
+    # Each border has a group of its own: what begins before it, and what follows up to the next beginning. The place of that is found without the blocks.
+    parts = scratch.table(split.where("headers is null"))
+    earlier = Window.partitionBy("path").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = parts.select("path", "key", F.last(F.when(F.col("begins"), F.col("key")), ignorenulls=True).over(earlier).alias("first")).where("first is not null")
+    over = parts.join(places, ["path", "key"]).select("path", "key", "first", "block").groupBy("path", "first").applyInArrow(joined, kind)
+    return records[0].unionByName(records[1]).unionByName(over)
 
 
 def digests(derived: DataFrame) -> DataFrame:

@@ -617,3 +617,25 @@ _MORE = "Members said that the figures, which had been checked twice, would be o
 def test_what_is_the_article(html, want):
     for page in (html, f"<html><body><nav><a href='/'>x</a></nav>{html}<footer>f</footer></body></html>"):
         assert html_extract.main_text(page) == want
+
+
+def test_every_border_of_a_file_is_mended_alone(spark, tmp_path):
+    rng = random.Random(8)
+    made, raw = [], b""
+    for k in range(120):
+        block = rng.choice([b"x WARC/1.0 y ", b"plain "]) * rng.choice([1, 40, 900])
+        made.append((f"<urn:{k}>", block))
+        raw += f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(raw)
+    (tmp_path / "b.warc").write_bytes(raw)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = warc.read(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("a.warc", "b.warc"):
+        mine = sorted((r for r in found if r.path.endswith(name)), key=lambda r: r.key)
+        assert [(dict(map(tuple, r.headers))["WARC-Record-ID"], bytes(r.block)) for r in mine] == made
