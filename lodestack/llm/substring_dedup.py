@@ -173,12 +173,11 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 rows, place = pa.array(lo + doc[first]), (at - words.first[doc])[first].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[first, 0]), pa.array(prints[first, 1]), ids.take(rows), loose.take(rows), pa.array(place)], names=["a", "b", "doc", "loose", "place"])
 
-    def candidates() -> DataFrame:
-        return src.mapInArrow(windows, "a long, b long, doc long, loose long, place int")
-
+    # Written once: grouping and the join back read the windows, not the texts.
+    found = scratch.table(src.mapInArrow(windows, "a long, b long, doc long, loose long, place int"))
     latest = F.max(F.coalesce("doc", F.lit(LAST))).alias("latest")
-    owners = scratch.table(candidates().groupBy("a", "b").agg(F.min("doc").alias("owner"), latest).where("owner < latest").drop("latest"))
-    hits = candidates().join(owners.hint("merge"), ["a", "b"]).where("doc > owner or doc is null")
+    owners = scratch.table(found.groupBy("a", "b").agg(F.min("doc").alias("owner"), latest).where("owner < latest").drop("latest"))
+    hits = found.join(owners.hint("merge"), ["a", "b"]).where("doc > owner or doc is null")
     gone = hits.groupBy("doc", "loose").agg(F.collect_set("place").alias("gone"))
 
     def marked(batch):
