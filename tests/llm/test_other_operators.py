@@ -639,3 +639,18 @@ def test_every_border_of_a_file_is_mended_alone(spark, tmp_path):
     for name in ("a.warc", "b.warc"):
         mine = sorted((r for r in found if r.path.endswith(name)), key=lambda r: r.key)
         assert [(dict(map(tuple, r.headers))["WARC-Record-ID"], bytes(r.block)) for r in mine] == made
+
+
+def test_queries_start_in_several_shards(spark, rows, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randrange(1, 25)))) for k in range(150)], "doc_id long, text string").repartition(3)
+    queries = docs.where("doc_id % 3 = 0")
+    tables, made = [], bm25.scratch.table
+    monkeypatch.setattr(bm25.scratch, "table", lambda df: tables.append(df) or made(df))
+    rounded = lambda df: rows(df.withColumn("score", F.round("score", 9)))
+    want = rounded(bm25.top_k(docs, queries, k=4))
+    tables.clear()
+    assert rounded(bm25.top_k(docs, queries, k=4, shard_docs=3)) == want
+    begun = next(t for t in tables if t.columns == ["query_id", "doc_id", "score"])
+    held = begun.groupBy(F.spark_partition_id()).agg(F.count_distinct("query_id").alias("n")).collect()
+    assert len(held) > 1 and max(r.n for r in held) < queries.count()
