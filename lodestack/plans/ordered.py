@@ -1,11 +1,13 @@
-"""Queries that depend on order or time: range and as-of joins, sessions of skewed keys, streams that wait and meet, folds, pages; and sketches."""
+"""Queries that depend on order or time: range and as-of joins, sessions of skewed keys, streams that wait and meet, folds, pages; sketches, and what users call from outside."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack import command
 from lodestack.functions import tables
-from lodestack.operators import folds, kv, ranges, sketches
+from lodestack.operators import crawl, folds, kv, ranges, sketches
+from lodestack.sources import web
 from lodestack.sources.staging import new_path
 from lodestack.sources.tables import read, stream
 from lodestack.streaming import deferral, joins, sessions
@@ -199,3 +201,31 @@ def table_function(spark, d):
     tables.register(spark)
     said = read(spark, d, "conversations").select("conv_id", "turn", "text")
     return spark.sql(r"SELECT conv_id, turn, n, pos, piece FROM pieces(TABLE({said}) PARTITION BY conv_id ORDER BY (turn, text), 'text', '[ \\t\\n\\x0B\\f\\r]+')", said=said)
+
+
+@query("""
+SELECT '{"row_key":"' || c_name || '","cols":{"nation":"' || c_nationkey || '","segment":"' || c_mktsegment || '"}}' AS line FROM customer WHERE c_name >= 'Customer#000000050' AND c_name < 'Customer#000000070'
+UNION ALL SELECT c_mktsegment FROM customer WHERE c_name = 'Customer#000000007'
+""")
+def kv_command(spark, d):
+    """The command line over a log of all customers: renamed, then scanned by range, then one cell asked for. What it says goes through the driver."""
+    folder, said = new_path(spark, "tables"), []
+    cols = F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.col("c_mktsegment"))
+    kv.append(read(spark, d, "customer").select(F.col("c_custkey").alias("seq"), F.lit("row").alias("op"), F.col("c_name").alias("row_key"), cols.alias("cols")), f"{folder}/first")
+    for words in (["rename", "first", "customers"], ["scan", "customers", "Customer#000000050", "Customer#000000070"], ["get", "customers", "Customer#000000007", "segment"]):
+        command.run(spark, folder, words, said.append)
+    return spark.createDataFrame([(line,) for line in said], "line string")
+
+
+@query("""
+SELECT DISTINCT CASE WHEN k = 0 THEN u ELSE u || '.missing' END AS url, CASE WHEN k = 0 THEN true END AS answered, CASE WHEN k = 0 THEN strlen(html) END AS content_length, CASE WHEN k = 0 THEN md5(html) END AS digest
+FROM (SELECT regexp_replace(url, '#.*$', '') AS u, html FROM pages QUALIFY count(*) OVER (PARTITION BY regexp_replace(url, '#.*$', '')) = 1), (VALUES (0), (1)) v(k)
+""")
+def fetch_stored(spark, d):
+    """A frontier of all pages that have an address of their own, and as many that nobody has, fetched from the stored web."""
+    pages = read(spark, d, "pages").select(F.regexp_replace("url", "#.*$", "").alias("url"), "html")
+    own = pages.groupBy("url").agg(F.count("*").alias("n"), F.first("html").alias("html")).where("n = 1")
+    frontier = own.select(F.explode(F.array("url", F.concat("url", F.lit(".missing")))).alias("url"))
+    answers = crawl.stored(web.from_pages(own.select("url", "html")))(frontier)
+    told = answers.select("url", (F.col("status") == 200).alias("answered"), "content_length", F.md5(F.col("page").cast("binary")).alias("digest"))
+    return frontier.join(told, "url", "left")
