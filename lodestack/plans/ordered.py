@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestack import command
 from lodestack.functions import tables
 from lodestack.operators import crawl, folds, kv, ranges, sketches
-from lodestack.sources import web
+from lodestack.sources import rowlog, web
 from lodestack.sources.staging import new_path
 from lodestack.sources.tables import read, stream
 from lodestack.streaming import deferral, joins, sessions
@@ -229,3 +229,18 @@ def fetch_stored(spark, d):
     answers = crawl.stored(web.from_pages(own.select("url", "html")))(frontier)
     told = answers.select("url", (F.col("status") == 200).alias("answered"), "content_length", F.md5(F.col("page").cast("binary")).alias("digest"))
     return frontier.join(told, "url", "left")
+
+
+@query("""
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS row_key, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE o_orderstatus END AS status FROM orders
+WHERE lpad(CAST(o_orderkey AS VARCHAR), 12, '0') >= '000000000100' AND lpad(CAST(o_orderkey AS VARCHAR), 12, '0') < '000000010000'
+""")
+def kv_row_log(spark, d):
+    """All orders written as a log of rows, a third of them once more; read by a range of keys, the last row of each key counts."""
+    rowlog.register(spark)
+    orders, path = read(spark, d, "orders"), new_path(spark, "rowlog")
+    row = lambda status: (F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("row_key"), F.create_map(F.lit("status"), status.cast("binary")).alias("cols"), F.lit(0).cast("long").alias("seq"))
+    orders.select(*row(F.col("o_orderstatus"))).repartitionByRange("row_key").write.format("rowlog").mode("append").save(path)
+    orders.where("o_orderkey % 3 = 0").select(*row(F.lit("again"))).write.format("rowlog").mode("append").save(path)
+    log = spark.read.format("rowlog").load(path)
+    return kv.latest_rows(kv.scan(log, "000000000100", "000000010000")).select("row_key", F.col("cols")["status"].cast("string").alias("status"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -72,12 +73,11 @@ def throttled(hits: DataFrame, key: str = "host", ts: str = "ts", pause_ms: int
             return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        out = []
-        for t in rows[ts]:
-            ms = int(t.value // 1_000_000)
-            ok = last is None or ms - last >= pause_ms
-            last = ms if ok else last
-            out.append(ok)
+        at = (rows[ts].astype("datetime64[us]").astype("int64") // 1000).to_numpy()
+        out, next_ = np.zeros(len(at), bool), 0 if last is None else int(np.searchsorted(at, last + pause_ms))
+        while next_ < len(at):  # from one attempt that is let through to the next
+            out[next_], last = True, int(at[next_])
+            next_ = int(np.searchsorted(at, last + pause_ms))
         state.update((last,))
         if forget_ms:
             state.setTimeoutDuration(forget_ms)

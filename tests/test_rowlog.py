@@ -1,0 +1,47 @@
+"""The row log: its records, and Spark reading, writing and streaming it."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestack.operators import kv
+from lodestack.sources import rowlog
+
+
+def test_records():
+    rows = [("k", {}), ("é", {"a": b"1 2\n3", "b": b""}), ("z", {"c": b"x" * 1000})]
+    raw = b"".join(rowlog.encode(k, c) for k, c in rows)
+    assert list(rowlog.decode(raw)) == rows
+    assert rowlog.encode("k", {"a": b"1 2", "n": None}) == b"k a 3 1 2 \n"
+    for cut in range(1, len(rowlog.encode(*rows[2]))):
+        assert list(rowlog.decode(raw[:-cut])) == rows[:2], cut
+    for bad in ("", "a b", "a\n"):
+        with pytest.raises(ValueError, match="white space"):
+            rowlog.encode(bad, {})
+
+
+def test_log_is_written_pruned_and_streamed(spark, tmp_path, monkeypatch):
+    rowlog.register(spark)
+    path, other = str(tmp_path / "log"), f"file://{tmp_path}/log"
+    made = spark.range(4000).select(F.format_string("k%05d", F.col("id")).alias("row_key"), F.create_map(F.lit("v"), F.col("id").cast("string").cast("binary"), F.lit("none"), F.lit(None).cast("binary")).alias("cols"), F.lit(0).cast("long").alias("seq"))
+    made.repartitionByRange(8, "row_key").write.format("rowlog").mode("append").save(path)
+    read = spark.read.format("rowlog").load(path)
+    assert read.count() == 4000 and read.rdd.getNumPartitions() == 8
+    few = read.where("row_key >= 'k01000' and row_key < 'k01010'")
+    assert [r.row_key for r in few.orderBy("row_key").collect()] == [f"k{k:05d}" for k in range(1000, 1010)]
+    assert few.rdd.getNumPartitions() <= 2 and read.where("row_key = 'zzz'").count() == 0
+
+    made.where("row_key < 'k00003'").withColumn("cols", F.create_map(F.lit("w"), F.lit(b"new"))).write.format("rowlog").mode("append").save(other)
+    made.limit(0).write.format("rowlog").mode("append").save(path)
+    now = {r.row_key: r.cols for r in kv.latest_rows(spark.read.format("rowlog").load(other)).where("row_key < 'k00005'").collect()}
+    assert now == {"k00000": {"w": b"new"}, "k00001": {"w": b"new"}, "k00002": {"w": b"new"}, "k00003": {"v": b"3"}, "k00004": {"v": b"4"}}
+
+    def streamed():
+        query = spark.readStream.format("rowlog").load(path).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert streamed() == 4003
+    made.limit(7).write.format("rowlog").mode("append").save(path)
+    assert streamed() == 4010
+    with pytest.raises(Exception, match="only appended"):
+        made.write.format("rowlog").mode("overwrite").save(path)
