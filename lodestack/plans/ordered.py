@@ -146,17 +146,17 @@ SELECT {key}sum(n) :: BIGINT AS n, max(n) :: BIGINT AS longest FROM (
 """
 
 
-@query(_STREAK.format(key="", value="l_returnflag", part="", order="l_orderkey, l_linenumber", table="lineitem", group=""))
+@query(_STREAK.format(key="", value="l_returnflag", part="", order="l_orderkey, l_linenumber, l_returnflag", table="lineitem", group=""))
 def bag_fold_tree(spark, d):
     """The longest run of one flag over all lines in order: a fold that is associative and does not commute."""
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return folds.Streak("l_returnflag").of(lines, ["l_orderkey", "l_linenumber"])
+    return folds.Streak("l_returnflag").of(lines, ["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
-@query(_STREAK.format(key="client_id, ", value="status", part="PARTITION BY client_id", order="sold_at NULLS FIRST, sale_id", table="sales", group="GROUP BY client_id"))
+@query(_STREAK.format(key="client_id, ", value="status", part="PARTITION BY client_id", order="sold_at NULLS FIRST, sale_id, status NULLS FIRST", table="sales", group="GROUP BY client_id"))
 def pair_fold_tree(spark, d):
     """The longest run of one status among each client's sales; a client may have a third of them."""
-    return folds.Streak("status").of(read(spark, d, "sales").select("client_id", "sold_at", "sale_id", "status"), ["sold_at", "sale_id"], ["client_id"])
+    return folds.Streak("status").of(read(spark, d, "sales").select("client_id", "sold_at", "sale_id", "status"), ["sold_at", "sale_id", "status"], ["client_id"])
 
 
 @query("""

@@ -61,7 +61,7 @@ def liveness(pings: DataFrame, now, key: str = "user_id", ts: str = "ts", alive:
 
 
 def throttled(hits: DataFrame, key: str = "host", ts: str = "ts", pause_ms: int = 1000, forget_ms: int | None = 600_000) -> DataFrame:
-    """A stream of fetch attempts with ``allowed``: false if the host was let through less than ``pause_ms`` before.
+    """A stream of fetch attempts with ``allowed``: false if the host was let through less than ``pause_ms`` before. Attempts without a time are left out.
 
     The state of a host is one time stamp; it expires after ``forget_ms``
     without attempts (None: never, for a stream that is to end). Within a batch attempts are taken in the order of time.
@@ -84,4 +84,4 @@ def throttled(hits: DataFrame, key: str = "host", ts: str = "ts", pause_ms: int
         yield pd.DataFrame({key: [k[0]] * len(rows), ts: rows[ts].to_numpy(), "allowed": out})
 
     schema = f"{key} string, {ts} timestamp, allowed boolean"
-    return hits.select(key, ts).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+    return hits.select(key, ts).where(F.col(ts).isNotNull()).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
