@@ -81,6 +81,16 @@ def test_pair_operators(spark, rows):
     assert [tuple(r) for r in pairs.ordered(a).collect()] == [("a", "1"), ("a", "2"), ("b", "3")]
 
 
+def test_pairs_of_one_key_are_made_by_many_tasks(spark):
+    a = spark.range(0, 20_000, 1, 1).select(F.lit("hot").alias("key"), (F.col("id") % 10_000).cast("string").alias("value")).unionByName(pair(spark, ("b", "1"), ("c", "1"))).coalesce(1)
+    b = spark.range(0, 60, 1, 1).select(F.lit("hot").alias("key"), (F.col("id") % 50).cast("string").alias("value")).unionByName(pair(spark, ("b", "2"), ("d", "2")))
+    got = pairs.join(a, b)
+    held = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("value")).collect()]
+    assert max(held) < 0.6 * sum(held) and sum(held) == 20_000 * 60 + 1
+    of = got.groupBy("key", "value").count().groupBy("key", "count").count().collect()
+    assert sorted(map(tuple, of)) == [("b", 1, 1), ("hot", 2, 10_000 * 40), ("hot", 4, 10_000 * 10)]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(-50, 50)), max_size=20), st.lists(st.tuples(st.sampled_from("bcd"), st.integers(-50, 50)), max_size=20))
 def test_pair_laws(spark, left, right):
