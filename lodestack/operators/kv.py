@@ -97,7 +97,7 @@ def rows_as_of(log: DataFrame, reads: DataFrame) -> DataFrame:
     replacement of the row too (``ranges.as_of_join``): a cell counts from it on. A
     row that held nothing then has no result, nor have nulls.
     """
-    asked = reads.select("row_key", "at").where("row_key is not null and at is not null").distinct()
+    asked = ranges.spread_distinct(reads.select("row_key", "at").where("row_key is not null and at is not null"))
     cells = log.select("row_key", "seq", F.explode("cols").alias("col", "value"))
     columns = staged(cells.select("row_key", "col").distinct())
     wanted = asked.join(columns, "row_key").select("row_key", "col", F.col("at").alias("seq"))

@@ -114,6 +114,14 @@ def prefix_range(prefix: Column) -> tuple[Column, Column]:
     return raw, F.concat(raw, F.lit(b"\xff"))
 
 
+def spread_distinct(rows: DataFrame) -> DataFrame:
+    """The distinct rows, found by as many tasks as the session shuffles to.
+
+    Adaptive execution goes by compressed bytes and gives millions of small rows to one task, whose hash table holds them all.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns).distinct()
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, tie: Sequence[str] = (), forward: bool = False, strict: bool = False, within: Column | None = None) -> DataFrame:
     """Rows of ``left`` with the columns of the row of ``right`` (all but ``by``) that holds at their time.
 
@@ -135,7 +143,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, ti
     known = [*by, on]
     full = " and ".join(f"`{c}` is not null" for c in known)
     held = right.where(full).groupBy(*known).agg(F.max_by(F.struct(on, *rest), F.struct(on, *(tie or rest))).alias("_row"))
-    asked = left.where(full).select(*known).distinct().select(*known, F.lit(None).cast(held.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_asked"))
+    asked = spread_distinct(left.where(full).select(*known)).select(*known, F.lit(None).cast(held.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_asked"))
     both = held.withColumn("_asked", F.lit(False)).unionByName(asked)
     placed = staged(both.repartitionByRange(*known).withColumn("_part", F.spark_partition_id()))
     way = F.desc if forward else F.asc

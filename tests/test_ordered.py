@@ -129,6 +129,16 @@ def test_rows_as_of(spark, rows):
     assert now == {"r": {"c": "6"}, "q": {"a": "4"}}
 
 
+def test_times_asked_for_are_made_distinct_by_many_tasks(spark, monkeypatch):
+    """Small rows that compress well: adaptive execution would give all of them to one task."""
+    made, spread = [], ranges.spread_distinct
+    monkeypatch.setattr(ranges, "spread_distinct", lambda df: made.append(spread(df)) or made[-1])
+    a = spark.range(0, 80_000, 1, 2).select((F.col("id") % 2).alias("k"), (F.col("id") % 40_000).alias("t"))
+    got = ranges.as_of_join(a, a.limit(0).withColumn("w", F.lit(1)), ["k"], "t")
+    assert got.count() == 80_000 and got.where("w is not null").count() == 0
+    assert [df.count() for df in made] == [40_000] and most_in_a_task(made[0]) < 0.6 < most_in_a_task(a.distinct())
+
+
 # ---- sessions
 
 
