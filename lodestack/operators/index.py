@@ -2,17 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as words
+from lodestack.session import make_importable
+from lodestack.sources.staging import staged
+
+#: Words that are counted at once; a longer text is counted alone.
+COUNTED = 1 << 20
 
 
 def inverted_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``term, doc_id, tf``. Counted where the text is read, then combined by term and document."""
+    """``term, doc_id, tf``. Counted where the text is read, then combined by term and document. A search on it prunes the words before they are counted; for all of them see ``whole_index``."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(words.tokens(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def whole_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``term, doc_id, tf`` of all words.
+
+    A text's words lie together, so they are counted there, text by text, and
+    nothing is shuffled or aggregated. Only the texts of an id that several rows have are
+    combined by term and document.
+    """
+    make_importable(docs.sparkSession)
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    repeated = staged(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
+    if repeated.isEmpty():
+        return _counted(known)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return _counted(known.join(repeated, same, "left_anti")).unionByName(inverted_index(known.join(repeated, same, "left_semi")))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", words.tokens(F.col("text")).alias("words")).mapInArrow(_count, f"term string, doc_id {key}, tf long")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+        ends, lo = np.cumsum(sizes, dtype=np.int64), 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + COUNTED, "right")))
+            coded = batch.column(1).slice(lo, hi - lo).flatten().dictionary_encode()
+            if n := len(coded.dictionary):
+                rows = np.repeat(np.arange(lo, hi, dtype=np.int64), sizes[lo:hi])
+                cells, tf = np.unique(rows * n + coded.indices.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(cells % n)), batch.column(0).take(pa.array(cells // n)), pa.array(tf.astype(np.int64))], names=["term", "doc_id", "tf"])
+            lo = hi
+
+
 def _one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
 
@@ -30,7 +75,7 @@ def document_frequency(index: DataFrame) -> DataFrame:
 
 def posting_lists(index: DataFrame) -> DataFrame:
     """``term, acc``: the stored form ``doc:tf,doc:tf``, by document. A term's list is one cell; the relational form has no such limit."""
-    return index.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))), lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("acc"))
+    return index.groupBy("term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))), lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("acc"))
 
 
 def from_posting_lists(lists: DataFrame) -> DataFrame:

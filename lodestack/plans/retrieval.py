@@ -35,7 +35,7 @@ PAGE_WORDS = "thereou eauou erntion stion"
 
 
 def _index(spark, d):
-    return index.inverted_index(read(spark, d, "documents"))
+    return index.whole_index(read(spark, d, "documents"))
 
 
 @query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct({_tokens('text')})), ' ') AS tokens FROM conversations")

@@ -29,6 +29,16 @@ def test_postings(spark):
     assert got == {"h1": 9, "h2": 1, "h3": 1, "12": 12}
 
 
+def test_a_whole_index_is_counted_without_a_shuffle(spark, rows, monkeypatch):
+    texts = [(k, None if k % 9 == 0 else " ".join(f"w{(k * j) % 7}, W{j % 3}" for j in range(k % 12))) for k in range(60)]
+    monkeypatch.setattr(index, "COUNTED", 5)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert rows(index.whole_index(docs)) == rows(index.inverted_index(docs))
+    assert "Exchange hashpartitioning" not in index.whole_index(docs)._jdf.queryExecution().executedPlan().toString()
+    again = docs.unionByName(docs.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, "w1 x"), (None, "w1")], docs.schema))
+    assert rows(index.whole_index(again)) == rows(index.inverted_index(again))
+
+
 def test_scores(spark):
     rows = [("spark", "d1", 10), ("spark", "d2", 1), *[("common", f"d{k}", 1) for k in range(8)], *[("all", f"d{k}", 1) for k in range(10)]]
     idx = spark.createDataFrame(rows, "term string, doc_id string, tf long")
