@@ -97,7 +97,7 @@ def search_topk(spark, d):
 def search_stored_index(spark, d):
     """The same search served from an index on disk."""
     docs, path = read(spark, d, "documents"), new_path(spark, "index")
-    index.save(index.inverted_index(docs), path)
+    index.save(index.whole_index(docs), path)
     terms = search.query_terms(spark, WORDS)
     stored = index.load(spark, path, [r.term for r in terms.collect()])  # the words of one query
     scored = search.scores(stored, terms, docs.agg(F.count("*").alias("n")))
