@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestack.streaming import deferral, joins
@@ -77,6 +78,114 @@ def test_a_deferred_url_leaves_without_news_of_its_host(spark, store, tmp_path):
     assert sorted(tuple(r)[1::2] for r in got if r.host == "a") == [("1", at(0)), ("2", at(30_000))]
 
 
+def test_slots_of_many_hosts():
+    host, last = np.array([0, 0, 1, 1, 2]), np.array([0, 0, deferral.NEVER, deferral.NEVER, 50])
+    assert deferral.slots(np.array([5, 6, 7, 8, 99]), 10, last, host).tolist() == [10, 20, 7, 17, 99]
+
+
+def test_many_hosts_share_the_state_of_a_group(spark, store, tmp_path):
+    rng = random.Random(4)
+    hosts = [f"h{k:04}" for k in range(1500)]
+    first = [(host, f"u{n}", at(rng.randrange(10_000))) for host in hosts for n in range(2)]
+    second = [(rng.choice(hosts), f"v{k:03}", at(rng.randrange(9_000, 20_000))) for k in range(300)]
+    stream = deferral.deferred_stream(source(spark, str(tmp_path / "in"), [first, second, [("end", "end", at(10_000_000))]], ATTEMPT), 700, late="5 seconds", groups=8)
+    query = stream.writeStream.format("memory").queryName("deferred_groups").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    assert sorted(map(tuple, spark.table("deferred_groups").collect())) == grants(first + second, 700)
+    assert max(state["numRowsTotal"] for p in query.recentProgress for state in p["stateOperators"]) < 100  # by host, at least 1500
+
+
+def test_attempts_of_one_millisecond_keep_their_order(spark, store, tmp_path):
+    first = [("a", "z", T0 + timedelta(microseconds=100)), ("a", "b", T0 + timedelta(microseconds=200))]
+    got = run(spark, deferral.deferred_stream(source(spark, str(tmp_path / "in"), [first, [("end", "end", at(10_000_000))]], ATTEMPT), 700, late="5 seconds"), "deferred_micros")
+    assert [(r.url, r.granted) for r in sorted(got, key=lambda r: r.granted)] == [("z", at(0)), ("b", at(700))]
+
+
+def test_deferral_does_not_depend_on_the_time_zone(spark, store, tmp_path):
+    night = datetime(2024, 11, 3, 5, 30)  # the hour that New York has twice
+    first = [("a", f"u{k}", night + timedelta(minutes=20 * k)) for k in range(6)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = run(spark, deferral.deferred_stream(source(spark, str(tmp_path / "in"), [first, [("end", "end", night + timedelta(days=9))]], ATTEMPT), 1_800_000, late="5 seconds"), "deferred_zone")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted(map(tuple, got)) == grants(first, 1_800_000)
+
+
+class Store:
+    """The state of one group as the processor sees it, with its timers."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+        self.listTimers, self.deleteTimer, self.registerTimer = lambda: iter(sorted(self.timers)), self.timers.discard, self.timers.add
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, State([]))
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, State(()))
+
+
+class State:
+    def __init__(self, none):
+        self.none = self.value = none
+
+    def get(self):
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def exists(self):
+        return bool(self.value)
+
+    def appendList(self, more):
+        self.value = self.value + more
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = self.none
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_group_grants_in_any_batches_what_is_granted_at_once():
+    for seed in range(60):
+        rng = random.Random(seed)
+        pause, spread, hosts = rng.choice([1, 7, 50]), rng.choice([3, 40, 400]), rng.choice(["a", "abcde"])
+        store, queues = Store(), deferral._Queues(pause)
+        queues.init(store)
+        now, seen, out = 0, [], []
+        for k in range(14):
+            before, now = now, now + rng.choice([0, 1, pause, spread])
+            came = [(rng.choice(hosts), rng.choice([None, "u", "v", f"w{k}"]), before * 1000 + rng.randrange(spread * 1000)) for _ in range(rng.choice([0, 1, 12]))]
+            if k == 13:
+                came, now = [], 10**9
+            if came:
+                out += queues.handleInputRows((0,), iter([pd.DataFrame(came[n : n + 5], columns=["host", "url", "asked"]) for n in range(0, len(came), 5)]), Clock(now))
+            for timer in [t for t in sorted(store.timers) if t < now]:
+                out += queues.handleExpiredTimer((0,), Clock(now), None)
+                store.timers.discard(timer)
+            seen += came
+        got = [(host, None if pd.isna(url) else url, asked, granted) for frame in out for host, url, asked, granted in frame.itertuples(index=False)]
+        last, want = {}, []
+        for host, url, asked in sorted(seen, key=lambda r: (r[2], r[1] is not None, r[1] or "")):
+            last[host] = max(asked // 1000, last.get(host, -pause) + pause)
+            want.append((host, url, asked, last[host]))
+        assert sorted(got, key=repr) == sorted(want, key=repr), seed
+        assert not store.timers and not store.states["waiting"].exists(), seed
+        for host in hosts:
+            assert (mine := [r[3] for r in got if r[0] == host]) == sorted(mine), seed
+
+
 def test_streams_meet_as_tables_do(spark, rows, tmp_path):
     rng = random.Random(3)
     pick = lambda k, what: [(rng.choice([1, 2, None]), at(rng.randrange(k * 60_000, k * 60_000 + 90_000)), f"{what}{k}-{n}") for n in range(20)]
