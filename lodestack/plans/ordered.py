@@ -108,15 +108,17 @@ def deferred(spark, d):
 
 @query(_GRANTS)
 def deferred_stream(spark, d):
-    """The same by a stream that queues attempts and sends them on by timers. A last row far ahead lets the last timers go off."""
+    """The same by a stream that queues attempts and sends them on by timers. A last row, later than any grant can be, lets the last timers go off."""
     for k, v in deferral.STORE.items():
         spark.conf.set(k, v)
     events = _attempts(read(spark, d, "events"))
     source, sink, checkpoint = new_path(spark, "arrivals"), new_path(spark, "deferred"), new_path(spark, "checkpoint")
     events.write.parquet(source)
-    spark.range(1).select(F.lit("end").alias("host"), F.lit("end").alias("url"), F.lit("2100-01-01").cast("timestamp").alias("ts")).write.mode("append").parquet(source)
-    arrivals = spark.readStream.schema(events.schema).parquet(source)
-    done = deferral.deferred_stream(arrivals, _PAUSE, late="60 days").writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink)
+    hosts = events.where("host is not null and ts is not null").groupBy("host").agg((F.unix_millis(F.max("ts")) + F.count("*") * _PAUSE).alias("last"))
+    end = F.timestamp_millis(F.lit((hosts.agg(F.max("last")).first()[0] or 0) + 61 * 24 * 3600 * 1000))
+    spark.range(1).select(F.lit("end").alias("host"), F.lit("end").alias("url"), end.alias("ts")).write.mode("append").parquet(source)
+    arrivals = spark.readStream.schema(events.schema).parquet(source).withWatermark("ts", "60 days").where(F.col("ts") < end)  # the last row only moves the watermark
+    done = deferral.deferred_stream(arrivals, _PAUSE, late=None).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink)
     done.awaitTermination()
     return spark.read.schema(deferral.GRANTED).parquet(sink).select("host", "url", F.unix_millis("asked").alias("asked"), F.unix_millis("granted").alias("granted"))
 

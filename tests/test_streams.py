@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lodestack.plans import ordered
 from lodestack.streaming import deferral, joins
 
 T0 = datetime(2024, 1, 1)
@@ -113,6 +115,14 @@ def test_deferral_does_not_depend_on_the_time_zone(spark, store, tmp_path):
     assert sorted(map(tuple, got)) == grants(first, 1_800_000)
 
 
+def test_attempts_of_a_busy_host_are_all_sent_by_the_query(spark, store, tmp_path):
+    events = spark.range(130_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 1000 == 0, 2).otherwise(1).cast("long").alias("user_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 7919).alias("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))  # a pause of six hours puts the last grant into the year 2112
+    got, want = ordered.deferred_stream(spark, str(tmp_path)), ordered.deferred(spark, str(tmp_path))
+    assert got.count() == 130_000
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 class Store:
     """The state of one group as the processor sees it, with its timers."""
 
