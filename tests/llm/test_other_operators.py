@@ -654,3 +654,42 @@ def test_queries_start_in_several_shards(spark, rows, monkeypatch):
     begun = next(t for t in tables if t.columns == ["query_id", "doc_id", "score"])
     held = begun.groupBy(F.spark_partition_id()).agg(F.count_distinct("query_id").alias("n")).collect()
     assert len(held) > 1 and sum(r.n for r in held) < len(held) * queries.count()
+
+
+def test_each_shard_is_searched_by_a_task_of_its_own(spark, rows, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 11} w{k % 13}") for k in range(120)], "doc_id long, text string")
+    tables, made = [], bm25.scratch.table
+    monkeypatch.setattr(bm25.scratch, "table", lambda df: tables.append(df) or made(df))
+    found = rows(bm25.top_k(docs, docs.where("doc_id % 10 = 0"), k=3, shard_docs=5))
+    begun = next(t for t in tables if t.columns == ["query_id", "doc_id", "score"])
+    of_shard = F.pmod(F.xxhash64("doc_id"), F.lit(24))  # of 120 documents by 5
+    held = begun.groupBy(F.spark_partition_id()).agg(F.count_distinct(of_shard).alias("n")).collect()
+    assert len(held) == 10 and all(r.n == 1 for r in held)  # twice the root of 24
+    monkeypatch.undo()
+    assert found == rows(bm25.top_k(docs, docs.where("doc_id % 10 = 0"), k=3))
+
+
+def test_queries_together_open_only_blocks_of_their_kind():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(5000 * (i % 4) + rng.zipf(1.2, 120) % 400).astype(np.uint64) for i in range(1600)]
+    tf = [rng.integers(1, 4, len(s)).astype(np.uint32) for s in sets]
+    lengths = np.array([t.sum() for t in tf], float)
+    shard = bm25.Shard(rng.permutation(1600), lengths, sets, tf, float(lengths.mean()), 1.2, 0.75)
+    queries = [(sets[i], 1 + rng.random(len(sets[i]))) for i in rng.integers(0, 1600, 300)]
+    opened, packed = [], shard.packed
+    shard.packed = type("Counted", (list,), {"__getitem__": lambda self, j: opened.append(j) or list.__getitem__(self, j)})(packed)
+    shard.search_all([q for q in queries if q[0][0] < 5000], 5, np.zeros(300))
+    shard.packed = packed
+    assert 0 < len(set(opened)) <= shard.blocks / 2  # a quarter of the documents has a term of these
+    for least in (np.zeros(len(queries)), rng.uniform(0, 60, len(queries))):
+        together = shard.search_all(queries, 5, least)
+        for (terms, weights), low, (ids, scores) in zip(queries, least, together, strict=True):
+            whole = [(-round(float(s), 9), int(i)) for i, s in zip(shard.ids, _whole(shard, terms, weights), strict=True) if s > 0 and s >= low]
+            assert ids.tolist() == [i for _, i in sorted(whole)[:5]] and np.allclose(scores, [-s for s, _ in sorted(whole)[:5]], rtol=0, atol=1e-8)
+
+
+def _whole(shard, terms, weights):
+    """The score of each document of a shard, from its own terms."""
+    by = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+    of = np.array([by.get(t, 0.0) for t in shard.terms.tolist()])
+    return [of[shard.own_term[lo:hi]] @ shard.own_part[lo:hi] for lo, hi in zip(shard.own_from, shard.own_to, strict=True)]
