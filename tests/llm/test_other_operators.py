@@ -669,6 +669,23 @@ def test_each_shard_is_searched_by_a_task_of_its_own(spark, rows, monkeypatch):
     assert found == rows(bm25.top_k(docs, docs.where("doc_id % 10 = 0"), k=3))
 
 
+@pytest.mark.parametrize("bytes_held", [1 << 25, 1 << 10])
+def test_copies_of_queries_are_not_as_many_as_shards(spark, rows, monkeypatch, bytes_held):
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(1, 20)))) for k in range(400)], "doc_id long, text string").repartition(3)
+    queries = docs.where("doc_id % 10 = 0")
+    rounded = lambda df: rows(df.withColumn("score", F.round("score", 9)))
+    want = rounded(bm25.top_k(docs, queries, k=4))
+    dealt, deal = [], type(docs).repartitionById
+    monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, *by: dealt.append((self, n)) or deal(self, n, *by))
+    monkeypatch.setattr(bm25, "QUERY_BYTES", bytes_held, raising=False)
+    assert rounded(bm25.top_k(docs, queries, k=4, shard_docs=2)) == want
+    waves = len(dealt) // 2
+    assert (waves > 1) == (bytes_held < 1 << 25)
+    at_once = [df.count() for df, _ in dealt[1::2]]  # 200 shards, of which the first step asks 15 for each query
+    assert sum(at_once) <= waves * 400 + 8 * 40 and all(n <= 8 for _, n in dealt[1::2])  # tasks: twice the four cores
+
+
 def test_queries_together_open_only_blocks_of_their_kind():
     rng = np.random.default_rng(6)
     sets = [np.unique(5000 * (i % 4) + rng.zipf(1.2, 120) % 400).astype(np.uint64) for i in range(1600)]
