@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack import command
@@ -91,6 +92,26 @@ def test_pairs_of_one_key_are_made_by_many_tasks(spark):
     assert sorted(map(tuple, of)) == [("b", 1, 1), ("hot", 2, 10_000 * 40), ("hot", 4, 10_000 * 10)]
 
 
+def test_copies_for_a_join_grow_with_the_rows(spark, monkeypatch):
+    dealt, deal = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *by: dealt.append(self) or deal(self, *by))
+    held = []
+    for n in (30_000, 120_000):
+        many, few = (spark.range(0, k, 1, 2).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("value")) for k in (n, n // 4))
+        pairs.join(many, few)
+        held.append(sum(df.count() for df in dealt))
+        dealt.clear()
+    assert held[0] <= 4 * 37_500 and held[1] <= 1.2 * 4 * held[0]  # 16 pairs of slices: 8 by 2
+
+
+def test_slices_meet_once_each(spark):
+    kinds = {"even": (9000, 9000), "left": (9000, 10), "right": (10, 9000), "other": (3, 4)}
+    side = lambda at: reduce(DataFrame.unionByName, [spark.range(n[at]).select(F.lit(k).alias("key"), F.col("id").cast("string").alias("value")) for k, n in kinds.items()])
+    got = pairs.join(side(0), side(1)).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"))
+    whole = side(0).join(side(1).withColumnRenamed("value", "other"), "key").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.concat_ws(",", "value", "other")).cast("decimal(38,0)")).alias("h"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and {r.key: r.n for r in got.collect()} == {k: a * b for k, (a, b) in kinds.items()}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(-50, 50)), max_size=20), st.lists(st.tuples(st.sampled_from("bcd"), st.integers(-50, 50)), max_size=20))
 def test_pair_laws(spark, left, right):
